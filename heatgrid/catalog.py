@@ -10,6 +10,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heatgrid.operators.support import local_table
+
 # ---------------------------------------------------------------------------
 # One line per intervention.
 # id | name | category | cooling min | typical | max (deg C) | unit cost | cost unit | feasibility
@@ -270,8 +272,8 @@ def interventions_table(spark: SparkSession) -> DataFrame:
         )
         for pos, i in enumerate(catalogue())
     ]
-    return spark.createDataFrame(
-        rows,
+    return local_table(
+        spark, rows,
         "pos INT, id STRING, name STRING, category STRING,"
         " cooling_potential_celsius STRUCT<min: DOUBLE, max: DOUBLE, typical: DOUBLE>,"
         " cost_per_unit STRUCT<value: DOUBLE, unit: STRING>, feasibility_score DOUBLE,"
@@ -286,7 +288,7 @@ def effects_table(spark: SparkSession) -> DataFrame:
         (e.intervention_id, e.seq, e.feature, e.mode, e.value, e.lo, e.hi)
         for i in catalogue() for e in i.effects
     ]
-    return spark.createDataFrame(
-        rows,
+    return local_table(
+        spark, rows,
         "intervention_id STRING, seq INT, feature STRING, mode STRING, value DOUBLE, lo DOUBLE, hi DOUBLE",
     )

@@ -10,7 +10,7 @@ from heatgrid import schema as S
 from heatgrid.functions import indices as fx
 from heatgrid.functions.numeric import clip, round_even
 from heatgrid.operators.quantiles import exact_quantiles
-from heatgrid.operators.support import number_rows, numeric_columns, one_row, present, replace_columns, to_long
+from heatgrid.operators.support import local_table, number_rows, numeric_columns, one_row, present, replace_columns, to_long
 
 
 # --- columns -------------------------------------------------------------------------------------
@@ -39,8 +39,8 @@ def column_report(df: DataFrame, expected: Sequence[str] = tuple(S.PIXEL_COLUMNS
     row = (
         len(want), len(found), sorted(set(want) - set(found)), sorted(set(found) - set(want)),
     )
-    return df.sparkSession.createDataFrame(
-        [row], "expected INT, found INT, missing ARRAY<STRING>, extra ARRAY<STRING>"
+    return local_table(
+        df.sparkSession, [row], "expected INT, found INT, missing ARRAY<STRING>, extra ARRAY<STRING>"
     )
 
 

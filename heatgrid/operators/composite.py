@@ -107,13 +107,13 @@ def stack_bands(layers: Sequence[DataFrame], by: Sequence[str] = CELL, how: str
     types: Mapping[str, str] = {c: t for layer in layers for c, t in layer.dtypes}
     everything = [c for group in bands for c in group]
     parts = [
-        layer.select(*by, F.lit(i).alias("_layer"),
+        layer.select(*by, F.lit(1 << i).cast("bigint").alias("_layer"),
                      *[F.col(c) if c in own else F.lit(None).cast(types[c]).alias(c) for c in everything])
         for i, (layer, own) in enumerate(zip(layers, bands))
     ]
     merged = merge_collections(*parts).groupBy(*by).agg(
         *[F.max(c).alias(c) for c in everything],
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("_layer"))).alias("_seen"),
+        F.bit_or("_layer").alias("_seen"),
     )
     if how == "inner":
         merged = merged.where(F.col("_seen") == (1 << len(layers)) - 1)

@@ -150,7 +150,7 @@ def representatives(df: DataFrame, *, score: str = "HeatScore", klass: str = "He
 
     min_by reduces on the map side, so a class holding a quarter of the table is never sorted.
     """
-    medians = exact_quantiles(df, [score], [0.5], by=[klass], few_groups=True).select(
+    medians = exact_quantiles(df, [score], [0.5], by=[klass]).select(
         F.col(klass).alias("_k"), F.col("quantile").alias("_m"))
     gap = F.abs(F.col(score) - F.col("_m"))
     row = F.struct(F.col(key).alias(key), F.col(score).alias(score))

@@ -21,7 +21,7 @@ from heatgrid.functions.numeric import clip, hash_uniform, round_even
 from heatgrid.operators.profile import regression_metrics
 from heatgrid.operators.quantiles import column_medians
 from heatgrid.operators.sampling import kfold
-from heatgrid.operators.support import number_rows, present, replace_columns
+from heatgrid.operators.support import local_table, number_rows, present, replace_columns
 
 
 @dataclass
@@ -158,8 +158,8 @@ def fit_models(
             fitted[name] = (reg, cls)
     finally:
         train.unpersist()
-    table = train.sparkSession.createDataFrame(
-        rows, "model STRING, rmse DOUBLE, mae DOUBLE, r2 DOUBLE, accuracy DOUBLE, precision DOUBLE, recall DOUBLE,"
+    table = local_table(
+        train.sparkSession, rows, "model STRING, rmse DOUBLE, mae DOUBLE, r2 DOUBLE, accuracy DOUBLE, precision DOUBLE, recall DOUBLE,"
               " f1 DOUBLE, roc_auc DOUBLE, cv_r2 DOUBLE, cv_f1 DOUBLE, fit_seconds_reg DOUBLE, fit_seconds_cls DOUBLE")
     return table, fitted
 
@@ -221,7 +221,7 @@ def recursive_elimination(
     finally:
         train.unpersist()
     best = max(history, key=lambda h: (h[1], -h[0]))
-    table = train.sparkSession.createDataFrame(history, "n_features INT, f1 DOUBLE, features ARRAY<STRING>")
+    table = local_table(train.sparkSession, history, "n_features INT, f1 DOUBLE, features ARRAY<STRING>")
     return best[2], table
 
 
@@ -251,7 +251,7 @@ def permutation_importance(
             rows.append((f, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
     finally:
         narrow.unpersist()
-    return test.sparkSession.createDataFrame(rows, "feature STRING, perm_importance_mean DOUBLE, perm_importance_std DOUBLE")
+    return local_table(test.sparkSession, rows, "feature STRING, perm_importance_mean DOUBLE, perm_importance_std DOUBLE")
 
 
 def predict(df: DataFrame, bundle: Bundle) -> DataFrame:

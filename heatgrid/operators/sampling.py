@@ -59,7 +59,7 @@ def stratified_split(
     of classes is that of a class label and is broadcast.
     """
     hashed = df.withColumn("_u", hash_uniform(F.col(key), seed))
-    cuts = exact_quantiles(hashed, ["_u"], [test_share], by=[label], few_groups=True).select(
+    cuts = exact_quantiles(hashed, ["_u"], [test_share], by=[label]).select(
         F.col(label).alias("_label"), F.col("quantile").alias("_cut")
     )
     return (

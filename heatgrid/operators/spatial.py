@@ -180,7 +180,7 @@ def with_halo(cells: DataFrame, halo: int, tile: int, row: str, col: str) -> Dat
 
 
 def _fill_gaps(src: DataFrame, row: str, col: str) -> DataFrame:
-    """Add an empty row at every position of a tile's box, so that windows also pass over absent cells.
+    """Add an empty row (`_blank`) at every position of a tile's box, so that windows also pass over absent cells.
 
     At most (tile + 2*halo)^2 rows per tile; both branches are laid out by tile already.
     """
@@ -191,11 +191,9 @@ def _fill_gaps(src: DataFrame, row: str, col: str) -> DataFrame:
     spots = box.withColumn(row, F.explode(F.sequence("_r0", "_r1"))).withColumn(
         col, F.explode(F.sequence("_c0", "_c1"))
     )
-    blank = {"_tr", "_tc", row, col}
-    return src.unionByName(spots.select(*[
-        F.col(c) if c in blank else (F.lit(False) if c == "_home" else F.lit(None).cast(types[c])).alias(c)
-        for c in src.columns
-    ]))
+    known = {"_tr": F.col("_tr"), "_tc": F.col("_tc"), row: F.col(row), col: F.col(col), "_home": F.lit(False)}
+    blanks = spots.select(*[known.get(c, F.lit(None).cast(types[c])).alias(c) for c in src.columns])
+    return src.withColumn("_blank", F.lit(False)).unionByName(blanks.withColumn("_blank", F.lit(True)))
 
 
 def focal_stats(
@@ -211,8 +209,7 @@ def focal_stats(
     halves = [int(math.isqrt(radius * radius - d * d)) for d in range(radius + 1)]
     widths = sorted(set(halves))
     src = with_halo(cells.withColumn("_v", F.col(value).cast("double")), radius, tile, row, col)
-    if not dense:
-        src = _fill_gaps(src, row, col)
+    src = src.withColumn("_blank", F.lit(True)) if dense else _fill_gaps(src, row, col)
     along = Window.partitionBy("_tr", "_tc", row).orderBy(col)
     parts = {"n": F.col("_v").isNotNull().cast("double"), "s": F.coalesce("_v", F.lit(0.0))}
     if std:
@@ -228,7 +225,9 @@ def focal_stats(
         for i, w in enumerate(widths):
             reach = max(d for d, half in enumerate(halves) if half >= w)
             surplus = F.col(f"_{k}{w}") if i == 0 else F.col(f"_{k}{w}") - F.col(f"_{k}{widths[i - 1]}")
-            layer = F.sum(surplus).over(down.rangeBetween(-reach, reach)) if reach else surplus
+            # Real and blank rows share positions and strip sums; the blank ones cover every position once.
+            once = F.when(F.col("_blank"), surplus).otherwise(0.0)
+            layer = F.sum(once).over(down.rangeBetween(-reach, reach)) if reach else surplus
             total = layer if total is None else total + layer
         sums[k] = total
     out = src.select(*cells.columns, "_home", *[e.alias(f"_t{k}") for k, e in sums.items()]).where("_home")

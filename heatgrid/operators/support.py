@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def numeric_columns(df: DataFrame, among: Iterable[str] | None = None) -> list[str]:
@@ -28,6 +30,16 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *added)
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """A small driver-side table as a local relation (through Arrow, so no Python worker reads it back)."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [[] for _ in arrow]
+    arrays = [pa.array(list(column), type=f.type) for column, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)
+
+
 class FittedRow:
     """Values of a one-row aggregate as literals: `stats["name"]` in any later expression."""
 
