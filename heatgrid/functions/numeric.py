@@ -68,3 +68,10 @@ def hash_uniform_sql(key: str, seed: int = 42) -> str:
 def unit_scale(c: Column, lo: float, hi: float) -> Column:
     """(x - lo) / (hi - lo), not clamped."""
     return (c - lo) / (hi - lo)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounding the exact binary value half to even (like C's %.nf;
+    `format_string` would round the shortest decimal form half up)."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern))

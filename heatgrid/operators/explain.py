@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatgrid import schema as S
 from heatgrid.functions.indices import label_priority
+from heatgrid.functions.numeric import fixed
 from heatgrid.operators.support import one_row
 
 # Advice for the strongest heating features (short form).
@@ -194,14 +195,14 @@ def explanation_text(
         why = F.when(heating, F.coalesce(F.try_element_at(hot, f), F.concat(F.lit("high "), f))).otherwise(
             F.coalesce(F.try_element_at(cool, f), F.concat(F.lit("low "), f)))
         return F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), F.coalesce(F.try_element_at(names, f), f),
-                        F.lit(" ("), F.format_string("%.1f", F.abs(x["pct"])), F.lit("%): "), why)
+                        F.lit(" ("), fixed(F.abs(x["pct"]), 1), F.lit("%): "), why)
 
     causes = F.transform(strongest, cause)
-    head = F.format_string('This location has a Heat Score of %.1f/100, classified as "%s" heat stress.',
-                           F.col(score).cast("double"), F.col(label))
+    head = F.concat(F.lit("This location has a Heat Score of "), fixed(F.col(score), 1), F.lit('/100, classified as "'),
+                    F.col(label), F.lit('" heat stress.'))
     assessment = F.concat(F.lit("Assessment: "), F.try_element_at(_literal_map(CLASS_ASSESSMENT), F.col(label)))
     quoted = [
-        F.when(F.col(f).isNotNull(), F.concat(F.format_string(f"{name}: %.2f", F.col(f).cast("double")), F.lit(f" {unit}")))
+        F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{name}: "), fixed(F.col(f), 2), F.lit(f" {unit}")))
         for f, (name, unit) in KEY_MEASUREMENTS.items() if f in df.columns
     ]
     measures = F.concat(F.lit("Key measurements: "), F.concat_ws(" | ", *quoted)) if quoted else F.lit(None).cast("string")

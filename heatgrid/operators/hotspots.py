@@ -152,7 +152,7 @@ def representatives(df: DataFrame, *, score: str = "HeatScore", klass: str = "He
     """
     medians = exact_quantiles(df, [score], [0.5], by=[klass]).select(
         F.col(klass).alias("_k"), F.col("quantile").alias("_m"))
-    gap = F.abs(F.col(score) - F.col("_m"))
+    gap = F.round(F.abs(F.col(score) - F.col("_m")), 9)  # equal gaps on both sides of the median are ties
     row = F.struct(F.col(key).alias(key), F.col(score).alias(score))
     per_class = df.join(F.broadcast(medians), F.col(klass) == F.col("_k")).groupBy(klass).agg(
         F.min_by(row, F.struct(gap, F.col(key))).alias("_r")

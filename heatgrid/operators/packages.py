@@ -151,7 +151,7 @@ def pareto_front(
     n_blocks = max(1, -(-candidates.count() // block))
     rivals = candidates.select(*[F.col(o).alias(f"r_{o}") for o in objectives],
                                F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("_block"))
-    targets = candidates.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
+    targets = candidates.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     beaten = targets.alias("t").join(
         rivals.withColumnRenamed("_block", "_rival").alias("r"),
         (F.col("_block") == F.col("_rival")) & _dominates("r_", "", objectives), "left_semi",

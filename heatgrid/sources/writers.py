@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from heatgrid.functions.indices import lulc_derived
 from heatgrid.functions.mapping import cell_ring
-from heatgrid.functions.numeric import round_even
+from heatgrid.functions.numeric import fixed, round_even
 from heatgrid.operators.composite import unstack_layers
 from heatgrid.operators.support import one_row, present, replace_columns
 
@@ -16,7 +16,7 @@ from heatgrid.operators.support import one_row, present, replace_columns
 def fixed_decimals(df: DataFrame, digits: int = 4) -> DataFrame:
     """Floating columns as text with a fixed number of decimals; NULL stays NULL."""
     return df.select(*[
-        F.when(F.col(f.name).isNotNull(), F.format_string(f"%.{digits}f", F.col(f.name))).alias(f.name)
+        fixed(F.col(f.name), digits).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])

@@ -61,13 +61,13 @@ def savi_albedo(spark, sf):
 
 
 @query("scale_bands", f"""WITH {BANDS} SELECT scene_id, lineno, {s6(clamp('(dn_sr * 0.0000275e0 - 0.2e0)', 0, 1), 10)} AS landsat,
-    {s6('dn_st * 0.00341802e0 + 149e0', 8)} AS kelvin, {s6(clamp('(dn_sr / 10000e0)', 0, 1))} AS s2,
-    {s6(clamp('(dn_st * 0.00341802e0 + 149e0 - 273.15e0)', -10, 70), 8)} AS lst FROM bd""")
+    {s6('dn_st * 0.00341802e0 + 149e0', 10)} AS kelvin, {s6(clamp('(dn_sr / 10000e0)', 0, 1))} AS s2,
+    {s6(clamp('(dn_st * 0.00341802e0 + 149e0 - 273.15e0)', -10, 70), 10)} AS lst FROM bd""")
 def scale_bands(spark, sf):
     k = fx.landsat_kelvin(F.col("dn_st"))
     return bands(spark, sf).select(
-        "scene_id", "lineno", r6(fx.landsat_reflectance(F.col("dn_sr")), 10).alias("landsat"), r6(k, 8).alias("kelvin"),
-        r6(fx.sentinel2_reflectance(F.col("dn_sr"))).alias("s2"), r6(fx.lst_celsius(k), 8).alias("lst"))
+        "scene_id", "lineno", r6(fx.landsat_reflectance(F.col("dn_sr")), 10).alias("landsat"), r6(k, 10).alias("kelvin"),
+        r6(fx.sentinel2_reflectance(F.col("dn_sr"))).alias("s2"), r6(fx.lst_celsius(k), 10).alias("lst"))
 
 
 _U, _V = '("WindSpeed" - 3e0)', '("Slope" - 6e0)'
