@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The data model is one composite per period, with no event time to window on. The column functions and the
+row-local operators (masking, clipping, indices, filters) are plain projections and filters, so they run
+unchanged on a streaming DataFrame.
+"""

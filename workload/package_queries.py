@@ -408,8 +408,9 @@ def crowding_distance(spark, sf):
     return out.select("package_id", r6(F.when(F.col("crowding") >= 1e9, 1e9).otherwise(F.col("crowding"))).alias("crowding"))
 
 
-# Unrounded inputs: the score's own rounding then meets no ties, on which engines differ.
-_SOL = f"""sl AS (SELECT package_id, estimated_cooling_celsius * 0.913731e0 AS predicted_reduction, total_cost, avg_feasibility, n_cobenefits
+# Six decimals in the inputs: the score's own rounding to two then meets no ties, on which engines differ.
+_SOL = f"""sl AS (SELECT package_id, {s6('estimated_cooling_celsius * 0.913731e0')} AS predicted_reduction, {s6('total_cost')} AS total_cost,
+    {s6('avg_feasibility')} AS avg_feasibility, n_cobenefits
     FROM pm JOIN pb USING (package_id)),
     pr AS (SELECT *, round_even(0.4e0 * predicted_reduction + 0.3e0 * avg_feasibility * 10 + 0.2e0 * (predicted_reduction / greatest(total_cost / 1000e0, 0.1e0)) + 0.1e0 * n_cobenefits, 2)
       AS priority_score FROM sl)"""
@@ -418,7 +419,8 @@ _SOL = f"""sl AS (SELECT package_id, estimated_cooling_celsius * 0.913731e0 AS p
 def solutions(spark, sf):
     """Catalogue cooling stands in for the predicted reduction."""
     m = pk.package_metrics(packages(spark, sf), interventions_table(spark))
-    return m.select("package_id", (F.col("estimated_cooling_celsius") * 0.913731).alias("predicted_reduction"), "total_cost", "avg_feasibility", "n_cobenefits")
+    return rounded(m.select("package_id", (F.col("estimated_cooling_celsius") * 0.913731).alias("predicted_reduction"), "total_cost", "avg_feasibility",
+                            "n_cobenefits"))
 
 
 @query("solution_table", f"""WITH {PACKAGES}, {_METRICS} SELECT package_id, {s6('round_even(estimated_cooling_celsius * 0.913731e0, 2)')} AS predicted_reduction,
