@@ -29,9 +29,14 @@ def clamp_nested(c: Column, lo=None, hi=None) -> Column:
     return c
 
 
-def round_even(c: Column, digits: int) -> Column:
-    """Half-to-even rounding."""
-    return F.bround(c, digits)
+def round_even(c: Column | str, digits: int) -> Column:
+    """Half-to-even rounding of the scaled binary value, without negative zero.
+
+    The arithmetic of array libraries; generated code, where `bround` builds a decimal per row.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    factor = float(10 ** digits)
+    return F.rint(c.cast("double") * factor) / factor + F.lit(0.0)
 
 
 def safe_div(a: Column, b: Column) -> Column:

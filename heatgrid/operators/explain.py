@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatgrid import schema as S
 from heatgrid.functions.indices import label_priority
-from heatgrid.functions.numeric import fixed
-from heatgrid.operators.support import one_row
+from heatgrid.functions.numeric import fixed, round_even
+from heatgrid.operators.support import one_row, unnest
 
 # Advice for the strongest heating features (short form).
 ADVICE = {
@@ -107,20 +107,22 @@ def contributions(df: DataFrame, importances: Mapping[str, float], out: str = "c
     """Array of (feature, value, contribution, pct): importance x (value - city mean), and its signed share of
     the summed magnitudes. A pixel whose contributions are all zero gets an empty array."""
     features = [f for f in importances if f in df.columns]
-    means = one_row(df, **{f: F.avg(F.col(f).cast("double")) for f in features})
-    raw = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), means[f]).alias("value"),
-                 (F.lit(float(importances[f])) * (F.coalesce(F.col(f).cast("double"), means[f]) - means[f])).alias("c"))
+    means = one_row(df, **{f: F.avg(F.col(f).cast("double")) for f in features}).values
+    value = {f: F.coalesce(F.col(f).cast("double"), F.lit(means[f])) for f in features}
+    # Plain generated columns up to the array: lambdas would be interpreted per element.
+    df = df.select("*", *[((value[f] - F.lit(means[f])) * float(importances[f])).alias(f"_c_{f}") for f in features])
+    total = F.lit(0.0)
+    for f in features:
+        total = total + F.abs(F.col(f"_c_{f}"))
+    df = df.withColumn("_total", F.nullif(total, F.lit(0.0)))
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("feature"), round_even(value[f], 4).alias("value"), round_even(f"_c_{f}", 6).alias("contribution"),
+                 round_even(F.col(f"_c_{f}") / F.col("_total") * 100.0, 1).alias("pct"))
         for f in features
     ])
-    total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + F.abs(x["c"]))
-    shaped = F.transform("_raw", lambda x: F.struct(
-        x["feature"].alias("feature"), F.bround(x["value"], 4).alias("value"), F.bround(x["c"], 6).alias("contribution"),
-        F.bround(x["c"] / F.nullif(F.col("_total"), F.lit(0.0)) * 100.0, 1).alias("pct"),
-    ))
-    return df.withColumn("_raw", raw).withColumn("_total", total).withColumn(
-        out, F.when(F.col("_total") > 0, shaped).otherwise(F.slice(shaped, 1, 0))
-    ).drop("_raw", "_total")
+    none = F.array().cast("array<struct<feature:string,value:double,contribution:double,pct:double>>")
+    return df.withColumn(out, F.when(F.col("_total").isNotNull(), entries).otherwise(none)).drop(
+        "_total", *[f"_c_{f}" for f in features])
 
 
 def attribution_pct(attributions: Column) -> Column:
@@ -133,8 +135,8 @@ def attribution_pct(attributions: Column) -> Column:
 
 def global_importance(df: DataFrame, attributions: str = "contributions", value: str = "contribution") -> DataFrame:
     """Mean magnitude per feature over all pixels."""
-    rows = df.select(F.explode(attributions).alias("_x"))
-    return rows.groupBy(F.col("_x.feature").alias("feature")).agg(F.avg(F.abs(F.col("_x")[value])).alias("importance"))
+    rows = unnest(df, [], attributions, "feature")
+    return rows.groupBy("feature").agg(F.avg(F.abs(value)).alias("importance"))
 
 
 def _by_strength(items: Column, strength) -> Column:

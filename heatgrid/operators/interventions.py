@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heatgrid import schema as S
 from heatgrid.catalog import STACKING_FACTORS, Effect, Intervention, catalogue, effects_table, interventions_table
-from heatgrid.functions.numeric import clamp_nested
-from heatgrid.operators.quantiles import exact_quantiles
-from heatgrid.operators.support import replace_columns, to_long
+from heatgrid.functions.numeric import clamp_nested, round_even
+from heatgrid.operators.support import replace_columns, unnest
 
 PACKAGE_TYPE = "array<struct<id:string,coverage:double>>"
 
@@ -38,7 +37,7 @@ def category_summary(table: DataFrame) -> DataFrame:
     return table.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"),
-        F.bround(F.avg("cooling_potential_celsius.typical"), 2).alias("avg_typical_cooling"),
+        round_even(F.avg("cooling_potential_celsius.typical"), 2).alias("avg_typical_cooling"),
     )
 
 
@@ -172,9 +171,9 @@ def trace_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Colum
     start = F.struct(x.cast("double").alias("value"), F.array().cast(row_type).alias("log"))
     log = F.aggregate(steps, start, change, lambda acc: acc["log"])
     return F.transform(log, lambda s: F.struct(
-        s["mode"].alias("mode"), F.bround(s["old"], 6).alias("old"), F.bround(s["new"], 6).alias("new"),
-        F.bround(s["new"] - s["old"], 6).alias("change"),
-        F.bround(F.coalesce((s["new"] - s["old"]) / F.nullif(F.abs(s["old"]), F.lit(0.0)) * 100.0, F.lit(0.0)), 2)
+        s["mode"].alias("mode"), round_even(s["old"], 6).alias("old"), round_even(s["new"], 6).alias("new"),
+        round_even(s["new"] - s["old"], 6).alias("change"),
+        round_even(F.coalesce((s["new"] - s["old"]) / F.nullif(F.abs(s["old"]), F.lit(0.0)) * 100.0, F.lit(0.0)), 2)
         .alias("change_pct"),
     ))
 
@@ -197,10 +196,10 @@ def package_detail(df: DataFrame, items: Sequence[tuple[str, float]], features:
             z["t"]["change_pct"].alias("change_pct"),
         ))
         per_feature.append(F.struct(F.lit(feature).alias("feature"), rows.alias("steps")))
-    out = df.select(key, F.explode(F.array(*per_feature)).alias("_x")).select(key, "_x.feature", "_x.steps")
+    out = unnest(df, [key], F.array(*per_feature), "feature")
     first, last = F.element_at("steps", 1)["old"], F.element_at("steps", -1)["new"]
     return out.withColumn("original", first).withColumn("final", last).withColumn(
-        "total_change", F.bround(last - first, 6)
+        "total_change", round_even(last - first, 6)
     ).withColumn("n_steps", F.size("steps"))
 
 
@@ -242,7 +241,7 @@ def decode_package(df: DataFrame, vector: str, ids: Sequence[str], out: str = "i
     genes = F.zip_with(names, F.col(vector), lambda i, c: F.struct(i.alias("id"), c.alias("coverage")))
     kept = F.filter(genes, lambda g: g["coverage"] > threshold)
     return df.withColumn(out, F.transform(kept, lambda g: F.struct(
-        g["id"].alias("id"), F.bround(g["coverage"], 2).alias("coverage"))))
+        g["id"].alias("id"), round_even(g["coverage"], 2).alias("coverage"))))
 
 
 def name_map(interventions: Sequence[Intervention] | None = None) -> Column:
@@ -254,7 +253,7 @@ def package_label(items: Column) -> Column:
     names = name_map()
     return F.array_join(F.transform(items, lambda s: F.concat(
         F.coalesce(F.try_element_at(names, s["id"]), s["id"]), F.lit(" ("),
-        F.bround(s["coverage"] * 100.0, 0).cast("bigint").cast("string"), F.lit("%)"),
+        round_even(s["coverage"] * 100.0, 0).cast("bigint").cast("string"), F.lit("%)"),
     )), " + ")
 
 
@@ -268,7 +267,7 @@ def format_solution(solutions: DataFrame, table: DataFrame, *, package_id: str =
     """Solution rows with an `interventions` array of catalogue fields in package order."""
     entries = expand_package(solutions, table, package_id=package_id).groupBy(package_id).agg(
         F.array_sort(F.collect_list(F.struct(
-            "seq", "id", "name", "category", F.bround(F.col("coverage") * 100.0, 1).alias("coverage_pct"),
+            "seq", "id", "name", "category", round_even(F.col("coverage") * 100.0, 1).alias("coverage_pct"),
             F.col("cooling_potential_celsius").alias("cooling_potential"), "cost_per_unit", "feasibility_score",
             "indian_suitability",
         ))).alias("interventions")
@@ -302,7 +301,7 @@ def effect_uncertainty(
         folded = part if folded is None else F.coalesce(folded, part)
     # A group holds the n draws of one package and feature.
     return per_draw.withColumn("x", folded).groupBy(package_id, "feature").agg(
-        F.bround(F.avg("x"), 4).alias("mean"), F.bround(F.stddev_pop("x"), 4).alias("std"),
-        F.bround(F.percentile("x", F.lit(0.05)), 4).alias("p5"), F.bround(F.percentile("x", F.lit(0.95)), 4).alias("p95"),
-    ).withColumn("original", F.bround(
+        round_even(F.avg("x"), 4).alias("mean"), round_even(F.stddev_pop("x"), 4).alias("std"),
+        round_even(F.percentile("x", F.lit(0.05)), 4).alias("p5"), round_even(F.percentile("x", F.lit(0.95)), 4).alias("p95"),
+    ).withColumn("original", round_even(
         F.create_map(*[F.lit(x) for f in features for x in (f, float(baseline[f]))])[F.col("feature")], 4))

@@ -184,7 +184,7 @@ def select_model(metrics: DataFrame) -> DataFrame:
     worst = metrics.agg(F.max("rmse")).scalar()
     unit = F.coalesce(F.col("rmse") / F.nullif(worst, F.lit(0.0)), F.lit(0.0))
     score = F.greatest(F.col("r2"), F.lit(0.0)) * 0.4 + F.col("f1") * 0.3 + F.col("roc_auc") * 0.2 + (F.lit(1.0) - unit) * 0.1
-    return metrics.withColumn("composite", F.bround(score, 4)).orderBy(F.col("composite").desc(), "model")
+    return metrics.withColumn("composite", round_even(score, 4)).orderBy(F.col("composite").desc(), "model")
 
 
 def feature_importances(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from heatgrid.functions.numeric import round_even
 from heatgrid.catalog import effects_table, interventions_table
 from heatgrid.operators.interventions import expand_package
 from heatgrid.operators.scenarios import Predict, complete_pixels, pair_with_packages
@@ -40,7 +41,7 @@ def candidate_packages(
         u(2, p).alias("draw"), i.alias("id"), p.cast("int").alias("pos"))))
     repair = F.transform(F.slice(by_draw, 1, 3), lambda g: struct(g["id"], u(3, g["pos"]) * 0.5 + 0.1, g["pos"]))
     decoded = F.filter(F.transform(F.col("genes"), lambda g: struct(
-        g["id"], F.bround(g["coverage"], 2), g["pos"])), lambda g: g["coverage"] > 0.05)
+        g["id"], round_even(g["coverage"], 2), g["pos"])), lambda g: g["coverage"] > 0.05)
     strongest = F.slice(F.array_sort(F.transform(F.col("kept"), lambda g: F.struct(
         (-g["coverage"]).alias("weak"), g["pos"].alias("pos"), g["id"].alias("id")))), 1, max_active)
     ordered = F.array_sort(F.transform(F.col("top"), lambda g: struct(g["id"], -g["weak"], g["pos"])))
@@ -72,7 +73,7 @@ def package_metrics(packages: DataFrame, table: DataFrame, *, package_id: str =
         F.size(F.array_distinct(F.flatten(F.collect_list("co_benefits")))).alias("n_cobenefits"),
         F.sum(F.col("cooling_potential_celsius.typical") * F.col("coverage")).alias("estimated_cooling_celsius"),
         n.alias("n_interventions"),
-        F.bround(F.least(F.lit(0.95), n * 0.05 + 0.60), 2).alias("confidence"),
+        round_even(F.least(F.lit(0.95), n * 0.05 + 0.60), 2).alias("confidence"),
     )
 
 
@@ -221,9 +222,9 @@ def crowding_distance(
 
 def solution_table(evaluated: DataFrame) -> DataFrame:
     """Reported metrics of evaluated packages."""
-    return evaluated.withColumn("predicted_reduction", F.bround(-F.col("obj_reduction"), 2)).withColumn(
-        "estimated_cooling_celsius", F.bround("estimated_cooling_celsius", 2)
-    ).withColumn("total_cost", F.bround("total_cost", 0)).withColumn("avg_feasibility", F.bround("avg_feasibility", 3))
+    return evaluated.withColumn("predicted_reduction", round_even(-F.col("obj_reduction"), 2)).withColumn(
+        "estimated_cooling_celsius", round_even("estimated_cooling_celsius", 2)
+    ).withColumn("total_cost", round_even("total_cost", 0)).withColumn("avg_feasibility", round_even("avg_feasibility", 3))
 
 
 def priority_score(solutions: DataFrame, out: str = "priority_score") -> DataFrame:
@@ -231,7 +232,7 @@ def priority_score(solutions: DataFrame, out: str = "priority_score") -> DataFra
     reduction = F.col("predicted_reduction")
     per_cost = reduction / F.greatest(F.col("total_cost") / 1000.0, F.lit(0.1))
     value = reduction * 0.4 + F.col("avg_feasibility") * 10.0 * 0.3 + per_cost * 0.2 + F.col("n_cobenefits") * 0.1
-    return solutions.withColumn(out, F.bround(value, 2))
+    return solutions.withColumn(out, round_even(value, 2))
 
 
 def priority_rank(solutions: DataFrame, *, key: str = "package_id") -> DataFrame:

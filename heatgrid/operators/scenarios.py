@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heatgrid import schema as S
+from heatgrid.functions.numeric import round_even
 from heatgrid.operators.interventions import compile_packages, fold_steps
 from heatgrid.operators.support import replace_columns, to_long
 
@@ -97,14 +98,14 @@ def before_after(
     """Before, after and change per feature (4 decimals), scores and their reduction (2), classes."""
     right = after.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in (score, label, *features)])
     cols = [F.col(key), *carry]
-    first, second = F.bround(score, 2), F.bround(f"_{score}", 2)
+    first, second = round_even(score, 2), round_even(f"_{score}", 2)
     cols += [first.alias("HeatScore_Before"), second.alias("HeatScore_After"),
-             F.bround(first - second, 2).alias("HeatScore_Reduction"),
+             round_even(first - second, 2).alias("HeatScore_Reduction"),
              F.col(label).alias("HeatClass_Before"), F.col(f"_{label}").alias("HeatClass_After")]
     for f in features:
-        cols += [F.bround(F.col(f).cast("double"), 4).alias(f"{f}_Before"),
-                 F.bround(F.col(f"_{f}").cast("double"), 4).alias(f"{f}_After"),
-                 F.bround(F.col(f"_{f}").cast("double") - F.col(f), 4).alias(f"{f}_Change")]
+        cols += [round_even(F.col(f).cast("double"), 4).alias(f"{f}_Before"),
+                 round_even(F.col(f"_{f}").cast("double"), 4).alias(f"{f}_After"),
+                 round_even(F.col(f"_{f}").cast("double") - F.col(f), 4).alias(f"{f}_Change")]
     return before.join(right, key).select(*cols)
 
 
@@ -118,9 +119,9 @@ def feature_changes(before: DataFrame, after: DataFrame, features: Sequence[str]
     joined = means(before, "_b").join(means(after, "_a"), "feature")
     change = F.col("_a") - F.col("_b")
     return joined.select(
-        "feature", F.bround("_b", 4).alias("before"), F.bround("_a", 4).alias("after"),
-        F.bround(change, 4).alias("change"),
-        F.bround(F.coalesce(change / F.nullif(F.abs("_b"), F.lit(0.0)) * 100.0, F.lit(0.0)), 1).alias("change_pct"),
+        "feature", round_even("_b", 4).alias("before"), round_even("_a", 4).alias("after"),
+        round_even(change, 4).alias("change"),
+        round_even(F.coalesce(change / F.nullif(F.abs("_b"), F.lit(0.0)) * 100.0, F.lit(0.0)), 1).alias("change_pct"),
     )
 
 

@@ -69,6 +69,16 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
     )
 
 
+def unnest(df: DataFrame, ids: Sequence[str], array: Column | str, required: str) -> DataFrame:
+    """One row per element of an array of structs, with the struct's fields as columns.
+
+    For computed arrays. A plain explode makes the optimizer add a size filter and push it down, which
+    evaluates the whole array expression once more per projection below; the outer form does not. Rows of
+    empty arrays are dropped by `required`, a field no element leaves NULL.
+    """
+    return df.select(*ids, F.inline_outer(array)).where(F.col(required).isNotNull())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the session's checkpoint folder and continue from there.
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from heatgrid.functions.numeric import round_even
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -135,11 +137,11 @@ def with_scenes(body: str, *ctes: str) -> str:
 # Rounding for comparison: six decimals, and no negative zero.
 def r6(c: Column | str, digits: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return round_even(c, digits)
 
 
 def s6(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0e0)"
+    return f"(round_even(CAST({expr} AS DOUBLE), {digits}) + 0e0)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

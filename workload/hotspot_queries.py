@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heatgrid import schema as S
 from heatgrid.operators import explain, hotspots, ml, score
-from heatgrid.operators.support import local_table, to_long
+from heatgrid.operators.support import unnest
 from workload.base import pixels, query, r6, rounded, s6, table, with_pixels
 from workload.clean_queries import class_sql, clip_sql, label_sql, score_sql
 
@@ -222,15 +222,13 @@ def with_contributions(spark, sf):
 
 @query("contributions", with_pixels(f"""SELECT "PixelID", feature, {s6('value', 4)} AS value, {s6('contribution')} AS contribution, {s6('pct', 1)} AS pct FROM cb""", SCORED, _CB))
 def contributions(spark, sf):
-    df = with_contributions(spark, sf).select("PixelID", F.explode("contributions").alias("x"))
-    return rounded(df.select("PixelID", "x.feature", "x.value", "x.contribution", "x.pct"))
+    return rounded(unnest(with_contributions(spark, sf), ["PixelID"], "contributions", "feature"))
 
 
 @query("attribution_pct", with_pixels(f"""SELECT "PixelID", feature, {s6('abs(contribution) / sum(abs(contribution)) OVER (PARTITION BY "PixelID") * 100')} AS pct FROM cb""", SCORED, _CB))
 def attribution_pct(spark, sf):
     items = F.transform("contributions", lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("value")))
-    df = with_contributions(spark, sf).select("PixelID", F.explode(explain.attribution_pct(items)).alias("x"))
-    return rounded(df.select("PixelID", "x.feature", "x.pct"))
+    return rounded(unnest(with_contributions(spark, sf), ["PixelID"], explain.attribution_pct(items), "feature"))
 
 
 @query("global_importance", with_pixels(f"""SELECT feature, {s6('avg(abs(contribution))')} AS importance FROM cb GROUP BY 1""", SCORED, _CB))
@@ -241,8 +239,7 @@ def global_importance(spark, sf):
 @query("top_drivers", with_pixels(f"""SELECT "PixelID", feature, {s6('abs(pct)', 1)} AS contribution_pct, CASE WHEN contribution > 0 THEN 'heating' ELSE 'cooling' END AS direction,
     {s6('value', 4)} AS value FROM dr WHERE place <= 6 AND abs(pct) >= 1""", SCORED, _CB, _DRIVE))
 def top_drivers(spark, sf):
-    df = explain.top_drivers(with_contributions(spark, sf)).select("PixelID", F.explode("top_drivers").alias("x"))
-    return rounded(df.select("PixelID", "x.*"))
+    return rounded(unnest(explain.top_drivers(with_contributions(spark, sf)), ["PixelID"], "top_drivers", "feature"))
 
 
 def _case(feature: str, mapping: dict) -> str:
