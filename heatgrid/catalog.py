@@ -51,6 +51,42 @@ ventilation_corridors | Ventilation Corridors | grey | 0.5 | 1.5 | 2.5 | 30000 |
 impervious_surface_reduction | Impervious Surface Reduction | grey | 0.5 | 1.2 | 2.5 | 30 | USD/sqm | 0.75 | high | 50
 """
 
+# Running cost, duration and reach.
+# id | annual maintenance | implementation months min | max | lifespan years | years until effective | scalability
+RECORD_ROWS = """
+street_trees | 75 | 3 | 12 | 30 | 3 | high
+urban_forests | 2000 | 2 | 6 | 50 | 2 | medium
+pocket_parks | 3000 | 3 | 9 | 25 | 1 | high
+green_roofs | 8 | 1 | 4 | 20 | 0.5 | high
+green_walls | 15 | 1 | 3 | 15 | 0.5 | medium
+vertical_gardens | 12 | 1 | 2 | 10 | 0.3 | medium
+bioswales | 5 | 2 | 6 | 20 | 1 | high
+urban_agriculture | 1500 | 2 | 6 | 15 | 0.5 | medium
+cool_roofs | 1 | 0 | 2 | 15 | 0 | very_high
+reflective_roof_coatings | 2 | 0 | 1 | 5 | 0 | very_high
+cool_pavements | 2 | 1 | 6 | 10 | 0 | high
+reflective_concrete | 1 | 1 | 4 | 20 | 0 | high
+high_albedo_materials | 1 | 0 | 3 | 10 | 0 | very_high
+lake_restoration | 25000 | 12 | 36 | 50 | 1 | low
+urban_wetlands | 5000 | 6 | 24 | 40 | 2 | low
+ponds | 2000 | 3 | 12 | 30 | 0.5 | medium
+rain_gardens | 3 | 1 | 4 | 15 | 1 | high
+permeable_pavements | 3 | 1 | 4 | 20 | 0 | high
+rainwater_harvesting | 100 | 1 | 3 | 20 | 0 | very_high
+water_channels | 10 | 6 | 18 | 30 | 0 | medium
+fountains | 1500 | 1 | 6 | 15 | 0 | high
+misting_systems | 500 | 0 | 2 | 10 | 0 | high
+wind_corridors | 1000 | 12 | 60 | 50 | 0 | low
+building_spacing | 0 | 6 | 36 | 50 | 0 | low
+street_canyon_optimization | 0 | 12 | 48 | 50 | 0 | low
+artificial_shading | 5 | 1 | 4 | 15 | 0 | high
+pergolas | 5 | 1 | 3 | 20 | 0 | high
+jaali_structures | 2 | 1 | 4 | 25 | 0 | medium
+building_orientation | 0 | 0 | 0 | 50 | 0 | medium
+ventilation_corridors | 500 | 12 | 48 | 50 | 0 | low
+impervious_surface_reduction | 2 | 2 | 8 | 20 | 0 | high
+"""
+
 # Effects in the order they are applied.
 # intervention | feature | mode | value | sampling low | sampling high
 EFFECT_ROWS = """
@@ -235,6 +271,11 @@ class Intervention:
     feasibility: float
     suitability: str
     applicable_lulc: tuple[int, ...]
+    annual_maintenance: float
+    months: tuple[int, int]
+    lifespan_years: int
+    lag_years: float
+    scalability: str
     co_benefits: tuple[str, ...]
     effects: tuple[Effect, ...]
 
@@ -247,6 +288,10 @@ def _fields(block: str) -> list[list[str]]:
 def catalogue() -> tuple[Intervention, ...]:
     """All interventions in catalogue order."""
     benefits = {key: tuple(text.split("; ")) for key, text in _fields(CO_BENEFIT_ROWS)}
+    records = {
+        iid: (float(upkeep), (int(first), int(last)), int(life), float(lag), reach)
+        for iid, upkeep, first, last, life, lag, reach in _fields(RECORD_ROWS)
+    }
     effects: dict[str, list[Effect]] = {}
     for iid, feature, mode, value, lo, hi in _fields(EFFECT_ROWS):
         mine = effects.setdefault(iid, [])
@@ -255,7 +300,7 @@ def catalogue() -> tuple[Intervention, ...]:
         Intervention(
             iid, name, category, float(cmin), float(ctyp), float(cmax), float(cost), unit,
             float(feasibility), suitability, tuple(int(code) for code in lulc.split(",")),
-            benefits[iid], tuple(effects[iid]),
+            *records[iid], benefits[iid], tuple(effects[iid]),
         )
         for iid, name, category, cmin, ctyp, cmax, cost, unit, feasibility, suitability, lulc
         in _fields(INTERVENTION_ROWS)
@@ -267,7 +312,7 @@ def interventions_table(spark: SparkSession) -> DataFrame:
     rows = [
         (
             pos, i.id, i.name, i.category, (i.cool_min, i.cool_max, i.cool_typical),
-            (i.unit_cost, i.cost_unit), i.feasibility, i.suitability, list(i.applicable_lulc),
+            (i.unit_cost, i.cost_unit, i.annual_maintenance), i.months, i.lifespan_years, i.lag_years, i.feasibility, i.scalability, i.suitability, list(i.applicable_lulc),
             list(i.co_benefits), [e.feature for e in i.effects],
         )
         for pos, i in enumerate(catalogue())
@@ -276,8 +321,9 @@ def interventions_table(spark: SparkSession) -> DataFrame:
         spark, rows,
         "pos INT, id STRING, name STRING, category STRING,"
         " cooling_potential_celsius STRUCT<min: DOUBLE, max: DOUBLE, typical: DOUBLE>,"
-        " cost_per_unit STRUCT<value: DOUBLE, unit: STRING>, feasibility_score DOUBLE,"
-        " indian_suitability STRING, applicable_lulc ARRAY<INT>, co_benefits ARRAY<STRING>,"
+        " cost_per_unit STRUCT<value: DOUBLE, unit: STRING, annual_maintenance: DOUBLE>,"
+        " implementation_time_months STRUCT<min: INT, max: INT>, lifespan_years INT, effectiveness_lag_years DOUBLE,"
+        " feasibility_score DOUBLE, scalability STRING, indian_suitability STRING, applicable_lulc ARRAY<INT>, co_benefits ARRAY<STRING>,"
         " effect_features ARRAY<STRING>",
     )
 

@@ -19,15 +19,15 @@ from heatgrid.operators.support import local_table, to_long
 
 def exact_quantiles(
     df: DataFrame, values: Sequence[str], probs: Sequence[float], *, by: Sequence[str] = (), bins: int = 2048,
-    levels: int = 1, direct_rows: int = 1_000_000,
+    direct_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Linear-interpolated quantiles as rows (by..., feature, prob, quantile). A fit: runs `levels` + 2 jobs.
+    """Linear-interpolated quantiles as rows (by..., feature, prob, quantile). A fit: runs a few jobs.
 
     A first job counts. Up to `direct_rows` values per group and column `percentile` has a bounded state and is
     used as it is; larger ones are searched. Each job of the search scans df once and shuffles only counts, never its rows. Between jobs the driver holds the
     sought ranks: columns x probabilities x groups, so `by` must have few groups (a class label, or the
-    bounded list of hot groups in `group_medians`). With `levels`, bins**levels values stay apart on
-    average; raise it past ~1e12 rows.
+    bounded list of hot groups in `group_medians`). Bins are split again until each sought one holds at
+    most `direct_rows` values, whatever the distribution: every round shortens the range `bins`-fold.
     """
     spark = df.sparkSession
     keys = [*by, "feature"]
@@ -40,14 +40,14 @@ def exact_quantiles(
         for *key, found in rows.groupBy(*keys).agg(listed).collect():
             sums.update({(*key, float(p)): q for p, q in zip(probs, found)})
         return _as_table(spark, key_fields, sums)
-    targets = []  # (keys, prob, weight, lo, hi, rank inside [lo, hi])
+    targets = []  # (keys, prob, weight, lo, hi, rank inside [lo, hi], values inside)
     for *key, n, lo, hi in stats:
         for prob in probs:
             place = prob * (n - 1)
             low = math.floor(place)
-            targets.append((tuple(key), prob, 1.0 - (place - low), lo, hi, low))
+            targets.append((tuple(key), prob, 1.0 - (place - low), lo, hi, low, n))
             if place > low:
-                targets.append((tuple(key), prob, place - low, lo, hi, low + 1))
+                targets.append((tuple(key), prob, place - low, lo, hi, low + 1, n))
     bounds = [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]
 
     def small(data, extra=()):
@@ -71,24 +71,23 @@ def exact_quantiles(
         match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in group])
         hit = (F.col("r_rank") < F.col("_upto")) & (F.col("r_rank") >= F.col("_upto") - F.col("_cnt"))
         picked = summed.join(ranks, match & hit).select(
-            *group, "r_rank", "_bmin", "_bmax", F.col("_upto") - F.col("_cnt")).collect()
-        moved = {tuple(p[:-3]): (p[-3], p[-2], p[-1]) for p in picked}
+            *group, "r_rank", "_bmin", "_bmax", F.col("_upto") - F.col("_cnt"), "_cnt").collect()
+        moved = {tuple(p[:-4]): tuple(p[-4:]) for p in picked}
         out = []
-        for key, prob, weight, lo, hi, rank in targets:
-            new_lo, new_hi, before = moved[(*key, lo, hi, rank)]
-            out.append((key, prob, weight, new_lo, new_hi, rank - before))
+        for key, prob, weight, lo, hi, rank, _ in targets:
+            new_lo, new_hi, before, inside = moved[(*key, lo, hi, rank)]
+            out.append((key, prob, weight, new_lo, new_hi, rank - before, inside))
         return out
 
     width = F.col("_hi") - F.col("_lo")
     bin_of = F.when(width > 0, F.least(
         F.floor((F.col("x") - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * bins), F.lit(bins - 1)
     )).otherwise(F.lit(0))
-    for _ in range(levels):
-        if any(t[3] < t[4] for t in targets):
-            targets = narrow(targets, bin_of)
+    while any(t[3] < t[4] and t[6] > direct_rows for t in targets):
+        targets = narrow(targets, bin_of)
     if any(t[3] < t[4] for t in targets):
         targets = narrow(targets, F.col("x"))
-    for key, prob, weight, lo, _, _ in targets:
+    for key, prob, weight, lo, *_ in targets:
         sums[(*key, float(prob))] = sums.get((*key, float(prob)), 0.0) + weight * lo
     return _as_table(spark, key_fields, sums)
 

@@ -375,15 +375,15 @@ def nearest_pixel(
 
     Searches small buckets first; what a 3x3 search of bucket size s finds within s is final, and only
     the rest goes on to larger buckets. Ties go to the lower pixel id. The nearest candidate is an
-    aggregate that shrinks on the map side.
+    aggregate that shrinks on the map side. Runs a job per level.
     """
     left = points.select(F.col(point_id).alias("_p"), F.col(lat).alias("_py"), F.col(lon).alias("_px"))
     right = pixels.select(F.col(pixel_id).alias("_q"), F.col(lat).alias("_qy"), F.col(lon).alias("_qx"))
     done = None
     for divisor in levels:
         size = max_deg / divisor
-        best = _nearest(left, right, size, salts)
-        final = best.where(F.col("_d") <= size)
+        # One row per settled point, written down: the next level and the union both read it.
+        final = checkpointed(_nearest(left, right, size, salts).where(F.col("_d") <= size))
         done = final if done is None else done.unionByName(final)
         left = left.join(final.select("_p"), "_p", "left_anti")
     return done.where(F.col("_d") <= max_deg).select(
