@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heatgrid.functions.numeric import round_even
 from heatgrid.catalog import effects_table, interventions_table
+from heatgrid.functions.numeric import hash_uniform
 from heatgrid.operators.interventions import expand_package
 from heatgrid.operators.scenarios import Predict, complete_pixels, pair_with_packages
 from heatgrid.operators.support import checkpointed, number_rows
@@ -30,7 +31,7 @@ def candidate_packages(
     genes = F.array(*[F.lit(i) for i in ids])
 
     def u(salt: int, gene: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("package_id"), gene), F.lit(1 << 30)) / float(1 << 30)
+        return hash_uniform(F.col("package_id") * len(ids) + gene, seed * 10 + salt)
 
     def struct(i: Column, coverage: Column, place: Column) -> Column:
         return F.struct(place.cast("int").alias("pos"), i.alias("id"), coverage.alias("coverage"))
@@ -161,24 +162,41 @@ def pareto_front(
     return df.join(front, key, "left_semi")
 
 
+def _rank_block(objectives: Sequence[str], key: str, start: int, out: str):
+    """Front numbers of one bounded block: one more than the deepest row that dominates a row."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[list(objectives)].to_numpy(dtype=np.float64)
+        order = np.lexsort(x.T[::-1])  # a dominating row always comes before
+        x = x[order]
+        rank = np.zeros(len(x), dtype=np.int32)
+        for i in range(1, len(x)):
+            above = (x[:i] <= x[i]).all(axis=1) & (x[:i] < x[i]).any(axis=1)
+            if above.any():
+                rank[i] = rank[:i][above].max() + 1
+        return pd.DataFrame({key: rows[key].to_numpy()[order], out: rank + start})
+
+    return run
+
+
 def nondominated_rank(
-    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id",
-    max_fronts: int | None = None, out: str = "front",
+    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", out: str = "front",
+    small_rows: int = 20_000,
 ) -> DataFrame:
-    """Front number from 0 for every row, peeling one front at a time.
+    """Front number from 0 for every row.
 
-    The remainder is checkpointed each round, so the plan does not grow with the number of fronts. With
-    `max_fronts`, rows beyond the last one asked for keep a NULL front.
+    Fronts are peeled off one at a time, each with the distributed test, and the remainder is checkpointed
+    so the plan does not grow. Once at most `small_rows` rows are left, one task ranks them exactly.
     """
-    rest = checkpointed(df.select(key, *objectives))
+    rest = checkpointed(df.select(key, *[F.col(o).cast("double").alias(o) for o in objectives]))
     levels = []
-    while (max_fronts is None or len(levels) < max_fronts) and not rest.isEmpty():
+    while rest.count() > small_rows:
         front = checkpointed(pareto_front(rest, objectives, key=key).select(key, F.lit(len(levels)).alias(out)))
         levels.append(front)
         rest = checkpointed(rest.join(front, key, "left_anti"))
-    if not levels:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    return df.join(reduce(lambda a, b: a.unionByName(b), levels), key, "left")
+    kind = dict(rest.dtypes)[key]
+    last = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_rank_block(objectives, key, len(levels), out), f"{key} {kind}, {out} int")
+    return df.join(reduce(lambda a, b: a.unionByName(b), [*levels, last]), key, "left")
 
 
 def crowding_distance(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from heatgrid import schema as S
 from heatgrid.catalog import interventions_table
+from heatgrid.functions.numeric import hash_uniform_sql
 from heatgrid.operators import composite, hotspots, interventions as iv, ml, sampling, score
 from heatgrid.operators.support import checkpointed
 from heatgrid.plans import cooling, dataset, scene, train
@@ -207,7 +208,12 @@ def quality_report(spark, sf):
                       F.col("missing")["NDVI"].alias("ndvi_missing"), F.filter("range_issues", lambda x: x["feature"] == "NDBI")[0]["n_outside"].alias("ndbi_outside"))
 
 
-@query("validated_dataset")
+_U42 = hash_uniform_sql('"PixelID"', 42)
+
+
+@query("validated_dataset", with_pixels(f"""SELECT CASE WHEN {_U42} < 0.7 THEN 'train' WHEN {_U42} < 0.8 THEN 'val' ELSE 'test' END AS split, count(*) AS n,
+    {s6('avg("LST")')} AS lst, CAST(sum(CASE WHEN "LULC_ESA" = 50 THEN 1 ELSE 0 END) AS BIGINT) AS built FROM px WHERE "LST" > 0 AND "LST" < 65 AND "NDVI" IS NOT NULL
+    AND "NDBI" IS NOT NULL AND "NDWI" IS NOT NULL AND "Elevation" IS NOT NULL GROUP BY 1"""))
 def validated_dataset(spark, sf):
     out = dataset.validated_dataset(pixels(spark, sf))
     return rounded(out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("LST").alias("lst"), F.sum("LULC_ESA_Built_up").alias("built")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatgrid import schema as S
+from heatgrid.functions.numeric import hash_uniform_sql
 from heatgrid.catalog import STACKING_FACTORS, catalogue, effects_table, interventions_table
 from heatgrid.operators import interventions as iv, packages as pk, scenarios as sc
 from heatgrid.operators.score import heat_score, quartile_thresholds, score_bounds
@@ -380,19 +381,12 @@ def pareto_front(spark, sf):
     return pk.pareto_front(objectives(spark, sf), _OBJ)
 
 
-# Ranks: the three longest-known fronts of all packages; deeper rows have no front number.
-_FRONTS = f"""f0 AS (SELECT package_id FROM ob a WHERE NOT EXISTS (SELECT 1 FROM ob b WHERE {_DOM})),
-    r1 AS (SELECT * FROM ob WHERE package_id NOT IN (SELECT package_id FROM f0)),
-    f1 AS (SELECT package_id FROM r1 a WHERE NOT EXISTS (SELECT 1 FROM r1 b WHERE {_DOM})),
-    r2 AS (SELECT * FROM r1 WHERE package_id NOT IN (SELECT package_id FROM f1)),
-    f2 AS (SELECT package_id FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE {_DOM})),
-    fr AS (SELECT ob.*, CASE WHEN f0.package_id IS NOT NULL THEN 0 WHEN f1.package_id IS NOT NULL THEN 1 WHEN f2.package_id IS NOT NULL THEN 2 END AS front
-      FROM ob LEFT JOIN f0 USING (package_id) LEFT JOIN f1 USING (package_id) LEFT JOIN f2 USING (package_id))"""
-
-
-@query("nondominated_rank", f"""WITH {PACKAGES}, {_METRICS}, {_OB}, {_FRONTS} SELECT package_id, front FROM fr""")
+# A row's front is the length of the longest chain of rows that dominate one another above it.
+@query("nondominated_rank", f"""WITH RECURSIVE {PACKAGES}, {_METRICS}, {_OB}, dm AS (SELECT a.package_id AS low, b.package_id AS high FROM ob a JOIN ob b ON {_DOM}),
+    ch AS (SELECT package_id, 0 AS depth FROM ob UNION SELECT dm.low, ch.depth + 1 FROM ch JOIN dm ON dm.high = ch.package_id)
+    SELECT package_id, CAST(max(depth) AS INT) AS front FROM ch GROUP BY 1""")
 def nondominated_rank(spark, sf):
-    return pk.nondominated_rank(objectives(spark, sf), _OBJ, max_fronts=3).select("package_id", "front")
+    return pk.nondominated_rank(objectives(spark, sf), _OBJ).select("package_id", "front")
 
 
 _CROWD = " + ".join(f"""CASE WHEN n <= 2 OR p_{o} IS NULL OR x_{o} IS NULL THEN 1e9 WHEN hi_{o} = lo_{o} THEN 0 ELSE (x_{o} - p_{o}) / (hi_{o} - lo_{o}) END""" for o in _OBJ)
@@ -457,15 +451,25 @@ def top_n(spark, sf):
     return pk.top_n(df, [F.col("priority_score").desc(), F.col("package_id")], 10).select("package_id", "priority_score")
 
 
-# --- hashed draws: no SQL twin -------------------------------------------------------------------------------------------
+# --- hashed draws ------------------------------------------------------------------------------------------------------
+
+def _draw(salt: int) -> str:
+    return hash_uniform_sql(f"package_id * {N_IDS} + pos", 420 + salt)
+
+
+_CANDIDATES = f"""gn AS (SELECT package_id, pos, id, CASE WHEN {_draw(0)} < 0.7 THEN 0e0 ELSE {_draw(1)} * 0.8e0 END AS c, {_draw(2)} AS d, {_draw(3)} * 0.5e0 + 0.1e0 AS r
+    FROM (SELECT row_number() OVER () - 1 AS package_id FROM part), it),
+    gs AS (SELECT *, count(CASE WHEN c > 0 THEN 1 END) OVER (PARTITION BY package_id) AS active, row_number() OVER (PARTITION BY package_id ORDER BY d, id) AS nth FROM gn),
+    gk AS (SELECT package_id, pos, id, round_even(CASE WHEN active < 2 THEN CASE WHEN nth <= 3 THEN r ELSE 0e0 END ELSE c END, 2) AS coverage FROM gs),
+    gt AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY coverage DESC, pos) AS strength FROM gk WHERE coverage > 0.05)"""
+
 
-@query("candidate_packages")
+@query("candidate_packages", f"""WITH {CATALOG}, {_CANDIDATES} SELECT package_id, id, coverage FROM gt WHERE strength <= 6""")
 def candidate_packages(spark, sf):
-    """As many random packages as there are parts: how often each intervention is used, and how strongly."""
+    """As many random packages as there are parts."""
     n = table(spark, sf, "part").count()
     df = pk.candidate_packages(spark, n, IDS)
-    return rounded(iv.expand_package(df, interventions_table(spark)).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("coverage").alias("mean_coverage"), F.max("coverage").alias("max_coverage")))
+    return df.select("package_id", F.inline("items"))
 
 
 @query("effect_uncertainty")
