@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heatgrid import schema as S
 from heatgrid.catalog import STACKING_FACTORS, Effect, Intervention, catalogue, effects_table, interventions_table
-from heatgrid.functions.numeric import clamp_nested, round_even
+from heatgrid.functions.numeric import clamp_nested, hash_uniform, round_even
 from heatgrid.operators.support import replace_columns, unnest
 
 PACKAGE_TYPE = "array<struct<id:string,coverage:double>>"
@@ -283,14 +283,13 @@ def effect_uncertainty(
 ) -> DataFrame:
     """Monte-Carlo over the effects' sampling ranges: (package_id, feature, mean, std, p5, p95, original).
 
-    Each draw is a hashed uniform of (package, draw, effect): drawn values travel as data and the catalogue
+    Each draw is a hashed uniform of (package number, draw, item, effect): drawn values travel as data and the catalogue
     stays as it is.
     """
     features = list(baseline)
     indexed = stack_index(packages, effects_table(spark)).where(F.col("feature").isin(features))
     draws = indexed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(package_id), "draw", "intervention_id", "item_seq", "seq"),
-               F.lit(1 << 30)) / float(1 << 30)
+    u = hash_uniform(((F.col(package_id) * n + F.col("draw")) * 64 + F.col("item_seq")) * 16 + F.col("seq"), seed)
     value = F.col("lo") + u * (F.col("hi") - F.col("lo"))
     step = F.struct("item_seq", "seq", "mode", value.alias("value"), (F.col("coverage") * F.col("stack")).alias("k"))
     per_draw = draws.groupBy(package_id, "feature", "draw").agg(F.array_sort(F.collect_list(step)).alias("steps"))

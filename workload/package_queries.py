@@ -28,8 +28,8 @@ CATALOG = ("it AS (SELECT * FROM (VALUES " + ", ".join(
     f"({n}, {_lit(i.id)}, {_lit(i.name)}, {_lit(i.category)}, {_lit(i.cool_typical)}, {_lit(i.unit_cost)}, {_lit(i.feasibility)}, {len(i.co_benefits)})"
     for n, i in enumerate(catalogue())) + ") t(pos, id, name, category, typical, unit_cost, feasibility, n_cb)), "
     "ef AS (SELECT * FROM (VALUES " + ", ".join(
-        f"({_lit(e.intervention_id)}, {e.seq}, {_lit(e.feature)}, {_lit(e.mode)}, {_lit(e.value)})" for i in catalogue() for e in i.effects)
-    + ") t(intervention_id, eseq, feature, mode, value)), "
+        f"({_lit(e.intervention_id)}, {e.seq}, {_lit(e.feature)}, {_lit(e.mode)}, {_lit(e.value)}, {_lit(e.lo)}, {_lit(e.hi)})" for i in catalogue() for e in i.effects)
+    + ") t(intervention_id, eseq, feature, mode, value, e_lo, e_hi)), "
     "cbn AS (SELECT * FROM (VALUES " + ", ".join(f"({_lit(i.id)}, {_lit(b)})" for i in catalogue() for b in i.co_benefits) + ") t(id, benefit))")
 
 # Packages: three different interventions per part, coverage from the part's key.
@@ -92,7 +92,7 @@ def expand_package(spark, sf):
     return df.select("package_id", "seq", "id", "coverage", "category", F.col("cost_per_unit.value").alias("unit_cost"), F.col("feasibility_score").alias("feasibility"))
 
 
-_HITS = """hi AS (SELECT package_id, seq, eseq, feature, mode, value, coverage, row_number() OVER (PARTITION BY package_id, feature ORDER BY seq, eseq) AS hit
+_HITS = """hi AS (SELECT package_id, seq, eseq, feature, mode, value, e_lo, e_hi, coverage, row_number() OVER (PARTITION BY package_id, feature ORDER BY seq, eseq) AS hit
     FROM pi JOIN ef ON ef.intervention_id = pi.id)"""
 _STACK = "CASE least(hit, 6) " + " ".join(f"WHEN {n} THEN {s}e0" for n, s in enumerate(STACKING_FACTORS, 1)) + " END"
 
@@ -472,8 +472,24 @@ def candidate_packages(spark, sf):
     return df.select("package_id", F.inline("items"))
 
 
-@query("effect_uncertainty")
+_MC = ["NDVI", "NDBI", "Albedo"]
+_MC_U = hash_uniform_sql("((package_id * 20 + draw) * 64 + seq) * 16 + eseq", 42)
+
+
+def _mc(feature: str) -> str:
+    out = f"""SELECT package_id, draw, (SELECT avg("{feature}") FROM px) AS x0, * EXCLUDE (package_id, draw) FROM ms WHERE feature = '{feature}'"""
+    for i in (1, 2, 3):
+        step = step_sql(f"x{i - 1}", f"m{i}", f"v{i}", f"k{i}", S.EFFECT_BOUNDS[feature])
+        out = f"SELECT *, CASE WHEN m{i} IS NULL THEN x{i - 1} ELSE {step} END AS x{i} FROM ({out})"
+    return (f"SELECT package_id, '{feature}' AS feature, {s6('round_even(avg(x3), 4)')} AS mean, {s6('round_even(stddev_pop(x3), 4)')} AS std, "
+            f"{s6('round_even(quantile_cont(x3, 0.05), 4)')} AS p5, {s6('round_even(quantile_cont(x3, 0.95), 4)')} AS p95, {s6('round_even(min(x0), 4)')} AS original "
+            f"FROM ({out}) GROUP BY 1")
+
+
+@query("effect_uncertainty", with_pixels(" UNION ALL ".join(_mc(f) for f in _MC), PACKAGES, _HITS,
+    f"un AS (SELECT package_id, feature, draw, hit, mode, e_lo + {_MC_U} * (e_hi - e_lo) AS v, coverage * {_STACK} AS k FROM hi, (SELECT unnest(range(0, 20)) AS draw))",
+    "ms AS (SELECT package_id, feature, draw, " + ", ".join(f"max(CASE WHEN hit = {i} THEN {c} END) AS {c[0]}{i}" for i in (1, 2, 3) for c in ("mode", "v", "k")) + " FROM un GROUP BY 1, 2, 3)"))
 def effect_uncertainty(spark, sf):
     """Monte-Carlo of every package on the mean pixel."""
-    means = pixels(spark, sf).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in ("NDVI", "NDBI", "Albedo")]).first().asDict()
-    return iv.effect_uncertainty(spark, packages(spark, sf), means, n=20)
+    means = pixels(spark, sf).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in _MC]).first().asDict()
+    return rounded(iv.effect_uncertainty(spark, packages(spark, sf), means, n=20))
