@@ -30,16 +30,23 @@ def predict_complete(df: DataFrame, features: Sequence[str], predict: Predict, s
 
 def pair_with_packages(
     pixels: DataFrame, packages: DataFrame, effects: DataFrame, features: Sequence[str], *,
-    package_id: str = "package_id", chunk: int = 2000,
+    package_id: str = "package_id", chunk: int = 2000, spread_from: int = 64,
 ) -> list[DataFrame]:
     """Pixels changed by every package, as one DataFrame per chunk of packages.
 
     A what-if table is by definition every package on every pixel. The chunk's packages (at most about
-    `chunk`, counted first) form one array; each task expands it next to its own pixels, so pixels are
-    never moved and no join is planned. Any number of packages is handled by more chunks.
+    `chunk`, counted first) form one array; each task expands it next to its own pixels, and no join is
+    planned. Any number of packages is handled by more chunks. From `spread_from` packages on, the work
+    per pixel outweighs moving it: the (narrow) pixel rows are dealt out evenly once, because a filter to
+    hotspots leaves partitions of very different size.
     """
     compiled = compile_packages(packages, effects, features, package_id=package_id)
-    n_chunks = max(1, -(-packages.count() // chunk))
+    total = packages.count()
+    n_chunks = max(1, -(-total // chunk))
+    if total >= spread_from:
+        spark = pixels.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        pixels = pixels.repartition(tasks)
     out = []
     for i in range(n_chunks):
         part = compiled if n_chunks == 1 else compiled.where(
