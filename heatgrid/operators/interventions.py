@@ -125,35 +125,37 @@ def stack_index(packages: DataFrame, effects: DataFrame, *, package_id: str = "p
     )
 
 
+def affine_step(mode: Column, value: Column, k: Column) -> list[Column]:
+    """An effect as x -> x * scale + shift, kept from falling below x where `raise_only` holds."""
+    scale = F.when(mode == "multiply", (value - 1.0) * k + 1.0).when(mode == "set_max", F.lit(1.0) - k).otherwise(1.0)
+    shift = F.when(mode == "multiply", 0.0).otherwise(value * k)
+    return [scale.alias("scale"), shift.alias("shift"), (mode == "set_max").alias("raise_only")]
+
+
 def compile_packages(packages: DataFrame, effects: DataFrame, features: Sequence[str], *,
                      package_id: str = "package_id", items: str = "items") -> DataFrame:
-    """(package_id, one `steps_<feature>` array of (mode, value, k) per feature); k = coverage x stack.
+    """(package_id, one `steps_<feature>` array of ordered affine steps per feature).
 
     Packages without a known intervention keep empty arrays.
     """
     indexed = stack_index(packages, effects, package_id=package_id, items=items)
-    step = F.struct("item_seq", "seq", "mode", "value", (F.col("coverage") * F.col("stack")).alias("k"))
+    step = F.struct("item_seq", "seq", *affine_step(F.col("mode"), F.col("value"), F.col("coverage") * F.col("stack")))
     arrays = indexed.where(F.col("feature").isin(list(features))).groupBy(package_id).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("feature") == f, step))).alias(f"steps_{f}") for f in features
     ])
-    empty = F.array().cast("array<struct<item_seq:int,seq:int,mode:string,value:double,k:double>>")
+    empty = F.array().cast("array<struct<item_seq:int,seq:int,scale:double,shift:double,raise_only:boolean>>")
     joined = packages.select(package_id).join(arrays, package_id, "left")
     return joined.select(package_id, *[F.coalesce(f"steps_{f}", empty).alias(f"steps_{f}") for f in features])
 
 
 def fold_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Column:
-    """Apply an array of (mode, value, k) in order to one value."""
+    """Apply affine steps in order to one value, clamping after each. Kept short: lambdas are interpreted."""
 
     def change(acc: Column, s: Column) -> Column:
-        moved = (
-            F.when(s["mode"] == "add", acc + s["value"] * s["k"])
-            .when(s["mode"] == "multiply", acc * (F.lit(1.0) + (s["value"] - 1.0) * s["k"]))
-            .when(s["mode"] == "set_max", acc + F.greatest((s["value"] - acc) * s["k"], F.lit(0.0)))
-            .otherwise(acc)
-        )
-        return F.when(acc.isNotNull(), clamp_nested(moved, *bounds))
+        new = acc * s["scale"] + s["shift"]
+        return clamp_nested(F.when(s["raise_only"], F.greatest(acc, new)).otherwise(new), *bounds)
 
-    return F.aggregate(steps, x.cast("double"), change)
+    return F.when(x.isNotNull(), F.aggregate(steps, x.cast("double"), change))
 
 
 def trace_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Column:
@@ -184,7 +186,7 @@ def package_detail(df: DataFrame, items: Sequence[tuple[str, float]], features:
     per_feature = []
     for feature, steps in effect_steps(items, features).items():
         literal = F.array(*[
-            F.struct(F.lit(e.mode).alias("mode"), F.lit(e.value).alias("value"), F.lit(c * s).alias("k"))
+            F.struct(F.lit(e.mode).alias("mode"), *affine_step(F.lit(e.mode), F.lit(e.value), F.lit(c * s)))
             for e, c, s in steps
         ])
         traced = trace_steps(F.col(feature), literal, S.EFFECT_BOUNDS.get(feature, (None, None)))
@@ -291,7 +293,7 @@ def effect_uncertainty(
     draws = indexed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u = hash_uniform(((F.col(package_id) * n + F.col("draw")) * 64 + F.col("item_seq")) * 16 + F.col("seq"), seed)
     value = F.col("lo") + u * (F.col("hi") - F.col("lo"))
-    step = F.struct("item_seq", "seq", "mode", value.alias("value"), (F.col("coverage") * F.col("stack")).alias("k"))
+    step = F.struct("item_seq", "seq", *affine_step(F.col("mode"), value, F.col("coverage") * F.col("stack")))
     per_draw = draws.groupBy(package_id, "feature", "draw").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     start = F.create_map(*[F.lit(x) for f in features for x in (f, float(baseline[f]))])[F.col("feature")]
     folded = None
