@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import langid, quality
+from heatgrid.llm import langid, license_scan, quality, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,19 @@ def _fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are installed (the folder is the package `public_tokenizers`)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices")
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = table(spark, sf, "documents").select("doc_id", "text"), _fold(5) == 0
@@ -44,3 +57,8 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = table(spark, sf, "documents"), _fold(4) == 2
     model = langid.fit_language(docs.where(~held_out).select("text", "lang"))
     return langid.predict_language(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
