@@ -7,11 +7,12 @@ slices of a few megabytes, so the memory of a task does not depend on how many d
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 SLICE_BYTES = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -133,6 +134,22 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(filled), F.xxhash64(F.lit("second"), filled)]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; all executors and the driver see it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: later steps survive lost executors and repeat nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def map_texts(docs: DataFrame, keep: dict[str, Column], text: Column, work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: list[tuple[str, T.DataType | str]]) -> DataFrame:
     """Arrow batches of (keep columns, text) through `work`; only these columns are read."""

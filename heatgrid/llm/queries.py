@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import langid, license_scan, quality, token_count
+from heatgrid.llm import langid, license_scan, packing, quality, token_count, token_output
+from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +40,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """The documents' pieces in sequences, each with the checksum of its ids."""
+    pieces = packing.piece_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"))
+    return packing.pack(narrow).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(table(spark, sf, "documents"))
+
+
 @query("op2_licenses")
 def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf, "documents"))
@@ -62,3 +76,11 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op10_token_ids")
+def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_output.write_token_ids(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
+    back = token_output.read_token_ids(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
