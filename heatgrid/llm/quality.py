@@ -80,32 +80,35 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return (b"".join(texts) or b"\n")[-size:].ljust(8, b"\n")
 
 
-def fit_quality(labelled: DataFrame, text: str = "text", label: str = "label", sample_per_label: int = 3000,
-                sample_bytes: int = 4096, dictionary_bytes: int = 65536) -> QualityModel:
-    """Fit on a bounded sample: per label the `sample_per_label` texts with the smallest text hash, and of each a
-    window of `sample_bytes` characters at a place drawn by that hash. Half of them make the dictionaries, the
-    other half the curve, weighted as the labels occur in the whole labelled table."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {int(r[0]): int(r[1]) for r in rows.groupBy(label).count().collect()}
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label",
+                sample_per_label: int = 2000, sample_bytes: int = 4096, dictionary_bytes: int = 65536) -> QualityModel:
+    """Fit on a bounded sample: per label the `sample_per_label` labelled ids with the smallest hash, and of each text a
+    window of `sample_bytes` characters at a place drawn by that hash. Half of them make the dictionaries, the other
+    half the curve, weighted as the labels occur in the whole table of labels. Only the sampled ids are broadcast, so
+    no text is shuffled."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
+    counts = {int(r[0]): int(r[1]) for r in rows.groupBy("_label").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
-    if len(counts) < 2:
-        return QualityModel(b"\n" * 8, b"\n" * 8, (float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), 0.0, 0.0, 0.0), prior)
     halves: dict[int, list[list[bytes]]] = {}
-    for value in (0, 1):
-        order = F.xxhash64(F.lit(17), F.col(text))
-        room = F.greatest(F.length(text) - F.lit(sample_bytes), F.lit(0)) + 1
-        window = F.substring(F.col(text), (F.pmod(order, room) + 1).cast("int"), F.lit(sample_bytes))
-        drawn = rows.where(F.col(label) == value).select(order.alias("_order"), window.alias("_window")).distinct().orderBy("_order").limit(sample_per_label)
-        texts = [r["_window"].encode() for r in drawn.collect()]
-        halves[value] = [texts[0::2], texts[1::2] or texts]
+    order = F.xxhash64(F.lit(17), F.col("_id"))
+    for value in counts:
+        drawn = rows.where(F.col("_label") == value).select("_id", order.alias("_order")).orderBy("_order", "_id").limit(sample_per_label)
+        room = F.greatest(F.length(F.col(text)) - F.lit(sample_bytes), F.lit(0)) + 1
+        window = F.substring(F.col(text), (F.pmod(F.col("_order"), room) + 1).cast("int"), F.lit(sample_bytes))
+        found = docs.select(F.col(id_col).alias("_id"), F.col(text)).where(F.length(text) > 0).join(F.broadcast(drawn), "_id")
+        texts = [r["_window"].encode() for r in found.select("_order", window.alias("_window")).distinct().orderBy("_order", "_window").collect()]
+        if texts:
+            halves[value] = [texts[0::2], texts[1::2] or texts]
+    if len(halves) < 2:
+        return QualityModel(b"\n" * 8, b"\n" * 8, (float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), 0.0, 0.0, 0.0), prior)
     bad, good = (_dictionary(halves[v][0], dictionary_bytes) for v in (0, 1))
     sizes = _Sizes(good, bad)
     held = [(t, v) for v in (0, 1) for t in halves[v][1]]
     difference = np.array([sizes.difference(memoryview(t)) for t, _ in held])
-    labels = np.array([v for _, v in held], float)
-    weights = np.array(_fit_curve(_features(difference, np.array([len(t) for t, _ in held])), labels))
-    shown = labels.mean()  # the sample is balanced; the intercept moves to the shares of the table
+    marks = np.array([v for _, v in held], float)
+    weights = np.array(_fit_curve(_features(difference, np.array([len(t) for t, _ in held])), marks))
+    shown = marks.mean()  # the intercept moves from the shares of the sample to those of the table
     weights[0] += np.log(prior / (1 - prior)) - np.log(shown / (1 - shown))
     return QualityModel(good, bad, tuple(float(v) for v in weights), prior)
 

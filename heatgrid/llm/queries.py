@@ -61,8 +61,8 @@ def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = table(spark, sf, "documents").select("doc_id", "text"), _fold(5) == 0
-    labelled = table(spark, sf, "labels").select("doc_id", "quality").where(~held_out).join(docs, "doc_id")
-    model = quality.fit_quality(labelled, label="quality")
+    labels = table(spark, sf, "labels").select("doc_id", "quality").where(~held_out)
+    model = quality.fit_quality(docs, labels, label="quality")
     return quality.score_quality(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
 
 
