@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import langid, license_scan, packing, quality, token_count, token_output
+from heatgrid.llm import decontam, langid, license_scan, packing, quality, token_count, token_output
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices")
 
 
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = table(spark, sf, "documents").select("doc_id", "text"), _fold(5) == 0
