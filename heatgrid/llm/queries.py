@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import decontam, langid, license_scan, packing, quality, token_count, token_output
+from heatgrid.llm import ann, decontam, langid, license_scan, packing, quality, token_count, token_output
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices")
 
 
+@query("op3_neighbours")
+def op3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
