@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import ann, decontam, langid, license_scan, packing, quality, token_count, token_output
+from heatgrid.llm import ann, decontam, langid, license_scan, packing, quality, substring, token_count, token_output
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op5_substrings")
+def op5_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    values = substring.remove_repeats(docs).select("k1", "k2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring.per_document(docs, values, [F.col("doc_id")]).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, held_out = table(spark, sf, "documents").select("doc_id", "text"), _fold(5) == 0
