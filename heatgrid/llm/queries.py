@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import ann, decontam, langid, license_scan, packing, quality, substring, token_count, token_output
+from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, substring, token_count, token_output
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,11 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict_language(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.classes(table(spark, sf, "documents"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
