@@ -104,15 +104,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, np.int64)
 
 
-def opened(fill: np.ndarray, bound: int, capacity: int) -> np.ndarray:
-    """Which bins give their documents back for the next round."""
+def opened(fill: np.ndarray, bound: int, capacity: int, number: int) -> np.ndarray:
+    """Which bins give their documents back for the next round: where the packing is not certified, all with a gap that
+    is notable in this round (from a 256th of the capacity on, twice as much in each round); else the emptiest one."""
     gaps = capacity - fill
-    again = np.zeros(len(fill), bool)
-    if len(fill) > bound:
-        again = gaps > capacity // 64
-    if gaps.any():
-        again[np.argmax(gaps)] = True
-    return again & (gaps > 0)
+    again = gaps > (capacity >> max(1, 8 - number)) if len(fill) > bound else np.zeros(len(fill), bool)
+    again[np.argmax(gaps)] |= gaps.max() > capacity // 64
+    return again
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
@@ -125,7 +123,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, pe
     kind = T.StructType([*held.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType()), T.StructField("again", T.BooleanType())])
     while True:
         parts = max(1, -(-left // per_partition))
-        last = parts == 1
+        last = parts == 1 or number > 16
         dealt = held.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)).cast("int"))
 
         def run(batches: Iterator[pa.RecordBatch], number: int = number, last: bool = last) -> Iterator[pa.RecordBatch]:
@@ -134,7 +132,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, pe
                 lengths = table.column("n").to_numpy().astype(np.int64)
                 bins, offsets, fill = best_fit(lengths, capacity)
                 bound = lower_bound(lengths, capacity)
-                again = np.zeros(len(fill), bool) if last else opened(fill, bound, capacity)
+                again = np.zeros(len(fill), bool) if last else opened(fill, bound, capacity, number)
                 base = (number << 56) | (part << 24)
                 done = table.drop_columns(["part"])
                 for name, values in (("sequence_id", bins + base), ("offset", offsets), ("certified", np.full(len(bins), len(fill) == bound)), ("again", again[bins])):

@@ -101,7 +101,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         if texts:
             halves[value] = [texts[0::2], texts[1::2] or texts]
     if len(halves) < 2:
-        return QualityModel(b"\n" * 8, b"\n" * 8, (float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), 0.0, 0.0, 0.0), prior)
+        return QualityModel(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0, 0.0), prior)
     bad, good = (_dictionary(halves[v][0], dictionary_bytes) for v in (0, 1))
     sizes = _Sizes(good, bad)
     held = [(t, v) for v in (0, 1) for t in halves[v][1]]
@@ -124,7 +124,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         raw = memoryview(np.ascontiguousarray(data))
         difference = np.array([sizes.difference(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
         length = np.diff(offsets)
-        score = np.where(length > 0, _logistic(_features(difference, length) @ np.array(model.weights)), model.prior)
+        score = np.where((length > 0) & any(model.weights[1:]), _logistic(_features(difference, length) @ np.array(model.weights)), model.prior)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"]
         )
