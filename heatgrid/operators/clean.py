@@ -181,15 +181,18 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def spatial_dedup(
     df: DataFrame, *, lat: str = "Latitude", lon: str = "Longitude", quality: str = "QualityScore",
-    key: str = "PixelID", digits: int = 6,
+    target: str = "LST", key: str = "PixelID", digits: int = 6,
 ) -> DataFrame:
-    """One row per rounded coordinate: the best quality, then the lowest id.
+    """One row per rounded coordinate: the best quality, then the lowest id. Where the table has no quality, the row with
+    the highest `target` is kept (if it has one), then the lowest id.
 
     An aggregate, not a window: each map task already reduces a coordinate to one row, so a coordinate
     that holds a large part of the table costs one row per task in the shuffle.
     """
     row = F.struct(*df.columns)
-    rank = F.struct(F.coalesce(F.col(quality).cast("double"), F.lit(float("-inf"))), -F.col(key))
+    best = next((c for c in (quality, target) if c in df.columns), None)
+    score = F.lit(0.0) if best is None else F.coalesce(F.col(best).cast("double"), F.lit(float("-inf")))
+    rank = F.struct(score, F.coalesce(-F.col(key), F.lit(-(1 << 63)).cast("bigint")))
     return (
         df.groupBy(round_even(F.col(lat), digits).alias("_lat"), round_even(F.col(lon), digits).alias("_lon"))
         .agg(F.max_by(row, rank).alias("_row"))
@@ -291,12 +294,9 @@ def impute(
     return replace_columns(df, new)
 
 
-def observed_codes(df: DataFrame, column: str, limit: int = 256) -> list[int]:
-    """Distinct codes of a categorical column (an action; refuses columns that are not categorical)."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; it is not a categorical column")
-    return sorted(int(r[0]) for r in rows)
+def observed_codes(df: DataFrame, column: str) -> list[int]:
+    """Distinct codes of a categorical column (an action; the result has a column per code, so there are few)."""
+    return sorted(int(r[0]) for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, column: str, labels: Mapping[int, str], codes: Sequence[int] | None = None) -> DataFrame:

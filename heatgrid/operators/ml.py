@@ -20,8 +20,8 @@ from heatgrid.functions.indices import code_label
 from heatgrid.functions.numeric import clip, hash_uniform, round_even
 from heatgrid.operators.profile import regression_metrics
 from heatgrid.operators.quantiles import column_medians
-from heatgrid.operators.sampling import kfold
-from heatgrid.operators.support import local_table, number_rows, present, replace_columns
+from heatgrid.operators.sampling import kfold, stratified_kfold
+from heatgrid.operators.support import checkpointed, local_table, number_rows, present, replace_columns
 
 
 @dataclass
@@ -97,6 +97,7 @@ def fill_with_medians(df: DataFrame, features: Sequence[str], medians: Mapping[s
 
 def classification_metrics(predicted: DataFrame, label: str, prediction: str, probability: str | None = None,
                            classes: Sequence[int] = (0, 1, 2, 3)) -> dict[str, float]:
+    """Weighted scores; `probability` names the scores per class, any increasing function of a probability will do."""
     def metric(name: str) -> float:
         return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName=name).evaluate(predicted)
 
@@ -108,22 +109,31 @@ def classification_metrics(predicted: DataFrame, label: str, prediction: str, pr
     return out
 
 
-def ovr_auc(predicted: DataFrame, label: str, probability: str, classes: Sequence[int], bins: int = 100_000) -> DataFrame:
-    """(class, auc, support) one-vs-rest, from counts per rounded score.
+def class_scores(predicted: DataFrame) -> str | None:
+    """The column with a score per class: the probability, or what a one-vs-rest model offers instead."""
+    return next((c for c in ("probability", "rawPrediction") if c in predicted.columns), None)
 
-    Rounding the probability to 1/bins bounds the table that is cumulated to `bins` rows per class; ties
-    count one half. Works on a probability vector or array.
+
+def ovr_auc(predicted: DataFrame, label: str, probability: str, classes: Sequence[int]) -> DataFrame:
+    """(class, auc, support) one-vs-rest, exact: counts per distinct score, ties count one half.
+
+    Scores are counted, dealt out by range and cumulated inside their range; only one row per class and range meets in
+    one place to give the negatives below it, so no class is sorted in one task. Works on a vector or array of scores.
     """
     kind = dict(predicted.dtypes)[probability]
     scores = F.col(probability) if kind.startswith("array") else vector_to_array(F.col(probability))
     rows = predicted.select(F.col(label).cast("int").alias("_t"), F.posexplode(scores).alias("class", "_p"))
     rows = rows.where(F.col("class").isin(list(classes)))
     positive = (F.col("_t") == F.col("class")).cast("bigint")
-    counts = rows.groupBy("class", F.floor(F.col("_p") * bins).alias("_b")).agg(
-        F.sum(positive).alias("_pos"), F.sum(F.lit(1) - positive).alias("_neg"))
-    below = Window.partitionBy("class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_pos") * (F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg") * 0.5)
-    summed = counts.withColumn("_w", wins).groupBy("class").agg(
+    counts = rows.groupBy("class", "_p").agg(F.sum(positive).alias("_pos"), F.sum(F.lit(1) - positive).alias("_neg"))
+    placed = checkpointed(counts.repartitionByRange("class", "_p").withColumn("_range", F.spark_partition_id()))
+    ranges = placed.groupBy("class", "_range").agg(F.sum("_neg").alias("_n"))
+    before = Window.partitionBy("class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("class", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    below = Window.partitionBy("class", "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0))).join(F.broadcast(ranges), ["class", "_range"])
+    wins = F.col("_pos") * (F.col("_before") + F.col("_below") + F.col("_neg") * 0.5)
+    summed = within.withColumn("_w", wins).groupBy("class").agg(
         F.sum("_w").alias("_w"), F.sum("_pos").alias("support"), F.sum("_neg").alias("_n"))
     return summed.select("class", (F.col("_w") / F.nullif(F.col("support") * F.col("_n"), F.lit(0))).alias("auc"), "support")
 
@@ -151,7 +161,8 @@ def fit_models(
             cls = Pipeline(stages=[assembler, classifier]).fit(train)
             cls_seconds = time.monotonic() - start
             r = regression_metrics(reg.transform(test), "HeatScore", "prediction").first()
-            c = classification_metrics(cls.transform(test), "HeatClass", "prediction", "probability")
+            judged = cls.transform(test)
+            c = classification_metrics(judged, "HeatClass", "prediction", class_scores(judged))
             cv_r2, cv_f1 = _cross_validate(train, features, regressor, classifier, folds, key) if folds else (None, None)
             rows.append((name, r["rmse"], r["mae"], r["r2"], c["accuracy"], c["precision"], c["recall"], c["f1"],
                          c["roc_auc"], cv_r2, cv_f1, reg_seconds, cls_seconds))
@@ -166,7 +177,7 @@ def fit_models(
 
 def _cross_validate(train, features, regressor, classifier, folds, key):
     r2, f1 = [], []
-    marked = kfold(train, folds, key=key, out="_fold")
+    marked = kfold(train, folds, key=key, out="_fold") if classifier is None else stratified_kfold(train, folds, label="HeatClass", key=key, out="_fold")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="skip")
     for i in range(folds):
         part, held = marked.where(F.col("_fold") != i), marked.where(F.col("_fold") == i)

@@ -39,8 +39,8 @@ def sample_grid(
 def split(
     df: DataFrame, shares: Mapping[str, float], *, key: str = "PixelID", seed: int = 42, out: str = "split",
 ) -> DataFrame:
-    """Random split by name, for example {"train": .7, "val": .15, "test": .15}."""
-    u = hash_uniform(F.col(key), seed)
+    """Random split by name, for example {"train": .7, "val": .15, "test": .15}. Every row needs a key."""
+    u = hash_uniform(F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is null: number the rows first"))).otherwise(F.col(key)), seed)
     names = list(shares)
     bound, label = 0.0, None
     for name in names[:-1]:
@@ -74,6 +74,22 @@ def kfold(df: DataFrame, k: int = 5, *, key: str = "PixelID", seed: int = 42, ou
     return df.withColumn(out, F.floor(hash_uniform(F.col(key), seed) * k).cast("int"))
 
 
+def stratified_kfold(df: DataFrame, k: int = 5, *, label: str, key: str = "PixelID", seed: int = 42, out: str = "fold") -> DataFrame:
+    """Fold number 0..k-1; every fold holds the same share of every class.
+
+    The borders between folds are exact quantiles of the hash within each class, so no class is sorted in one task.
+    There is one row of borders per class, and a class label has few.
+    """
+    hashed = df.withColumn("_u", hash_uniform(F.col(key), seed))
+    cuts = exact_quantiles(hashed, ["_u"], [i / k for i in range(1, k)], by=[label])
+    cuts = cuts.groupBy(F.col(label).alias("_label")).agg(F.collect_list("quantile").alias("_cuts"))
+    above = F.size(F.filter("_cuts", lambda c: F.col("_u") > c))
+    return (
+        hashed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label")), "left")
+        .withColumn(out, F.greatest(above, F.lit(0))).drop("_u", "_cuts", "_label")
+    )
+
+
 def split_counts(df: DataFrame, *, out: str = "split") -> DataFrame:
     total = one_row(df, n=F.count(F.lit(1)))
     return df.groupBy(out).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total["n"])

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from heatgrid.functions.indices import degrees_per_km, haversine_km
+from heatgrid.functions.indices import EARTH_RADIUS_KM, degrees_per_km, haversine_km
 from heatgrid.operators.quantiles import exact_quantiles
 from heatgrid.operators.support import checkpointed, one_row, replace_columns
 
@@ -28,13 +28,24 @@ def lookup_boundary(boundaries: DataFrame, **names: str) -> DataFrame:
 
 
 def in_circle(lat: Column, lon: Column, center: tuple[float, float], radius_km: float) -> Column:
-    """A box test first (it reaches the scan as range predicates), then the great-circle distance."""
-    dlat, dlon = degrees_per_km(center[0])
+    """A box test first (it reaches the scan as range predicates), then the great-circle distance.
+
+    A circle over the 180th meridian has a box on either side of it; one over a pole spans all longitudes.
+    """
+    dlat = degrees_per_km(center[0])[0]
     # The box is a little wide, so rounding at its edge cannot drop a point of the circle.
-    near = lat.between(center[0] - radius_km * dlat * 1.01, center[0] + radius_km * dlat * 1.01)
-    top = min(89.9, abs(center[0]) + radius_km * dlat * 1.01)
-    dlon = max(dlon, degrees_per_km(top)[1]) * 1.01
-    near = near & lon.between(center[1] - radius_km * dlon, center[1] + radius_km * dlon)
+    reach = radius_km * dlat * 1.01
+    near = lat.between(center[0] - reach, center[0] + reach)
+    top = abs(center[0]) + reach
+    if top < 89.9:
+        dlon = radius_km * degrees_per_km(top)[1] * 1.01
+        west, east = center[1] - dlon, center[1] + dlon
+        beside = lon.between(west, east)
+        if west < -180.0:
+            beside = beside | (lon >= west + 360.0)
+        if east > 180.0:
+            beside = beside | (lon <= east - 360.0)
+        near = near & beside
     return near & (haversine_km(lat, lon, F.lit(center[0]), F.lit(center[1])) <= radius_km)
 
 
@@ -58,13 +69,30 @@ def in_polygon(lat: Column, lon: Column, ring: Column) -> Column:
 
 
 def clip_polygon(df: DataFrame, boundary: DataFrame, *, ring: str = "ring", lat: str = "Latitude",
-                 lon: str = "Longitude") -> DataFrame:
-    """Rows inside the polygon of a one-row boundary table, prefiltered by the polygon's box."""
-    vertices = boundary.select(ring).first()[0]  # one polygon
-    lats, lons = [v["lat"] for v in vertices], [v["lon"] for v in vertices]
-    box = F.col(lat).between(min(lats), max(lats)) & F.col(lon).between(min(lons), max(lons))
-    shape = F.array(*[F.struct(F.lit(v["lon"]).alias("lon"), F.lit(v["lat"]).alias("lat")) for v in vertices])
-    return df.where(box).where(in_polygon(F.col(lat), F.col(lon), shape))
+                 lon: str = "Longitude", cells: int = 16) -> DataFrame:
+    """Rows inside a region whose boundary table has one ring per row: parts, and holes in them (even-odd over all rings).
+
+    The region's box is cut into cells x cells; each cell gets the rings that reach into it, and a row is tested against
+    the rings of its own cell only. The box of the whole region reaches the scan as range predicates.
+    """
+    rings = boundary.where(F.size(ring) > 2).select(F.col(ring).alias("_ring"))
+    ends = [("y", F.transform("_ring", lambda p: p["lat"])), ("x", F.transform("_ring", lambda p: p["lon"]))]
+    rings = rings.select("_ring", *[edge(values).alias(f"_{name}{side}") for name, values in ends for side, edge in ((0, F.array_min), (1, F.array_max))])
+    box = one_row(rings, y0=F.min("_y0"), y1=F.max("_y1"), x0=F.min("_x0"), x1=F.max("_x1"))
+    if box.values["y0"] is None:
+        return df.where(F.lit(False))
+
+    def cell(value: Column, axis: str) -> Column:
+        span = F.nullif(box[f"{axis}1"] - box[f"{axis}0"], F.lit(0.0))
+        return F.coalesce(F.least(F.floor((value - box[f"{axis}0"]) / span * cells), F.lit(cells - 1)), F.lit(0)).cast("int")
+
+    for axis in ("y", "x"):
+        rings = rings.withColumn(f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}0"), axis), cell(F.col(f"_{axis}1"), axis))))
+    by_cell = rings.groupBy("_cy", "_cx").agg(F.collect_list("_ring").alias("_rings"))
+    inside = df.where(F.col(lat).between(box["y0"], box["y1"]) & F.col(lon).between(box["x0"], box["x1"]))
+    placed = inside.withColumns({"_cy": cell(F.col(lat), "y"), "_cx": cell(F.col(lon), "x")}).join(by_cell, ["_cy", "_cx"])
+    parity = F.size(F.filter("_rings", lambda r: in_polygon(F.col(lat), F.col(lon), r))) % 2 == 1
+    return placed.where(parity).select(*df.columns)
 
 
 def ring_area_km2(boundary: DataFrame, *, ring: str = "ring") -> DataFrame:
@@ -343,25 +371,38 @@ def _around(df: DataFrame, y: Column, x: Column) -> DataFrame:
         "_by", y + F.col("_dy")).withColumn("_bx", x + F.col("_dx")).drop("_dy", "_dx")
 
 
+def _lon_buckets(band: Column, size_y: float, km: float) -> Column:
+    """Buckets around the globe in a latitude band: each at least as wide as the distance at the highest latitude of the
+    band and its neighbours; one where the distance reaches around a pole."""
+    top = F.greatest(F.abs((band - 1) * size_y), F.abs((band + 2) * size_y))
+    ratio = math.sin(km / (2 * EARTH_RADIUS_KM)) / F.cos(F.radians(F.least(top, F.lit(90.0))))
+    width = F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * 1.0001
+    return F.when((top >= 90.0) | (ratio >= 1.0), F.lit(1)).otherwise(F.greatest(F.floor(360.0 / width), F.lit(1))).cast("bigint")
+
+
 def within_distance(
     left: DataFrame, right: DataFrame, km: float, *, left_id: str, right_id: str, lat: str = "Latitude",
-    lon: str = "Longitude", salts: int = 4, max_abs_lat: float = 60.0,
+    lon: str = "Longitude", salts: int = 4,
 ) -> DataFrame:
-    """Pairs within a distance: (left_id, right_id, distance_km).
+    """Pairs within a distance: (left_id, right_id, distance_km), anywhere on the globe.
 
-    Equi-join on buckets of the distance's size, the left side looking into nine of them. A bucket holding
-    much of the right side is split over `salts` tasks by a hash of the right key.
+    Equi-join on latitude bands, cut into buckets whose width follows the band's latitude and whose numbers wrap at the
+    180th meridian; the left side looks into three bands and up to three buckets of each. A bucket holding much of the right
+    side is split over `salts` tasks by a hash of the right key, large partitions of either side are split at run time.
     """
-    dlat, dlon = degrees_per_km(max_abs_lat)
-    size_y, size_x = km * dlat * 1.02, km * dlon * 1.02
-    a = left.select(F.col(left_id).alias("_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
-    a = _around(a, F.floor(F.col("_la") / size_y), F.floor(F.col("_lo") / size_x))
-    a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    size_y = min(km * degrees_per_km(0.0)[0] * 1.02, 180.0)
+    a = left.select(F.col(left_id).alias("_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo")).where("_la IS NOT NULL AND _lo IS NOT NULL")
+    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    a = a.withColumn("_dy", F.explode(step)).withColumn("_by", F.floor(F.col("_la") / size_y) + F.col("_dy")).withColumn("_n", _lon_buckets(F.col("_by"), size_y, km))
+    at = F.floor((F.col("_lo") + 180.0) / 360.0 * F.col("_n"))
+    a = a.withColumn("_bx", F.explode(F.array_distinct(F.transform(step, lambda k: F.pmod(at + k, F.col("_n"))))))
+    a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_n")
     b = right.select(
-        F.col(right_id).alias("_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"),
-        F.floor(F.col(lat) / size_y).alias("_by"), F.floor(F.col(lon) / size_x).alias("_bx"),
+        F.col(right_id).alias("_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), F.floor(F.col(lat) / size_y).alias("_by"),
         F.pmod(F.xxhash64(right_id), F.lit(salts)).cast("int").alias("_salt"),
     )
+    n = _lon_buckets(F.col("_by"), size_y, km)
+    b = b.withColumn("_bx", F.pmod(F.floor((F.col("_ro") + 180.0) / 360.0 * n), n))
     d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
     joined = a.join(b, ["_by", "_bx", "_salt"]).withColumn("distance_km", d).where(F.col("distance_km") <= km)
     return joined.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "distance_km")

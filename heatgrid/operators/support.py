@@ -79,17 +79,26 @@ def unnest(df: DataFrame, ids: Sequence[str], array: Column | str, required: str
     return df.select(*ids, F.inline_outer(array)).where(F.col(required).isNotNull())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`, which a cluster sets to storage that the driver and all executors share.
 
-    The folder comes from `spark.checkpoint.dir`, which a cluster sets to shared storage. Only where
-    nothing is configured (tests on one machine) a temporary folder is used.
+    Only a session whose tasks run inside the driver's own process may go without: it gets a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="heatgrid-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the session's shared folder and continue from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heatgrid-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from heatgrid.functions.numeric import nan_to_null
@@ -21,16 +22,24 @@ def nan_as_null(df: DataFrame) -> DataFrame:
 def read_pixels(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, fmt: str | None = None) -> DataFrame:
     """Pixel table from CSV or Parquet, without exporter columns (`system:*`, `.geo*`).
 
-    The schema is declared, not inferred: for CSV the header's names are looked up in it, unknown names
-    are read as strings. That costs one line of one file, not a pass over the data.
+    The schema is declared, not inferred: for CSV each header's names are looked up in it, unknown names are read as
+    strings. Files may have different columns in any order: those with the same header are read together, and the
+    groups are joined by name. That costs the first line of each file, not a pass over the data.
     """
     first = path if isinstance(path, str) else path[0]
     fmt = fmt or ("csv" if first.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
     if fmt == "csv":
         declared = {f.name: f for f in (schema or PIXEL_SCHEMA).fields}
-        header = spark.read.option("header", True).csv(first).columns
-        typed = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-        df = spark.read.schema(typed).option("header", True).option("nanValue", "NaN").csv(path)
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for file in sorted(spark.read.text(path).inputFiles()):
+            groups.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+        df = None
+        for names, files in groups.items():
+            typed = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in names])
+            part = spark.read.schema(typed).option("header", True).option("nanValue", "NaN").csv(files)
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+        if df is None:
+            df = spark.createDataFrame([], schema or PIXEL_SCHEMA)
     else:
         df = (spark.read.schema(schema) if schema else spark.read).parquet(*([path] if isinstance(path, str) else path))
     kept = [c for c in df.columns if not c.startswith(("system:", ".geo"))]
@@ -55,7 +64,9 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str |
 
 def result_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Stored result document, or no rows where nothing has been stored yet."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return read_documents(spark, path, schema) if exists else spark.createDataFrame([], schema)
+    try:
+        return read_documents(spark, path, schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

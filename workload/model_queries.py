@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
@@ -13,7 +12,7 @@ from heatgrid import schema as S
 from heatgrid.catalog import interventions_table
 from heatgrid.functions.numeric import hash_uniform_sql
 from heatgrid.operators import composite, hotspots, interventions as iv, ml, sampling, score
-from heatgrid.operators.support import checkpointed
+from heatgrid.operators.support import checkpointed, shared_folder
 from heatgrid.plans import cooling, dataset, scene, train
 from heatgrid.sources import bundle as bundles, readers, writers
 from workload.base import pixels, query, r6, rounded, s6, scenes, table, with_pixels, with_scenes
@@ -23,8 +22,7 @@ from workload.package_queries import FEATURES, hot_pixels, predictor
 
 def scratch(spark, name: str) -> str:
     """A new folder next to the session's checkpoints (shared storage on a cluster)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="heatgrid-")
-    return f"{root.rstrip('/')}/heatgrid-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/heatgrid-{name}-{uuid.uuid4().hex}"
 
 
 # --- metrics and selection ---------------------------------------------------------------------------------
@@ -66,8 +64,8 @@ _P3 = [f"""CAST(("PixelID" * {k}) % {p} AS DOUBLE) / {p}e0""" for k, p in ((7919
 
 
 @query("ovr_auc", with_pixels(f"""SELECT class, {s6('sum(pos * (below + 0.5e0 * neg)) / (sum(pos) * sum(neg))')} AS auc, CAST(sum(pos) AS BIGINT) AS support FROM
-    (SELECT class, b, pos, neg, COALESCE(sum(neg) OVER (PARTITION BY class ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
-     (SELECT class, floor(p * 100000) AS b, count(*) FILTER (t = class) AS pos, count(*) FILTER (t <> class) AS neg FROM (""" + " UNION ALL ".join(
+    (SELECT class, p, pos, neg, COALESCE(sum(neg) OVER (PARTITION BY class ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+     (SELECT class, p, count(*) FILTER (t = class) AS pos, count(*) FILTER (t <> class) AS neg FROM (""" + " UNION ALL ".join(
     f"""SELECT "LULC_DW" % 3 AS t, {i} AS class, {e} AS p FROM px""" for i, e in enumerate(_P3)) + ") GROUP BY 1, 2)) GROUP BY 1"))
 def ovr_auc(spark, sf):
     df = pixels(spark, sf).select((F.col("LULC_DW") % 3).alias("t"), F.array(*[F.expr(e.replace('"', "`")) for e in _P3]).alias("p"))
@@ -273,6 +271,19 @@ def csv_round_trip(spark, sf):
     return rounded(readers.read_pixels(spark, path, fmt="csv"), 4)
 
 
+@query("csv_mixed_headers", with_pixels(f"""SELECT "PixelID", {s6('"LST"', 4)} AS "LST", {s6('"NDVI"', 4)} AS "NDVI", "QualityScore",
+    CASE WHEN "PixelID" % 2 = 0 THEN 'Delhi' ELSE 'Pune' END AS city FROM px"""))
+def csv_mixed_headers(spark, sf):
+    """Files of two cities with their columns in another order, and the city from the file's name."""
+    path = scratch(spark, "mixed")
+    df = pixels(spark, sf).select("PixelID", F.round("LST", 4).alias("LST"), F.round("NDVI", 4).alias("NDVI"), "QualityScore")
+    for city, rest, order in (("Delhi", 0, ["PixelID", "LST", "NDVI", "QualityScore"]), ("Pune", 1, ["NDVI", "QualityScore", "LST", "PixelID"])):
+        df.where(F.col("PixelID") % 2 == rest).select(*order).write.option("header", True).csv(f"{path}/{city}_2024")
+    read = readers.read_pixels(spark, [f"{path}/Delhi_2024", f"{path}/Pune_2024"], fmt="csv")
+    city = readers.city_name(F.regexp_replace(F.input_file_name(), "/[^/]*$", ""))
+    return rounded(read.select("PixelID", "LST", "NDVI", "QualityScore", city.alias("city")), 4)
+
+
 @query("write_csv", with_pixels("""SELECT "PixelID", printf('%.4f', "Slope") AS "Slope", printf('%.4f', "NDVI") AS "NDVI" FROM px"""))
 def write_csv(spark, sf):
     path = scratch(spark, "fixed")

@@ -106,6 +106,53 @@ def within_distance(spark, sf):
     return rounded(spatial.within_distance(points(spark, sf), pixels(spark, sf), 0.15, left_id="point_id", right_id="PixelID"))
 
 
+# The pixels as points all over the globe, many near the poles and the 180th meridian.
+_GLOBE = """SELECT "PixelID", CASE WHEN "PixelID" % 3 = 0 THEN 90e0 - ("PixelID" % 97) * 0.02e0 WHEN "PixelID" % 3 = 1 THEN -75e0 + ("PixelID" % 101) * 0.03e0
+    ELSE ("PixelID" % 89) * 0.05e0 - 2e0 END AS "Latitude", CASE WHEN "PixelID" % 5 < 3 THEN 179.5e0 + ("PixelID" % 41) * 0.025e0 - CASE WHEN "PixelID" % 41 > 20 THEN 360e0 ELSE 0e0 END
+    ELSE ("PixelID" % 359) * 1e0 - 179e0 END AS "Longitude" FROM px"""
+
+
+def globe(spark, sf):
+    pixels(spark, sf).createOrReplaceTempView("px")
+    return spark.sql(_GLOBE.replace('"', "`"))
+
+
+@query("within_distance_polar", with_pixels(f"""SELECT "point_id", "PixelID", {s6('d')} AS distance_km FROM (SELECT p."PixelID" AS "point_id", x."PixelID",
+    {hav('p."Latitude"', 'p."Longitude"', 'x."Latitude"', 'x."Longitude"')} AS d FROM gl p, gl x WHERE p."PixelID" % 50 = 0) WHERE d <= 12.34""", f"gl AS ({_GLOBE})"))
+def within_distance_polar(spark, sf):
+    """Every fiftieth place asks for all places near it, over the poles and the 180th meridian."""
+    places = globe(spark, sf)
+    asking = places.where(F.col("PixelID") % 50 == 0).withColumnRenamed("PixelID", "point_id")
+    return rounded(spatial.within_distance(asking, places, 12.34, left_id="point_id", right_id="PixelID"))
+
+
+@query("clip_circle_meridian", with_pixels(f"""SELECT "PixelID" FROM gl WHERE {hav('"Latitude"', '"Longitude"', 0.3, 179.9)} <= 61.7
+    UNION ALL SELECT "PixelID" FROM gl WHERE {hav('"Latitude"', '"Longitude"', 89.5, 10.0)} <= 101.3""", f"gl AS ({_GLOBE})"))
+def clip_circle_meridian(spark, sf):
+    places = globe(spark, sf)
+    return spatial.clip_circle(places, (0.3, 179.9), 61.7).select("PixelID").unionByName(spatial.clip_circle(places, (89.5, 10.0), 101.3).select("PixelID"))
+
+
+def _ring_sql(ring) -> str:
+    return "(" + " + ".join(
+        f'CASE WHEN ({y1}e0 > "Latitude") <> ({y2}e0 > "Latitude") AND "Longitude" < {x1}e0 + ("Latitude" - {y1}e0) * ({x2}e0 - {x1}e0) / ({y2}e0 - {y1}e0) THEN 1 ELSE 0 END'
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]])) + ")"
+
+
+# Two parts, the first with a hole.
+PARTS = [
+    [(77.0013, 28.0007), (77.0397, 28.0011), (77.0391, 28.0493), (77.0017, 28.0489)], [(77.0103, 28.0103), (77.0207, 28.0101), (77.0203, 28.0307), (77.0101, 28.0303)],
+    [(77.0603, 28.0109), (77.0911, 28.0203), (77.0707, 28.0807)],
+]
+
+
+@query("clip_multipolygon", with_pixels(f"""SELECT "PixelID" FROM px WHERE ({' + '.join(_ring_sql(r) for r in PARTS)}) % 2 = 1"""))
+def clip_multipolygon(spark, sf):
+    rows = [("India", f"Part {i}", [{"lon": x, "lat": y} for x, y in ring]) for i, ring in enumerate(PARTS)]
+    boundary = local_table(spark, rows, "adm0 STRING, adm2 STRING, ring ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>")
+    return spatial.clip_polygon(pixels(spark, sf), boundary).select("PixelID")
+
+
 @query("nearest_pixel", with_pixels(f"""SELECT "point_id", "PixelID", {s6('d')} AS distance_deg FROM (SELECT *, row_number() OVER
     (PARTITION BY "point_id" ORDER BY round(d, 12), "PixelID") AS rn FROM (SELECT p."point_id", x."PixelID",
     sqrt(pow(p."Latitude" - x."Latitude", 2) + pow(p."Longitude" - x."Longitude", 2)) AS d FROM pt p, hot x)) WHERE rn = 1 AND d <= 0.02""", POINTS,
