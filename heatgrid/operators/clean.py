@@ -202,7 +202,7 @@ def spatial_dedup(
 
 def assign_pixel_id(df: DataFrame, order: Sequence[str], key: str = "PixelID") -> DataFrame:
     """Sequential ids from 0 in a stated order (runs a job: see `number_rows`)."""
-    return number_rows(df.drop(key), [F.col(c) for c in order], key, start=0)
+    return replace_columns(number_rows(df, [F.col(c) for c in order], "_number", start=0), {key: F.col("_number")}).drop("_number")
 
 
 def timestamps(df: DataFrame, column: str = "Timestamp") -> DataFrame:

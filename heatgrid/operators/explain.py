@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from heatgrid import schema as S
 from heatgrid.functions.indices import label_priority
 from heatgrid.functions.numeric import fixed, round_even
-from heatgrid.operators.support import one_row, unnest
+from heatgrid.operators.support import one_row, present, unnest
 
 # Advice for the strongest heating features (short form).
 ADVICE = {
@@ -208,8 +208,8 @@ def explanation_text(
         for f, (name, unit) in KEY_MEASUREMENTS.items() if f in df.columns
     ]
     measures = F.concat(F.lit("Key measurements: "), F.concat_ws(" | ", *quoted)) if quoted else F.lit(None).cast("string")
-    title = F.when(F.size(causes) > 0, F.lit("Primary causes of heat stress at this location:"))
-    lines = F.concat_ws("\n", head, F.lit(""), assessment, F.lit(""), title, F.array_join(causes, "\n"), F.lit(""), measures)
+    why = F.when(F.size(causes) > 0, F.concat(F.lit("Primary causes of heat stress at this location:\n"), F.array_join(causes, "\n")))
+    lines = F.concat_ws("\n\n", head, assessment, why, measures)
     return df.withColumn(out, lines)
 
 
@@ -226,9 +226,10 @@ def pixel_detail(
     df: DataFrame, importances: Mapping[str, float], *, ids: Sequence[int] | None = None, solution: DataFrame | None = None,
     key: str = "PixelID", score: str = "HeatScore_Predicted", label: str = "HeatClass_Label",
 ) -> DataFrame:
-    """The detail record of pixels: scores, contributions, drivers, recommendation, priority, and the best
+    """The detail record of pixels: scores, feature values, contributions (strongest first), drivers, recommendation, priority, and the best
     solution's reduction and cost. The city means are taken over all of df even when `ids` asks for a few."""
     full = recommendation_text(top_drivers(contributions(df, importances)), label=label)
+    values = F.create_map(*[x for f in present(df, importances) for x in (F.lit(f), F.round(F.col(f).cast("double"), 4))])
     if ids is not None:
         full = full.where(F.col(key).isin(list(ids)))
     best = None if solution is None else one_row(
@@ -237,7 +238,8 @@ def pixel_detail(
     return full.select(
         F.col(key).alias("pixel_id"), F.round("Latitude", 6).alias("latitude"), F.round("Longitude", 6).alias("longitude"),
         F.round(score, 2).alias("heat_score"), F.round("LST", 2).alias("lst"), F.round("AirTemp", 2).alias("air_temp"),
-        F.coalesce(F.col(label), F.lit("Unknown")).alias("heat_class"), "contributions", "top_drivers", "recommendation",
+        F.coalesce(F.col(label), F.lit("Unknown")).alias("heat_class"), values.alias("features"),
+        _by_strength(F.col("contributions"), lambda x: x["contribution"]).alias("contributions"), "top_drivers", "recommendation",
         F.round(F.coalesce(best["r"], zero) if best is not None else zero, 2).alias("predicted_reduction"),
         F.round(F.coalesce(best["c"], zero) if best is not None else zero, 0).alias("cost_estimate"),
         label_priority(F.col(label), S.HEAT_PRIORITY).alias("priority"), F.lit(0.95).alias("confidence"),

@@ -36,7 +36,8 @@ def cleaning_steps(df: DataFrame) -> list[tuple[str, Column]]:
 def prepare_dataset(
     raw: DataFrame, *, codes: Mapping[str, Sequence[int]] | None = None, keep: Sequence[str] = (),
 ) -> Dataset:
-    """Align, filter, clip, dedup, derive, impute, encode and scale.
+    """Align, filter, clip, dedup, derive, number, impute, encode and scale. The kept rows get new ids from 0 in the order of
+    their old ones, or of their places where they had none.
 
     The filters and clips are one narrow stage before the only wide step, the deduplication. Its result is
     written once, because the imputation and scaling fits read it again.
@@ -47,7 +48,8 @@ def prepare_dataset(
     for _, predicate in steps:
         df = df.where(predicate)
     df = clean.derive_features(clean.spatial_dedup(clean.clip_ranges(df)))
-    df = checkpointed(df.select(*present(df, [*S.DATASET_COLUMNS, *keep])))
+    df = df.select(*present(df, [*S.DATASET_COLUMNS, *keep]))
+    df = checkpointed(clean.assign_pixel_id(df, ["PixelID", "Latitude", "Longitude"]))
     df = clean.impute(df)
     for column, labels in (("LULC_ESA", S.ESA_LABELS), ("LULC_DW", S.DW_LABELS)):
         known = (codes or {}).get(column)

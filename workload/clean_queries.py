@@ -86,7 +86,6 @@ def flagship(spark, sf):
 
 # --- reports -----------------------------------------------------------------------------------------
 
-_VAL = [c for c in S.VALIDATION_RANGES if c not in ()]
 
 
 @query("range_violations", with_pixels("SELECT * FROM (" + " UNION ALL ".join(

@@ -269,9 +269,8 @@ def recommendation_lines(spark, sf):
 
 
 @query("explanation_text", with_pixels(
-    f"""SELECT k."PixelID", concat_ws(chr(10), printf('This location has a Heat Score of %.1f/100, classified as "%s" heat stress.', "HeatScore", {label_sql('HeatClass')}), '',
-        'Assessment: ' || {_case(label_sql('HeatClass'), explain.CLASS_ASSESSMENT)}, '', CASE WHEN a.txt IS NOT NULL THEN 'Primary causes of heat stress at this location:' END,
-        COALESCE(a.txt, ''), '', 'Key measurements: ' || concat_ws(' | ', """ + ", ".join(
+    f"""SELECT k."PixelID", concat_ws(chr(10) || chr(10), printf('This location has a Heat Score of %.1f/100, classified as "%s" heat stress.', "HeatScore", {label_sql('HeatClass')}),
+        'Assessment: ' || {_case(label_sql('HeatClass'), explain.CLASS_ASSESSMENT)}, 'Primary causes of heat stress at this location:' || chr(10) || a.txt, 'Key measurements: ' || concat_ws(' | ', """ + ", ".join(
         f"""CASE WHEN "{f}" IS NOT NULL THEN printf('{name}: %.2f', "{f}") || ' {unit}' END""" for f, (name, unit) in explain.KEY_MEASUREMENTS.items()) +
     f""")) AS explanation FROM kl k LEFT JOIN (SELECT "PixelID", string_agg('  ' || place || '. ' || {_case('feature', {f: d[0] for f, d in explain.DESCRIPTIONS.items()})}
         || printf(' (%.1f%%): ', abs(pct)) || CASE WHEN contribution > 0 THEN {_case('feature', {f: d[1] for f, d in explain.DESCRIPTIONS.items()})}
@@ -297,9 +296,10 @@ def importance_rank(spark, sf):
 @query("pixel_detail", with_pixels(
     f"""SELECT k."PixelID" AS pixel_id, {s6('"Latitude"')} AS latitude, {s6('"Longitude"')} AS longitude, {s6('"HeatScore"', 2)} AS heat_score,
         {label_sql('HeatClass').replace('"HeatClass"', 'k."HeatClass"')} AS heat_class, CASE k."HeatClass" WHEN 3 THEN 'Critical' WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS priority,
-        0.95e0 AS confidence, d.feature AS first_driver FROM kl k JOIN dr d ON d."PixelID" = k."PixelID" AND d.place = 1 WHERE k."HeatClass" IS NOT NULL""", SCORED, _CB, _DRIVE))
+        0.95e0 AS confidence, d.feature AS first_driver, {s6('"NDVI"', 4)} AS ndvi, n_features FROM kl k JOIN (SELECT "PixelID", count(*) AS n_features FROM dr GROUP BY 1) c ON c."PixelID" = k."PixelID" JOIN dr d ON d."PixelID" = k."PixelID" AND d.place = 1 WHERE k."HeatClass" IS NOT NULL""", SCORED, _CB, _DRIVE))
 def pixel_detail(spark, sf):
     full = scored(spark, sf)
     out = explain.pixel_detail(full, IMPORTANCES).where(F.col("heat_class") != "Unknown")
     return rounded(out.select("pixel_id", "latitude", "longitude", "heat_score", "heat_class", "priority", "confidence",
-                              F.element_at("top_drivers", 1)["feature"].alias("first_driver")))
+                              F.element_at("top_drivers", 1)["feature"].alias("first_driver"), F.col("features")["NDVI"].alias("ndvi"),
+                              F.size("contributions").cast("bigint").alias("n_features")))

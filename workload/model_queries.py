@@ -181,7 +181,7 @@ _DS = ("""fl AS (SELECT * FROM px WHERE "LST" > 0 AND "LST" < 65 AND NOT ("NDVI"
 
 
 @query("prepare_dataset", with_pixels(
-    f"""SELECT "PixelID", {s6('COALESCE("AirTemp", (SELECT avg("AirTemp") FROM ck))')} AS "AirTemp", {s6('COALESCE("Dist_Water", (SELECT quantile_cont("Dist_Water", 0.95) FROM ck))')} AS "Dist_Water",
+    f"""SELECT row_number() OVER (ORDER BY "PixelID") - 1 AS "PixelID", {s6('COALESCE("AirTemp", (SELECT avg("AirTemp") FROM ck))')} AS "AirTemp", {s6('COALESCE("Dist_Water", (SELECT quantile_cont("Dist_Water", 0.95) FROM ck))')} AS "Dist_Water",
         {s6('("LST" - (SELECT avg("LST") FROM ck)) / (SELECT stddev_pop("LST") FROM ck)')} AS "LST_zscore",
         {s6('("Albedo" - (SELECT min("Albedo") FROM ck)) / (SELECT max("Albedo") - min("Albedo") FROM ck)')} AS "Albedo_norm",
         {s6('sin(radians("Aspect"))')} AS "Aspect_sin", CAST("LULC_ESA" = 50 AS INT) AS "LULC_ESA_Built_up" FROM ck""", *_DS))
