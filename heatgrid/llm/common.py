@@ -12,9 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from heatgrid.operators.support import shared_folder
 
 SLICE_BYTES = 1 << 21
+HASH_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -36,13 +39,13 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.u
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, HASH_BYTES * 2)
         both = []
         for base in (_ODD, _INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             both.append(np.multiply.accumulate(steps))
-        if size > SLICE_BYTES * 8:
+        if size > HASH_BYTES * 2:  # one very long word
             return tuple(both)
         _powers = tuple(both)
     return _powers
@@ -103,11 +106,16 @@ class Words:
         self.starts = np.flatnonzero(opens)
         self.ends = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        powers, inverse = _power_tables(n + 1)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_VALUES[fold[data]] * powers[:n], out=sums[1:])
-        self.hash = mix64((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self.hash = np.empty(len(self.starts), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, n, HASH_BYTES)), len(self.starts)))
+        for i, j in zip(cuts[:-1], cuts[1:]):  # blocks of whole words, so the arrays of a block stay small
+            low, high = self.starts[i], self.ends[j - 1]
+            powers, inverse = _power_tables(high - low + 1)
+            sums = np.empty(high - low + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_BYTE_VALUES[fold[data[low:high]]] * powers[: high - low], out=sums[1:])
+            at = self.starts[i:j] - low
+            self.hash[i:j] = mix64((sums[self.ends[i:j] - low] - sums[at]) * inverse[at])
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -134,14 +142,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(filled), F.xxhash64(F.lit("second"), filled)]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; all executors and the driver see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later steps survive lost executors and repeat nothing."""
     spark = df.sparkSession

@@ -34,9 +34,9 @@ from heatgrid.llm.common import SAME, SPACE_WORDS, Words, gram_hash, mix64, slic
 
 LENGTH = 35
 GRAM = 8
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 MOST_HOT = 100_000
-TREE_BYTES = 1 << 22
+TREE_BYTES = 1 << 21
 
 _RUNS = "gram bigint, k1 bigint, k2 bigint, low int, high int"
 
@@ -303,7 +303,7 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, grou
     return texts.join(spans, ["k1", "k2"], "left")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(k1, k2, n_words, n_removed, kept): each different text without its repeated words; kept words are joined by
     single blanks."""
 
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
                     ["k1", "k2", "n_words", "n_removed", "kept"],
                 )
 
-    found = find_repeats(docs, text, length)
+    found = find_repeats(docs, text, length, group_rows)
     none = F.array().cast("array<struct<low:int,high:int>>")
     return found.select("k1", "k2", "text", "copies", F.coalesce("spans", none).alias("spans")).mapInArrow(
         run, "k1 bigint, k2 bigint, n_words bigint, n_removed bigint, kept string"
