@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -162,41 +162,71 @@ def pareto_front(
     return df.join(front, key, "left_semi")
 
 
-def _rank_block(objectives: Sequence[str], key: str, start: int, out: str):
-    """Front numbers of one bounded block: one more than the deepest row that dominates a row."""
+def _deepest(held, objectives: Sequence[str]):
+    """For the rows of one bounded block, the deepest of these ranked rows that dominates each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target = held.value
+        x = target[list(objectives)].to_numpy(dtype=np.float64)
+        best = np.full(len(x), -1)
+        for rows in batches:
+            y, rank = rows[list(objectives)].to_numpy(dtype=np.float64), rows["_rank"].to_numpy()
+            for i in range(0, len(y), 256):
+                part = y[i: i + 256, None, :]
+                above = (part <= x).all(axis=2) & (part < x).any(axis=2)
+                best = np.maximum(best, np.where(above, rank[i: i + 256, None], -1).max(axis=0))
+        kept = best >= 0
+        yield pd.DataFrame({"_n": target["_n"].to_numpy()[kept], "_floor": (best[kept] + 1).astype(np.int32)})
+
+    return run
+
+
+def _rank_block(objectives: Sequence[str]):
+    """Ranks of one bounded block, in order: one more than the deepest row that dominates a row, here or in blocks before."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
         x = rows[list(objectives)].to_numpy(dtype=np.float64)
-        order = np.lexsort(x.T[::-1])  # a dominating row always comes before
-        x = x[order]
-        rank = np.zeros(len(x), dtype=np.int32)
+        rank = rows["_floor"].fillna(0).to_numpy(dtype=np.int32)
         for i in range(1, len(x)):
             above = (x[:i] <= x[i]).all(axis=1) & (x[:i] < x[i]).any(axis=1)
             if above.any():
-                rank[i] = rank[:i][above].max() + 1
-        return pd.DataFrame({key: rows[key].to_numpy()[order], out: rank + start})
+                rank[i] = max(rank[i], rank[:i][above].max() + 1)
+        return rows.drop(columns=["_floor", "_all"]).assign(_rank=rank)
 
     return run
 
 
 def nondominated_rank(
-    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", out: str = "front",
-    small_rows: int = 20_000,
+    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", out: str = "front", block: int = 4096,
 ) -> DataFrame:
-    """Front number from 0 for every row.
+    """Front number from 0 for every row: the length of the longest chain of rows that dominate it.
 
-    Fronts are peeled off one at a time, each with the distributed test, and the remainder is checkpointed
-    so the plan does not grow. Once at most `small_rows` rows are left, one task ranks them exactly.
+    Rows are numbered by the sum of their objectives, so a dominating row always comes before, and cut into blocks of
+    `block` rows. The blocks are ranked one after the other: all rows ranked so far are tested against a block where they lie (the block, never
+    larger than `block` rows, is what travels), then the block is ranked within itself. Runs a few jobs per block.
     """
-    rest = checkpointed(df.select(key, *[F.col(o).cast("double").alias(o) for o in objectives]))
-    levels = []
-    while rest.count() > small_rows:
-        front = checkpointed(pareto_front(rest, objectives, key=key).select(key, F.lit(len(levels)).alias(out)))
-        levels.append(front)
-        rest = checkpointed(rest.join(front, key, "left_anti"))
-    kind = dict(rest.dtypes)[key]
-    last = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_rank_block(objectives, key, len(levels), out), f"{key} {kind}, {out} int")
-    return df.join(reduce(lambda a, b: a.unionByName(b), [*levels, last]), key, "left")
+    objectives = list(objectives)
+    small = df.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
+    total = reduce(lambda a, b: a + b, [F.col(o) for o in objectives])
+    placed = number_rows(small.withColumn("_sum", total), ["_sum", *objectives, key], "_n", start=0).drop("_sum")
+    placed = checkpointed(placed.withColumn("_all", F.floor(F.col("_n") / block)))
+    context = df.sparkSession.sparkContext
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.drop("_all").schema.fields) + ", _rank int"
+    parts: list[DataFrame] = []
+    for number in range(max(1, -(-placed.count() // block))):
+        current = placed.where(F.col("_all") == number)
+        if parts:
+            held = context.broadcast(current.select("_n", *objectives).toPandas())
+            floors = reduce(DataFrame.unionByName, parts).select(*objectives, "_rank").mapInPandas(_deepest(held, objectives), "_n bigint, _floor int")
+            current = current.join(floors.groupBy("_n").agg(F.max("_floor").alias("_floor")), "_n", "left")
+        else:
+            current = current.withColumn("_floor", F.lit(None).cast("int"))
+        parts.append(checkpointed(current.groupBy("_all").applyInPandas(_rank_block(objectives), kind)))
+        if len(parts) == 32:
+            parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
+    ranks = reduce(DataFrame.unionByName, parts).select(key, F.col("_rank").alias(out))
+    return df.join(ranks, key, "left")
 
 
 def crowding_distance(
