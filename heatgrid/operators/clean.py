@@ -10,7 +10,7 @@ from heatgrid import schema as S
 from heatgrid.functions import indices as fx
 from heatgrid.functions.numeric import clip, round_even
 from heatgrid.operators.quantiles import exact_quantiles
-from heatgrid.operators.support import local_table, number_rows, numeric_columns, one_row, present, replace_columns, to_long
+from heatgrid.operators.support import local_table, number_rows, numeric_columns, one_row, per_column, present, replace_columns, to_long
 
 
 # --- columns -------------------------------------------------------------------------------------
@@ -69,13 +69,14 @@ def order_columns(df: DataFrame, leading: Sequence[str] = tuple(S.DATASET_COLUMN
 def range_violations(df: DataFrame, ranges: Mapping[str, tuple] = S.VALIDATION_RANGES) -> DataFrame:
     """(feature, n_present, n_outside, issue): one pass for all columns; rows only for columns with an issue."""
     cols = [c for c in ranges if c in df.columns]
-    lo = F.create_map(*[F.lit(x) for c in cols for x in (c, _bound(ranges[c][0], float("-inf")))])
-    hi = F.create_map(*[F.lit(x) for c in cols for x in (c, _bound(ranges[c][1], float("inf")))])
-    feature, value = F.col("feature"), F.col("value")
-    found = to_long(df, [], cols).groupBy("feature").agg(
-        F.count("value").alias("n_present"),
-        F.count(F.when((value < lo[feature]) | (value > hi[feature]), 1)).alias("n_outside"),
-    )
+    wide = []
+    for c in cols:
+        value = F.col(c).cast("double")
+        outside = (value < _bound(ranges[c][0], float("-inf"))) | (value > _bound(ranges[c][1], float("inf")))
+        wide += [F.count(value).alias(f"{c}_present"), F.count(F.when(outside, 1)).alias(f"{c}_outside")]
+    found = df.agg(*wide).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}_present").alias("n_present"), F.col(f"{c}_outside").alias("n_outside")) for c in cols
+    ])))
     issue = F.when(F.col("n_present") == 0, "ALL_NULL").when(F.col("n_outside") > 0, "OUT_OF_RANGE")
     return found.withColumn("issue", issue).where(F.col("issue").isNotNull())
 
@@ -87,11 +88,8 @@ def _bound(value, default: float) -> float:
 def missing_summary(df: DataFrame) -> DataFrame:
     """(feature, n_missing, pct_missing) for columns with missing values."""
     flags = df.select(*[F.col(c).isNull().cast("double").alias(c) for c in df.columns])
-    return (
-        to_long(flags, [], df.columns).groupBy("feature")
-        .agg(F.sum("value").cast("bigint").alias("n_missing"), (F.avg("value") * 100.0).alias("pct_missing"))
-        .where(F.col("n_missing") > 0)
-    )
+    found = per_column(flags, df.columns, n_missing=lambda c: F.sum(c).cast("bigint"), pct_missing=lambda c: F.avg(c) * 100.0)
+    return found.where(F.col("n_missing") > 0)
 
 
 def missing_totals(df: DataFrame) -> DataFrame:
@@ -259,9 +257,7 @@ def default_strategies(df: DataFrame, skip: Sequence[str] = ("PixelID", "Latitud
 def impute_values(df: DataFrame, strategies: Mapping[str, str], sparse_share: float = 0.5) -> DataFrame:
     """Fill value per numeric column: (feature, fill). Columns missing in more than `sparse_share` get 0."""
     cols = [c for c, how in strategies.items() if how != "unknown"]
-    base = to_long(df, [], cols).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.avg(F.col("value").isNull().cast("double")).alias("share")
-    )
+    base = per_column(df, cols, mean=F.avg, share=lambda c: F.avg(c.isNull().cast("double")))
     medians = [c for c in cols if strategies[c] == "median"]
     p95 = [c for c in cols if strategies[c] == "p95"]
     ranked = None
@@ -310,10 +306,7 @@ def one_hot(df: DataFrame, column: str, labels: Mapping[int, str], codes: Sequen
 
 def scaler_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Fitted parameters: (feature, mean, std, min, max); std is the population one."""
-    return to_long(df, [], features).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    return per_column(df, features, mean=F.avg, std=F.stddev_pop, min=F.min, max=F.max)
 
 
 def scale(

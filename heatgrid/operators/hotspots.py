@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from heatgrid import schema as S
 from heatgrid.operators.quantiles import exact_quantiles
-from heatgrid.operators.support import number_rows, one_row, present, to_long
+from heatgrid.operators.support import number_rows, one_row, per_column, present
 
 
 def percentile_cutoff(df: DataFrame, score: str, percentile: float) -> float:
@@ -72,10 +72,8 @@ def hotspot_profile(
     """Hotspot against city per feature (and zone): means, sample deviations, z-score and direction."""
     features = [f for f in present(hotspots, features) if f in city.columns]
     keys = [by] if by else []
-    local = to_long(hotspots, keys, features).groupBy(*keys, "feature").agg(
-        F.avg("value").alias("_hm"), F.stddev_samp("value").alias("_hs"), F.count("value").alias("n"))
-    whole = to_long(city, [], features).groupBy("feature").agg(
-        F.avg("value").alias("_cm"), F.stddev_samp("value").alias("_cs"))
+    local = per_column(hotspots, features, by=keys, _hm=F.avg, _hs=F.stddev_samp, n=F.count)
+    whole = per_column(city, features, _cm=F.avg, _cs=F.stddev_samp)
     z = F.when(F.col("_cs") > 0, (F.col("_hm") - F.col("_cm")) / F.nullif(F.col("_cs"), F.lit(0.0))).otherwise(0.0)
     return local.join(F.broadcast(whole), "feature").select(  # one row per feature
         *keys, "feature", "n", F.round("_hm", digits).alias("hotspot_mean"), F.round("_hs", digits).alias("hotspot_std"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from heatgrid.operators.quantiles import column_medians
-from heatgrid.operators.support import one_row, to_long
+from heatgrid.operators.support import one_row, per_column, to_long
 
 
 def profile_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, distinct: bool = True,
@@ -17,21 +17,16 @@ def profile_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, distinc
     Counts of distinct values come from two grouped steps, (column, value) then column, so no task holds
     a column's values.
     """
-    long = to_long(df, [], cols)
-    value = F.col("value")
-    out = long.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.round(F.avg("value"), digits).alias("mean"),
-        F.round(F.stddev_samp("value"), digits).alias("std"),
-        F.round(F.min("value"), digits).alias("min"),
-        F.round(F.max("value"), digits).alias("max"),
-        F.round(F.avg(value.isNull().cast("double")) * 100.0, digits).alias("missing_pct"),
+    near = lambda fn: lambda c: F.round(fn(c), digits)
+    out = per_column(
+        df, cols, n=F.count, mean=near(F.avg), std=near(F.stddev_samp), min=near(F.min), max=near(F.max),
+        missing_pct=near(lambda c: F.avg(c.isNull().cast("double")) * 100.0),
     )
     if medians:
         mid = column_medians(df, cols).select("feature", F.round("median", digits).alias("median"))
         out = out.join(F.broadcast(mid), "feature", "left")
     if distinct:
-        values = long.where(value.isNotNull()).groupBy("feature", "value").agg(F.lit(1).alias("_one"))
+        values = to_long(df, [], cols).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.lit(1).alias("_one"))
         counted = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
         out = out.join(F.broadcast(counted), "feature", "left").na.fill(0, ["n_distinct"])
     return out
@@ -39,11 +34,8 @@ def profile_columns(df: DataFrame, cols: Sequence[str], digits: int = 6, distinc
 
 def layer_stats(df: DataFrame, cols: Sequence[str], digits: int = 4) -> DataFrame:
     """Legend statistics: (feature, min, max, mean, std, sample_std, n)."""
-    return to_long(df, [], cols).groupBy("feature").agg(
-        F.round(F.min("value"), digits).alias("min"), F.round(F.max("value"), digits).alias("max"),
-        F.round(F.avg("value"), digits).alias("mean"), F.round(F.stddev_pop("value"), digits).alias("std"),
-        F.round(F.stddev_samp("value"), digits).alias("sample_std"), F.count("value").alias("n"),
-    )
+    near = lambda fn: lambda c: F.round(fn(c), digits)
+    return per_column(df, cols, min=near(F.min), max=near(F.max), mean=near(F.avg), std=near(F.stddev_pop), sample_std=near(F.stddev_samp), n=F.count)
 
 
 def class_distribution(df: DataFrame, label: str = "HeatClass_Label") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -69,6 +69,18 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
     )
 
 
+def per_column(df: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (), **aggregates: Callable[[Column], Column]) -> DataFrame:
+    """Rows (by..., feature, one value per aggregate) from one wide aggregation of all columns as doubles.
+
+    Only the aggregated row of each group is unpivoted, so no input row is multiplied.
+    """
+    if not columns:
+        return df.groupBy(*by).agg(F.lit("").alias("feature"), *[fn(F.lit(0.0)).alias(name) for name, fn in aggregates.items()]).limit(0)
+    wide = [fn(F.col(c).cast("double")).alias(f"_{i}_{name}") for i, c in enumerate(columns) for name, fn in aggregates.items()]
+    rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{name}").alias(name) for name in aggregates]) for i, c in enumerate(columns)]
+    return df.groupBy(*by).agg(*wide).select(*by, F.inline(F.array(*rows)))
+
+
 def unnest(df: DataFrame, ids: Sequence[str], array: Column | str, required: str) -> DataFrame:
     """One row per element of an array of structs, with the struct's fields as columns.
 
