@@ -58,7 +58,7 @@ def correlation_filter(df: DataFrame, features: Sequence[str], limit: float = 0.
     return [f for f in features if f not in drop], pairs
 
 
-def default_models(depth: int = 8, trees: int = 50, seed: int = 42) -> dict[str, tuple]:
+def default_models(depth: int = 15, trees: int = 300, rounds: int = 200, boosted_depth: int = 6, seed: int = 42) -> dict[str, tuple]:
     """name -> (regressor, classifier). Boosted trees classify one class against the rest."""
     return {
         "RandomForest": (
@@ -68,10 +68,10 @@ def default_models(depth: int = 8, trees: int = 50, seed: int = 42) -> dict[str,
                                    minInstancesPerNode=2, featureSubsetStrategy="sqrt"),
         ),
         "GradientBoosting": (
-            GBTRegressor(labelCol="HeatScore", featuresCol="_v", maxIter=trees, maxDepth=min(depth, 6), stepSize=0.05,
+            GBTRegressor(labelCol="HeatScore", featuresCol="_v", maxIter=rounds, maxDepth=boosted_depth, stepSize=0.05,
                          subsamplingRate=0.8, seed=seed),
             OneVsRest(labelCol="HeatClass", featuresCol="_v", classifier=GBTClassifier(
-                maxIter=trees, maxDepth=min(depth, 6), stepSize=0.05, subsamplingRate=0.8, seed=seed)),
+                maxIter=rounds, maxDepth=boosted_depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)),
         ),
         "DecisionTree": (
             DecisionTreeRegressor(labelCol="HeatScore", featuresCol="_v", maxDepth=depth, seed=seed),
@@ -242,26 +242,29 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, mean, std) of the R2 lost when a column is shuffled.
 
-    Rows are numbered once in an order given by a hash and once by key; joining the two numbers is a random
-    re-assignment of the column's values, without gathering the column anywhere.
+    Each repeat numbers the rows once in an order given by a hash; joining these numbers with the numbers by key gives every
+    row a random donor row for all its features, without gathering a column anywhere. The joined rows are written once
+    per repeat, and each feature is judged on them with its own value swapped for the donor's.
     """
     features = list(features)
     base = regression_metrics(model.transform(test), label, "prediction").first()["r2"]
     narrow = test.select(key, label, *features).persist()
-    rows = []
+    losses: dict[str, list[float]] = {f: [] for f in features}
     try:
-        placed = number_rows(narrow, [F.col(key)], "_slot")
-        for f in features:
-            losses = []
-            for i in range(repeats):
-                donor = number_rows(narrow.select(key, F.col(f).alias("_value")),
-                                    [hash_uniform(F.col(key), seed + 7919 * i + 1), F.col(key)], "_slot").select("_slot", "_value")
-                mixed = placed.drop(f).join(donor, "_slot").withColumnRenamed("_value", f)
-                losses.append(base - regression_metrics(model.transform(mixed), label, "prediction").first()["r2"])
-            mean = sum(losses) / repeats
-            rows.append((f, mean, (sum((x - mean) ** 2 for x in losses) / repeats) ** 0.5))
+        placed = narrow.join(number_rows(narrow.select(key), [F.col(key)], "_slot"), key)
+        for i in range(repeats):
+            order = number_rows(narrow.select(key), [hash_uniform(F.col(key), seed + 7919 * i + 1), F.col(key)], "_slot")
+            donor = narrow.join(order, key).select("_slot", *[F.col(f).alias(f"_donor_{f}") for f in features])
+            mixed = checkpointed(placed.join(donor, "_slot"))
+            for f in features:
+                swapped = replace_columns(mixed, {f: F.col(f"_donor_{f}")})
+                losses[f].append(base - regression_metrics(model.transform(swapped), label, "prediction").first()["r2"])
     finally:
         narrow.unpersist()
+    rows = []
+    for f in features:
+        mean = sum(losses[f]) / repeats
+        rows.append((f, mean, (sum((x - mean) ** 2 for x in losses[f]) / repeats) ** 0.5))
     return local_table(test.sparkSession, rows, "feature STRING, perm_importance_mean DOUBLE, perm_importance_std DOUBLE")
 
 

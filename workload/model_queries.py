@@ -12,6 +12,7 @@ from heatgrid import schema as S
 from heatgrid.catalog import interventions_table
 from heatgrid.functions.numeric import hash_uniform_sql
 from heatgrid.operators import composite, hotspots, interventions as iv, ml, sampling, score
+from heatgrid.operators.quantiles import column_medians
 from heatgrid.operators.support import checkpointed, shared_folder
 from heatgrid.plans import cooling, dataset, scene, train
 from heatgrid.sources import bundle as bundles, readers, writers
@@ -111,7 +112,8 @@ def small_bundle(spark, sf):
     parts = training(spark, sf).where("split = 'train'")
     _, fitted = ml.fit_models(parts, parts, MODEL_FEATURES, {"DecisionTree": small_models()["DecisionTree"]})
     reg, cls = fitted["DecisionTree"]
-    return ml.Bundle(reg, cls, MODEL_FEATURES, best_name="DecisionTree", medians={f: 0.0 for f in MODEL_FEATURES})
+    medians = {r["feature"]: r["median"] for r in column_medians(pixels(spark, sf), MODEL_FEATURES).collect()}
+    return ml.Bundle(reg, cls, MODEL_FEATURES, best_name="DecisionTree", medians=medians)
 
 
 @query("fit_models")
@@ -131,8 +133,8 @@ def recursive_elimination(spark, sf):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     parts = training(spark, sf)
-    _, fitted = ml.fit_models(parts, parts, MODEL_FEATURES[:3], {"DecisionTree": small_models()["DecisionTree"]})
-    return rounded(ml.permutation_importance(fitted["DecisionTree"][0], parts, MODEL_FEATURES[:3], repeats=2))
+    _, fitted = ml.fit_models(parts, parts, MODEL_FEATURES, {"DecisionTree": small_models()["DecisionTree"]})
+    return rounded(ml.permutation_importance(fitted["DecisionTree"][0], parts, MODEL_FEATURES, repeats=10))
 
 
 @query("predict_bundle")
@@ -162,7 +164,7 @@ def optimize_packages(spark, sf):
 
 @query("run_plan")
 def run_plan(spark, sf):
-    n = table(spark, sf, "part").count() // 10
+    n = table(spark, sf, "part").count()
     plan = cooling.run_plan(pixels(spark, sf), small_bundle(spark, sf), zones=3, n=n)
     doc = cooling.recommendations(plan, city="sample")
     return doc.select("city", "total_solutions", F.size("zone_analysis").alias("n_zones"), F.size("all_recommendations").alias("n_listed"),
