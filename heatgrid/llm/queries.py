@@ -108,7 +108,14 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict_language(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT doc_id, sh, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)) GROUP BY 1, 2),
+    n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS v FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * v >= 4 * (a.n + b.n - v)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    cc AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, cc.c FROM cc JOIN e ON cc.doc_id = e.x)
+    SELECT doc_id, min(c) AS class_id FROM cc GROUP BY 1""")
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.classes(table(spark, sf, "documents"))
 
