@@ -51,23 +51,31 @@ def nan_to_null(c: Column) -> Column:
 def hash_uniform(key: Column, seed: int = 42) -> Column:
     """Deterministic number in [0, 1) per integer key: independent of partitioning and of run order.
 
-    Integer arithmetic only, so any SQL engine reproduces it.
+    Two words of 31 bits give about 53 bits, so very many keys see different draws; negative keys draw their own.
+    Integer arithmetic only up to the last step, so any SQL engine reproduces it.
     """
     k = F.abs(key.cast("bigint"))
-    h = ((k % _PRIME) * 48271 + (k / _PRIME).cast("bigint") % _PRIME + seed * 16807) % _PRIME
-    h = (h * h + 12345) % _PRIME
-    h = (h * 69621 + seed) % _PRIME
-    return h / F.lit(float(_PRIME))
+    sign = F.when(key < 0, 1).otherwise(0)
+
+    def word(first: int, second: int, seed: int) -> Column:
+        h = ((k % _PRIME) * first + (k / _PRIME).cast("bigint") % _PRIME + sign * 7919 + seed * 16807) % _PRIME
+        return (((h * h + 12345) % _PRIME) * second + h + seed) % _PRIME
+
+    prime = F.lit(float(_PRIME))
+    return (word(48271, 69621, seed) + word(39373, 62089911, seed + 1) / prime) / prime
 
 
 def hash_uniform_sql(key: str, seed: int = 42) -> str:
     """The same number as plain SQL text (used where a check runs outside Spark)."""
     k = f"abs(CAST({key} AS BIGINT))"
-    h = (f"(({k} % {_PRIME}) * 48271 + CAST(floor({k} / CAST({_PRIME} AS DOUBLE)) AS BIGINT) % {_PRIME}"
-         f" + {seed * 16807}) % {_PRIME}")
-    h = f"((({h}) * ({h}) + 12345) % {_PRIME})"
-    h = f"(({h} * 69621 + {seed}) % {_PRIME})"
-    return f"(CAST({h} AS DOUBLE) / {_PRIME}.0)"
+    sign = f"CASE WHEN {key} < 0 THEN 7919 ELSE 0 END"
+
+    def word(first: int, second: int, seed: int) -> str:
+        h = (f"((({k} % {_PRIME}) * {first} + CAST(floor({k} / CAST({_PRIME} AS DOUBLE)) AS BIGINT) % {_PRIME}"
+             f" + {sign} + {seed * 16807}) % {_PRIME})")
+        return f"((((({h}) * ({h}) + 12345) % {_PRIME}) * {second} + {h} + {seed}) % {_PRIME})"
+
+    return f"((CAST({word(48271, 69621, seed)} AS DOUBLE) + CAST({word(39373, 62089911, seed + 1)} AS DOUBLE) / {_PRIME}.0e0) / {_PRIME}.0e0)"
 
 
 def unit_scale(c: Column, lo: float, hi: float) -> Column:
