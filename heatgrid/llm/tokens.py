@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -26,26 +28,33 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
+    """Of at most two generations: words met again move to the young one, the rest go with the old one."""
+
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[piece] = self.encode(piece)
+        found = self.old.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        self[piece] = found
         return found
 
 
 class Encoder:
     """`ids(text)` is the library's answer (add_special_tokens=False) as little-endian bytes of `self.kind`."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
@@ -60,29 +69,38 @@ class Encoder:
         self.cut = self._cut_glued if glued else self._cut_apart if apart else None
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
+        self.marks = {m: self._library(m) for m in ".,"}
         self.memory = _Memory(self._glued if glued else self._apart, most_words)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return np.array(ids, self.kind).tobytes() if len(ids) > 64 or sys.byteorder != "little" else array(self.code, ids).tobytes()
 
     def _library(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _merge(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        if not piece.isalnum() or not piece.isascii():  # other characters have stand-ins in the vocabulary
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _word(self, word: re.Match, piece: str) -> bytes:
+        """A word and the mark behind it, which every tokenizer of these kinds takes apart."""
+        if not word[2]:
+            return self._pack(self._merge(piece))
+        known = self.memory.get(word[1])
+        if known is None:
+            known = self._pack(self._merge(piece))
+        return known + self.marks[word[2]]
 
     def _glued(self, key: str) -> bytes:
-        piece = key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key
         word = _WORD.fullmatch(key)
         if word:
-            return self._pack(self._merge(" " + word[1]) + (self._merge(word[2]) if word[2] else []))
-        return self._library(piece)
+            return self._word(word, " " + word[1])
+        return self._library(key[1:] if key[:1] == "\x00" else key if key[:1] == "\n" else " " + key)
 
     def _apart(self, key: str) -> bytes:
         word = _WORD.fullmatch(key)
-        if word:
-            return self._pack(self._merge(word[1].lower()) + (self._merge(word[2]) if word[2] else []))
-        return self._library(key)
+        return self._word(word, word[1].lower()) if word else self._library(key)
 
     def _cut_glued(self, text: str) -> list[str]:
         """Keys of the memory: a leading blank is left out; pieces that begin otherwise are marked by NUL."""
