@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from heatgrid.llm.common import map_texts, text_bytes
+from heatgrid.llm.common import text_bytes
 from heatgrid.llm.tokens import Encoder
 
 MAGIC = b"EFIDS1"
