@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from heatgrid.llm import ann, langid, minhash, quality
+from heatgrid.llm import ann, langid, minhash, quality, substring
 from heatgrid.llm.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.01"
@@ -152,6 +152,24 @@ def test_keep_first(odd, empty):
     assert minhash.classes(empty).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_class(spark, odd):
+    """Row counts: repeated rows and near copies without an id are in one class, rows without words in none."""
+    kept = [r["doc_id"] for r in minhash.keep_first(odd).collect()]
+    assert sorted(kept, key=repr) == sorted([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, None, 13, 14, 15], key=repr)
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = [(1, long, "a"), (1, long, "b"), (1, long, "a"), (1, long + " end", "a"), (2, long, "a"), (2, other, "b"), (None, other, "a"), (None, other + " x", "c")]
+    docs += [(None, "no id at all", "a"), (None, "no id at all", "b"), (3, "", "a"), (3, "", "a"), (None, None, "a"), (None, None, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    out = minhash.keep_first(df)
+    assert out.columns == df.columns
+    got = rows(out)
+    assert sorted((repr(d) for d, *_ in got)) == sorted(map(repr, [1, 2, None, 3, 3, None, None]))
+    assert {(d, t) for d, t, _ in got if d == 2 or t == "no id at all"} == {(2, other), (None, "no id at all")} and set(got) <= set(docs)
+    once = substring.drop_repeats(out)
+    assert {d for d, *_ in rows(once)} == {1, 2, 3, None}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
