@@ -3,7 +3,9 @@
 Two searches run over the words and the characters of every whole text after A-Z became a-z. Phrases are sequences of
 words that must stand consecutively. Notices are found with up to k edits: a notice is cut into k + 1 seeds, so
 at least one seed stands unchanged in any occurrence (pigeonhole). An automaton finds all seeds in one pass; only around
-those the regex library's bounded-error matching verifies the notice and reports its span and edits.
+those the regex library's bounded-error matching verifies the notice and reports its span and edits. Words that name the
+license take one edit per three letters; a version number takes one damaged or missing character, but no other digit, and
+one of a single digit must stand as it is.
 
 Defined results: null and empty texts have no words, no places and empty labels, score 0; a phrase counts at every
 place where it starts; of overlapping occurrences of one notice the best is reported; repeated rows are scanned each
@@ -12,7 +14,7 @@ on their own; an empty table gives no rows. Only the id and text columns are rea
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -42,6 +44,10 @@ NOTICES = [
     ("cc0-1.0", "dedicated to the public domain under cc0 1.0"),
 ]
 
+#: Words of the notices that name a license.
+NAMES = ("mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "sa", "nc", "cc0")
+_WORD = regex.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z][a-z0-9]*")
+
 
 @dataclass(frozen=True)
 class Notice:
@@ -56,13 +62,28 @@ class Notice:
         bounds = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
         return cls(label, text, edits, tuple((a, text[a:b]) for a, b in zip(bounds, bounds[1:])))
 
+    def pattern(self, names: Sequence[str]) -> regex.Pattern:
+        """The best match with up to `edits` edits, of them few in names and versions."""
+        parts, at = [], 0
+        for m in _WORD.finditer(self.text):
+            word, version = regex.escape(m[0]), m[0][0].isdigit()
+            if not version and m[0] not in names:
+                continue
+            edits, others = (int(len(m[0]) > 1) if version else len(m[0]) // 3), ":[^0-9]" if regex.search("[0-9]", m[0]) else ""
+            # the library drops a bound of 0 within a fuzzy group, but looks ahead exactly
+            word = f"(?:{word}){{e<={edits}{others}}}" if edits else f"(?={word}){word}"
+            word = f"(?<![0-9]){word}(?![0-9])" if version else word
+            parts += [regex.escape(self.text[at: m.start()]), word]
+            at = m.end()
+        return regex.compile(f"(?b)(?:{''.join(parts)}{regex.escape(self.text[at:])}){{e<={self.edits}}}")
+
 
 class NoticeSearch:
     """Seed automaton and verifying patterns of some notices; one edit is allowed for every `chars_per_edit` characters."""
 
-    def __init__(self, notices: Sequence[tuple[str, str]], chars_per_edit: int):
+    def __init__(self, notices: Sequence[tuple[str, str]], chars_per_edit: int, names: Sequence[str] = NAMES):
         self.notices = [Notice.cut(label, text, chars_per_edit) for label, text in notices]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices]
+        self.patterns = [n.pattern(names) for n in self.notices]
         self.automaton = ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(self.notices):
@@ -74,6 +95,16 @@ class NoticeSearch:
             self.automaton.make_automaton()
         self.any = bool(owners)
 
+    def _matches(self, i: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """The best match of a window, then those of the stretches before and behind it, until none is left."""
+        least, todo = max(1, len(self.notices[i].text) - self.notices[i].edits), [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            m = self.patterns[i].search(text, lo, hi) if hi - lo >= least else None
+            if m and m.end() > m.start():
+                yield m
+                todo += [(lo, m.start()), (m.end(), hi)]
+
     def find(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) in characters, in order."""
         windows: dict[int, list[list[int]]] = {}
@@ -81,7 +112,7 @@ class NoticeSearch:
             for i, offset in owners:
                 notice = self.notices[i]
                 start = last + 1 - length - offset
-                lo, hi = max(0, start - notice.edits), min(len(text), start + len(notice.text) + notice.edits)
+                lo, hi = max(0, start - notice.edits), min(len(text), start + len(notice.text) + notice.edits + 1)
                 spans = windows.setdefault(i, [])
                 if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], hi)
@@ -91,7 +122,7 @@ class NoticeSearch:
         found = []
         for i, spans in windows.items():
             for lo, hi in spans:
-                for m in self.patterns[i].finditer(text, lo, hi):
+                for m in self._matches(i, text, lo, hi):
                     found.append((self.notices[i].label, m.start(), m.end(), sum(m.fuzzy_counts), len(self.notices[i].text)))
         # one notice can lie in another one's span (versions of one license): the fewest edits win there
         found.sort(key=lambda f: (f[3] / f[4], -f[4], f[1], f[0]))
@@ -120,18 +151,18 @@ def phrase_places(words: Words, data: np.ndarray, phrases: Mapping[str, str]) ->
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases: Mapping[str, str] = PHRASES,
-                  notices: Sequence[tuple[str, str]] = NOTICES, chars_per_edit: int = 10) -> DataFrame:
+                  notices: Sequence[tuple[str, str]] = NOTICES, chars_per_edit: int = 10, names: Sequence[str] = NAMES) -> DataFrame:
     """One row per document: its words, the places of phrases, the notices with span and edits, labels and a score.
 
     The score is 1 for an exact phrase, else the best notice's share of unchanged characters, else 0.
     """
-    phrases, notices = dict(phrases), list(notices)
+    phrases, notices, names = dict(phrases), list(notices), tuple(names)
     kept: dict[str, NoticeSearch] = {}
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "it" not in kept:
-            kept["it"] = NoticeSearch(notices, chars_per_edit)
+            kept["it"] = NoticeSearch(notices, chars_per_edit, names)
         search = kept["it"]
         data, offsets = text_bytes(batch.column(1))
         rows: list[tuple] = []

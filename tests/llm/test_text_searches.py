@@ -45,6 +45,29 @@ def test_notice_with_too_many_errors_is_no_match(spark):
     assert {r["labels"] for r in license_scan.scan_licenses(df).collect()} == {""}
 
 
+def _labels(text):
+    return [f[0] for f in license_scan.NoticeSearch(license_scan.NOTICES, 10).find(text)]
+
+
+def test_worse_notices_before_the_best_are_found():
+    first, last = "licensxd undxr the gnu general public license, version 3", "licensed under the gnu general public license, version 2"
+    assert _labels(f"{first} or {last}") == ["gpl-3.0", "gpl-2.0"]
+    assert _labels(f"{first} or {first} or {last} or {first}") == ["gpl-3.0", "gpl-3.0", "gpl-2.0", "gpl-3.0"]
+
+
+@pytest.mark.parametrize("text", ["released under the bsd license", "released under the gpl license", "released under the isc license", "licensed under cc by 3.0",
+                                  "licensed under cc by-nd 4.0", "licensed under the apache license, version 1.0", "licensed under the apache license, version 2.1",
+                                  "licensed under the apache license, version 22.0", "licensed under the gnu general public license, version 4"])
+def test_other_licenses_and_versions_are_no_match(text):
+    assert _labels(text) == []
+
+
+@pytest.mark.parametrize("label,text", [("mit", "relesed undr the mlt license"), ("apache-2.0", "licensed under the apachee licence, version #.0"), ("cc-by-4.0", "licenced under cc by 4.O"),
+                                        ("gpl-2.0", "licensed undr the gnu genral public license, version 2"), *license_scan.NOTICES])
+def test_damaged_names_are_found(label, text):
+    assert _labels(text) == [label]
+
+
 def _digest(found):
     return rows(found.select("doc_id", "n_words", "n_hit", F.size("items"), decontam.items_digest(F.col("items")), F.col("n_hit") > 0))
 
