@@ -74,3 +74,22 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+@pytest.mark.parametrize("name", ["optimize_packages", "evaluate_packages_all"])
+def test_packages_are_scored_on_all_hotspots(spark, monkeypatch, name):
+    from __spark_entry__ import queries
+    from workload import model_queries, package_queries
+
+    def scored(*args, **more):
+        seen.extend(a for a in args if hasattr(a, "columns") and "LST" in a.columns)
+        raise RuntimeError("only the pixels are looked at")
+
+    seen, sf = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(model_queries.cooling, "optimize_packages", scored)
+    monkeypatch.setattr(package_queries.pk, "evaluate_packages", scored)
+    with pytest.raises(RuntimeError, match="only the pixels"):
+        queries()[name](spark, sf)
+    df = package_queries.pixels(spark, sf)
+    edge = df.agg(F.expr("percentile(LST, 0.9)")).first()[0]
+    assert {r["PixelID"] for r in seen[0].select("PixelID").collect()} == {r["PixelID"] for r in df.where(F.col("LST") >= edge).select("PixelID").collect()}

@@ -18,7 +18,7 @@ from heatgrid.plans import cooling, dataset, scene, train
 from heatgrid.sources import bundle as bundles, readers, writers
 from workload.base import pixels, query, r6, rounded, s6, scenes, table, with_pixels, with_scenes
 from workload.clean_queries import clip_sql
-from workload.package_queries import FEATURES, hot_pixels, predictor
+from workload.package_queries import FEATURES, hotspots, predictor
 
 
 def scratch(spark, name: str) -> str:
@@ -156,7 +156,7 @@ def train_models(spark, sf):
 @query("optimize_packages")
 def optimize_packages(spark, sf):
     """As many candidates as there are parts, over all hotspots."""
-    hot, city = hot_pixels(spark, sf)
+    hot, city = hotspots(spark, sf)
     n = table(spark, sf, "part").count()
     out = cooling.optimize_packages(hot, FEATURES, predictor(city), n=n)
     return rounded(out.select("package_id", iv.package_label(F.col("items")).alias("label"), "predicted_reduction", "total_cost", "priority_score", "priority_rank"))

@@ -320,11 +320,18 @@ def before_after(spark, sf):
 _HOT = """hs AS (SELECT * FROM cp WHERE "LULC_ESA" = 50 AND "LST" >= (SELECT quantile_cont("LST", 0.9) FROM px))"""
 
 
-def hot_pixels(spark, sf):
+def hotspots(spark, sf):
+    """The hottest tenth of all land covers, and all pixels."""
     df = pixels(spark, sf)
     from heatgrid.operators.hotspots import detect_hotspots
 
-    return detect_hotspots(df, percentile=90.0, score="LST").where(F.col("LULC_ESA") == 50), df
+    return detect_hotspots(df, percentile=90.0, score="LST"), df
+
+
+def hot_pixels(spark, sf):
+    """The built-up hotspots, which the SQL twin is limited to."""
+    hot, df = hotspots(spark, sf)
+    return hot.where(F.col("LULC_ESA") == 50), df
 
 
 def _chain(feature: str) -> str:
@@ -364,6 +371,13 @@ def evaluate_packages(spark, sf):
     return rounded(evaluated(spark, sf).select("package_id", *pk.OBJECTIVES))
 
 
+@query("evaluate_packages_all")
+def evaluate_packages_all(spark, sf):
+    """The same over the hotspots of all land covers."""
+    hot, city = hotspots(spark, sf)
+    return rounded(pk.evaluate_packages(packages(spark, sf), hot, FEATURES, predictor(city)).select("package_id", *pk.OBJECTIVES))
+
+
 # Dominance runs on the catalogue objectives, rounded so that both engines see the same numbers.
 _OBJ = ["obj_cooling", "obj_cost", "obj_feasibility"]
 _OB = f"""ob AS (SELECT package_id, {s6('-estimated_cooling_celsius', 4)} AS obj_cooling, {s6('obj_cost', 4)} AS obj_cost, {s6('obj_feasibility', 4)} AS obj_feasibility FROM pm)"""
