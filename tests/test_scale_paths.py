@@ -100,6 +100,24 @@ def test_nearest_neighbours_with_a_pile(spark):
     assert got == pytest.approx({i: x for i, x in enumerate(d.min(axis=1))})
 
 
+def test_every_place_on_the_globe_asks(spark):
+    from workload import spatial_queries as sq
+
+    spark.range(1, 2001).withColumnRenamed("id", "PixelID").createOrReplaceTempView("px")
+    places = spark.sql(sq._GLOBE.replace('"', "`"))
+    pdf = places.toPandas().astype({"Latitude": float, "Longitude": float})
+    lat, lon, n = np.radians(pdf.Latitude.to_numpy()), np.radians(pdf.Longitude.to_numpy()), pdf.PixelID.to_numpy()
+    half = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    d = 2 * sq.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(half, 1)))
+    want = {(int(n[i]), int(n[j])): d[i, j] for i, j in np.argwhere(d <= 12.34)}
+    found = sq.globe_pairs(places).collect()
+    got = {(r["point_id"], r["PixelID"]): r["distance_km"] for r in found}
+    assert len(got) == len(found) and got == pytest.approx(want, abs=1e-6)
+    assert len({a for a, _ in got}) == 2000 and len(got) > 2000
+    whole = sq.within_distance_globe(spark, "/root/testdata/sf0.001")
+    assert whole.select("point_id").distinct().count() == sq.globe(spark, "/root/testdata/sf0.001").count()
+
+
 def _front(x):
     worse = ((x[None] <= x[:, None]).all(-1) & (x[None] < x[:, None]).any(-1)).any(1)
     return ~worse

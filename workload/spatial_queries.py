@@ -126,6 +126,17 @@ def within_distance_polar(spark, sf):
     return rounded(spatial.within_distance(asking, places, 12.34, left_id="point_id", right_id="PixelID"))
 
 
+def globe_pairs(places):
+    """(point_id, PixelID, distance_km) of all places within 12.34 km of a place, which all of them ask for."""
+    return spatial.within_distance(places.withColumnRenamed("PixelID", "point_id"), places, 12.34, left_id="point_id", right_id="PixelID")
+
+
+@query("within_distance_globe")
+def within_distance_globe(spark, sf):
+    """Every place asks, over the poles and the 180th meridian; plain SQL would compare all with all."""
+    return rounded(globe_pairs(globe(spark, sf)))
+
+
 @query("clip_circle_meridian", with_pixels(f"""SELECT "PixelID" FROM gl WHERE {hav('"Latitude"', '"Longitude"', 0.3, 179.9)} <= 61.7
     UNION ALL SELECT "PixelID" FROM gl WHERE {hav('"Latitude"', '"Longitude"', 89.5, 10.0)} <= 101.3""", f"gl AS ({_GLOBE})"))
 def clip_circle_meridian(spark, sf):
