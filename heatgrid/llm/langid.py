@@ -101,7 +101,7 @@ def train_network(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: in
 
 
 def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_per_language: int = 800, windows_per_text: int = 2) -> LanguageModel:
-    """Train on a bounded sample: per language the `sample_per_language` texts with the smallest text hash, and of
+    """Train on a bounded sample: per language the `sample_per_language` different texts with the smallest text hash, and of
     each up to `windows_per_text` windows, cut at places drawn by that hash."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
     languages = sorted(r[0] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).select(lang).collect())
@@ -110,7 +110,10 @@ def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", sa
     xs, ys = [], []
     for number, name in enumerate(languages):
         cuts = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(i), order), room) + 1).cast("int"), F.lit(WINDOW)).alias(f"_w{i}") for i in range(windows_per_text)]
-        drawn = rows.where(F.col(lang) == name).select(order.alias("_order"), *cuts).orderBy("_order").limit(sample_per_language)
+        own = rows.where(F.col(lang) == name)
+        # copies count once: first the hashes alone, then only the texts up to the last one that is taken
+        edge = own.select(order.alias("_order")).distinct().orderBy("_order").limit(sample_per_language).agg(F.max("_order")).first()[0]
+        drawn = own.where(order <= F.lit(edge)).select(order.alias("_order"), *cuts).groupBy("_order").agg(*[F.first(f"_w{i}") for i in range(windows_per_text)]).orderBy("_order")
         pieces = [piece.encode()[:WINDOW] for r in drawn.collect() for piece in dict.fromkeys(r[1:])]
         block = np.zeros((len(pieces), WINDOW), np.uint8)
         for i, piece in enumerate(pieces):

@@ -50,6 +50,14 @@ def test_language_of_odd_texts(spark, odd, empty):
     assert langid.predict_language(empty, model).count() == 0
 
 
+def test_language_sample_takes_each_text_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train_network", lambda x, y, languages: seen.append((len({r.tobytes() for r in x}), len(x))))
+    texts = [(f"text number {i}", "xx") for i in range(30)] + [(f"text number {i}", "xx") for i in range(5) for _ in range(50)]
+    langid.fit_language(spark.createDataFrame(texts, "text string, lang string").repartition(4), sample_per_language=20)
+    assert seen == [(20, 20)]
+
+
 def test_long_texts_are_read_to_the_end(spark):
     """The mean over all windows changes with what stands at the end."""
     model = langid.fit_language(table(spark, SF, "documents").limit(300), sample_per_language=60)
