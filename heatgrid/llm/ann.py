@@ -6,7 +6,7 @@ bucket, in each of several tables. The projections of a neighbour at distance r
 falling order of that chance. All rows of visited buckets are compared by their exact inner product.
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2), where M is the largest norm among vectors of
-about the same norm (a band, one factor of two wide); queries are scaled to M and visit the buckets of every band.
+about the same norm (a band, one factor of two wide; norms are kept as a number and a power of two, so that none over- or underflows); queries are scaled to M and visit the buckets of every band.
 
 W, r and the number of probes are fitted on a bounded sample so that the sample's recall reaches `target`; every
 row is indexed. Large buckets are split into blocks, each block is one unit of work, and per block and query only the
@@ -14,7 +14,7 @@ k best leave a task. A query that finds fewer than k rows is compared with all r
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite values take no part, nor do vectors
 of another length than the most common one; rows that share an id are one item with the best of their scores; equal
-scores are ranked by id; with fewer than k candidates all are returned; an empty table gives no rows. Only the id and
+scores are ranked by id; a score that overflows is infinite (of either sign where its products overflow both ways); with fewer than k candidates all are returned; an empty table gives no rows. Only the id and
 vector columns are read.
 """
 
@@ -40,7 +40,7 @@ MOST_HOT = 100_000  # buckets named to every task; beyond it blocks grow instead
 @dataclass
 class Hashing:
     dim: int
-    bands: list[tuple[int, float]]  # band number and its largest norm
+    bands: list[tuple[int, float]]  # band number and its largest norm, in units of 2^band
     directions: np.ndarray  # (dim + 1, tables x K)
     shifts: np.ndarray
     width: float
@@ -53,14 +53,26 @@ class Hashing:
         return ((x @ self.directions + self.shifts) / self.width).reshape(len(x), TABLES, self.k)
 
 
-def band_of(norm: np.ndarray) -> np.ndarray:
-    return np.round(np.log2(norm)).astype(np.int64)
+def bands_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, norm / 2^band) of each row. Rows are scaled by a power of two near their largest component before they are
+    squared, so no finite norm is lost to overflow or underflow; the scaled norm lies between 2^-0.5 and 2^0.5."""
+    scale = np.frexp(np.abs(x).max(axis=1))[1].astype(np.int64)
+    norm = np.linalg.norm(scaled(x, scale), axis=1)
+    more = np.rint(np.log2(norm)).astype(np.int64)
+    return scale + more, np.ldexp(norm, -more)
 
 
-def lifted(x: np.ndarray, norm: np.ndarray, most: float) -> np.ndarray:
-    """Rows scaled by the band's largest norm, with the coordinate that makes them unit vectors."""
-    y = x / most
-    return np.concatenate([y, np.sqrt(np.maximum(0.0, 1.0 - (norm / most) ** 2))[:, None]], axis=1)
+def scaled(x: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Rows times 2^-band; in two steps, as 2^-band itself may be beyond the range of doubles."""
+    half = band >> 1
+    return np.ldexp(np.ldexp(x, -half[:, None]), -(band - half)[:, None])
+
+
+def lifted(x: np.ndarray, norm: np.ndarray, band: np.ndarray, to: int, most: float) -> np.ndarray:
+    """Rows in units of the largest norm, `most` * 2^to, with the coordinate that makes them unit vectors."""
+    y = scaled(x, np.full(len(x), to)) / most
+    length = np.ldexp(norm, np.maximum(band - to, -2000)) / most
+    return np.concatenate([y, np.sqrt(np.maximum(0.0, 1.0 - length**2))[:, None]], axis=1)
 
 
 def bucket_keys(cells: np.ndarray, table: int, band: int) -> np.ndarray:
@@ -115,17 +127,29 @@ def probe_cells(projected: np.ndarray, width: float, radius: float, probes: int,
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector: str, asks: str) -> DataFrame:
+    """(id, v, asks, band, norm) of the rows that take part; the norm is in units of 2^band."""
     v = F.col(vector).cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & usable).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.col(asks).alias("asks"))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & usable).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.col(asks).alias("asks"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                band, norm = bands_of(_matrix(part.column(1), size))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(band), pa.array(norm)], ["id", "v", "asks", "band", "norm"])
+
+    return rows.mapInArrow(measure, "id bigint, v array<double>, asks boolean, band bigint, norm double")
 
 
 def fit_hashing(vectors: DataFrame, k: int, target: float = 0.95, sample: int = SAMPLE, most_probes: int = 256, seed: int = 11) -> tuple[Hashing | None, int]:
-    """Hashing for (id, v) rows and their number. Counts and largest norms come from all rows, width and probes from the
+    """Hashing for (id, v, band, norm) rows and their number. Counts and largest norms come from all rows, width and probes from the
     `sample` rows with the smallest hash: in it, the k * sample / rows nearest of 256 rows must be found."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sized = vectors.select("id", "v", F.size("v").alias("dim"), norm.alias("norm")).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    stats = sized.groupBy("dim", F.rint(F.log2("norm")).cast("long").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).collect()
+    sized = vectors.select("id", "v", F.size("v").alias("dim"), "band", "norm")
+    stats = sized.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).collect()
     if not stats:
         return None, 0
     by_dim: dict[int, int] = {}
@@ -136,15 +160,14 @@ def fit_hashing(vectors: DataFrame, k: int, target: float = 0.95, sample: int =
     bands = sorted((int(r["band"]), float(r["most"])) for r in stats if r["dim"] == dim)
     drawn = sized.where(F.col("dim") == dim).select(F.xxhash64(F.lit(seed), "id").alias("h"), "v").orderBy("h").limit(sample).collect()
     x = np.array([r["v"] for r in drawn], float)
-    norms = np.linalg.norm(x, axis=1)
+    band, norms = bands_of(x)
     rng = np.random.default_rng(seed)
     dims = min(16, max(2, round(math.log2(n) / 2)))
-    most = bands[-1][1]
-    points = lifted(x, norms, most)
+    points = lifted(x, norms, band, *bands[-1])
     asked = np.arange(min(256, len(x)))
-    queries = np.concatenate([x[asked] / norms[asked, None], np.zeros((len(asked), 1))], axis=1)
+    queries = np.concatenate([scaled(x[asked], band[asked]) / norms[asked, None], np.zeros((len(asked), 1))], axis=1)
     near = max(1, min(len(x) - 1, round(k * len(x) / n))) if len(x) > 1 else 0
-    scores = queries[:, :-1] @ x.T
+    scores = queries[:, :-1] @ points[:, :-1].T
     scores[asked, asked] = -np.inf
     best = np.argsort(-scores, axis=1, kind="stable")[:, :near]
     apart = np.linalg.norm(queries[:, None, :] - points[best], axis=2) if near else np.ones((1, 1))
@@ -194,13 +217,16 @@ def _search_block(probes: pa.Table, rows: pa.Table, dim: int, k: int) -> pa.Tabl
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for c in np.flatnonzero(b > a).tolist():
             asking, at, end = query_of[a[c]: b[c]], bounds[c], bounds[c + 1]
-            score = q[asking] @ v[at:end].T
-            score[query_ids[asking][:, None] == ids[at:end][None, :]] = -np.inf
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = q[asking] @ v[at:end].T
+            score[np.isnan(score)] = -np.inf  # infinite products of both signs
+            own = query_ids[asking][:, None] == ids[at:end][None, :]
+            score[own] = -np.inf
             if end - at > k:
                 edge = np.partition(score, end - at - k, axis=1)[:, end - at - k]
-                i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+                i, j = np.nonzero((score >= edge[:, None]) & ~own)
             else:
-                i, j = np.nonzero(score > -np.inf)
+                i, j = np.nonzero(~own)
             found.append((asking[i], ids[at + j], score[i, j]))
         if found:
             who, what, score = (np.concatenate(x) for x in zip(*found))
@@ -221,7 +247,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     """(query_id, rank, id, score): for every row that `is_query` selects, its k nearest found among all other rows."""
     spark = df.sparkSession
     vectors = written(valid_vectors(df.withColumn("_asks", F.coalesce(is_query, F.lit(False))), id_col, vector, "_asks"))
-    model, n = fit_hashing(vectors.select("id", "v"), k, target)
+    model, n = fit_hashing(vectors, k, target)
     empty = spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
     if model is None:
         return empty
@@ -235,17 +261,16 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dim)
-            norm = np.linalg.norm(x, axis=1)
-            band = band_of(norm)
+            band, norm = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for number, most in m.bands:
                 rows = np.flatnonzero(band == number)
                 if not len(rows):
                     continue
-                cells = np.floor(m.project(lifted(x[rows], norm[rows], most))).astype(np.int64)
+                cells = np.floor(m.project(lifted(x[rows], norm[rows], band[rows], number, most))).astype(np.int64)
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(cells[:, t], t, number)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["cell", "id", "v"])
 
-    indexed = vectors.select("id", "v").mapInArrow(index, "cell bigint, id bigint, v array<double>")
+    indexed = vectors.select("id", "v", "band", "norm").mapInArrow(index, "cell bigint, id bigint, v array<double>")
     sizes = indexed.groupBy("cell").count()
     limit = block_rows
     while (hot_rows := sizes.where(F.col("count") > limit).limit(MOST_HOT + 1).collect()) and len(hot_rows) > MOST_HOT:
@@ -270,7 +295,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1), dim)
-            unit = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], axis=1)
+            unit = np.concatenate([scaled(x, batch.column(2).to_numpy()) / batch.column(3).to_numpy()[:, None], np.zeros((len(x), 1))], axis=1)
             projected = m.project(unit)
             part, row, lists = [], [], []
             for i in range(len(x)):
@@ -290,8 +315,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                 ["part", "query_id", "v", "cells"],
             )
 
-    placed = vectors.select("id", "v").mapInArrow(place, "part int, cell bigint, id bigint, v array<double>")
-    asked = vectors.where("asks").select("id", "v").mapInArrow(ask, "part int, query_id bigint, v array<double>, cells array<bigint>")
+    placed = vectors.select("id", "v", "band", "norm").mapInArrow(place, "part int, cell bigint, id bigint, v array<double>")
+    asked = vectors.where("asks").select("id", "v", "band", "norm").mapInArrow(ask, "part int, query_id bigint, v array<double>, cells array<bigint>")
     search = lambda left, right: _search_block(left, right, dim, k)
     found = asked.groupBy("part").cogroup(placed.groupBy("part")).applyInArrow(search, FOUND)
     best = written(_best(found, k))

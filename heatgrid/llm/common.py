@@ -6,7 +6,6 @@ slices of a few megabytes, so the memory of a task does not depend on how many d
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,7 +18,7 @@ from heatgrid.operators.support import shared_folder
 SLICE_BYTES = 1 << 21
 HASH_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_table(word: Callable[[int], bool]) -> np.ndarray:
@@ -32,23 +31,6 @@ LETTER_WORDS = _byte_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0
 SPACE_WORDS = _byte_table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 SAME = np.arange(256, dtype=np.uint8)
-_BYTE_VALUES = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), np.uint64)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, HASH_BYTES * 2)
-        both = []
-        for base in (_ODD, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        if size > HASH_BYTES * 2:  # one very long word
-            return tuple(both)
-        _powers = tuple(both)
-    return _powers
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -85,6 +67,22 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = min(end, n)
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range (none empty): its blocks of eight bytes are scrambled each with a key of its place, so
+    that no relation between blocks cancels out in their sum, which is scrambled again with the length."""
+    sizes = ends - starts
+    blocks = (sizes + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))[at]  # eight bytes from any place on
+    value &= _LOW_BYTES[np.minimum(np.repeat(ends, blocks) - at, 8)]
+    keys = mix64((np.arange(int(blocks.max(initial=0)), dtype=np.uint64) + np.uint64(1)) * _ODD)
+    mixed = mix64(mix64(value ^ keys[place]) + keys[place])
+    return mix64(np.add.reduceat(mixed, first) + sizes.astype(np.uint64) * _ODD)
+
+
 class Words:
     """The words of some documents: byte range, hash and document of each.
 
@@ -109,13 +107,8 @@ class Words:
         self.hash = np.empty(len(self.starts), np.uint64)
         cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, n, HASH_BYTES)), len(self.starts)))
         for i, j in zip(cuts[:-1], cuts[1:]):  # blocks of whole words, so the arrays of a block stay small
-            low, high = self.starts[i], self.ends[j - 1]
-            powers, inverse = _power_tables(high - low + 1)
-            sums = np.empty(high - low + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE_VALUES[fold[data[low:high]]] * powers[: high - low], out=sums[1:])
-            at = self.starts[i:j] - low
-            self.hash[i:j] = mix64((sums[self.ends[i:j] - low] - sums[at]) * inverse[at])
+            low = self.starts[i]
+            self.hash[i:j] = word_hash(fold[data[low: self.ends[j - 1]]], self.starts[i:j] - low, self.ends[i:j] - low)
 
     def __len__(self) -> int:
         return len(self.starts)
