@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, substring, token_count, token_output
+from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,57 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     token_output.write_token_ids(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
     back = token_output.read_token_ids(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+#: The 256 values of a byte in CRC-32, as DuckDB SQL.
+_CRC_TABLE = ("(SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), "
+              "lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc)")
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII string, with the table as column `crc`."""
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), "
+            "lambda c, b: xor(c // 256, crc[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _edit(weight: str, cost: str, letter: str) -> str:
+    """A weight (eight digits of cost, then the audit) after one more edit."""
+    return f"(lpad(CAST(CAST(left({weight}, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({weight}, 9) || '{letter}')"
+
+
+_U = f"least(u, {_edit('s', '3', 'I')}, {_edit('y', '3', 'I')}, {_edit('a', '3', 'I')})"
+_BARE = r"rtrim(text, E' \t\n\x0b\f\r')"
+_REPAIR_SQL = f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, {_CRC_TABLE}),
+    dam AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE k <> 0),
+    num AS (SELECT conv_id, turn, role, text, left(role, 1) AS c, {_BARE} AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM dam),
+    f AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+        lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM num),
+    w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '00000000' AS s, CAST(NULL AS VARCHAR) AS y, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM f
+        UNION ALL SELECT conv_id, i + 1, {_edit('s', '4', 'D')},
+            least({_edit('y', '4', 'D')}, CASE WHEN free AND c = 's' THEN {_edit('s', 't', 'K')} END),
+            least({_edit('u', '4', 'D')}, CASE WHEN free AND c = 'u' THEN least({_edit('s', 't', 'K')}, {_edit('y', 't', 'K')}, {_edit('a', 't', 'K')}) END,
+                CASE WHEN free THEN least({_edit('s', '3 + t', 'R')}, {_edit('y', '3 + t', 'R')}, {_edit('a', '3 + t', 'R')}) END),
+            least({_edit('a', '4', 'D')}, CASE WHEN free AND c = 'a' THEN {_edit('u', 't', 'K')} END, CASE WHEN free THEN {_edit('u', '3 + t', 'R')} END)
+        FROM (SELECT v.*, f.c, NOT (blank OR dup) AS free, CASE WHEN cut THEN 3 ELSE 0 END AS t
+            FROM (SELECT conv_id, i, s, y, u, least(a, {_edit('u', '3', 'I')}) AS a FROM (SELECT conv_id, i, s, y, {_U} AS u, a FROM w)) v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1)),
+    best AS (SELECT conv_id, least(s, a, {_edit(_U, '3', 'I')}) AS w FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+    edit AS (SELECT conv_id, unnest(string_split(substr(w, 9), '')) AS e, unnest(range(1, length(w) - 7)) AS p FROM best WHERE length(w) > 8),
+    ed AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER g AS i, count(*) FILTER (WHERE e <> 'D') OVER g AS m FROM edit WINDOW g AS (PARTITION BY conv_id ORDER BY p)),
+    said AS (SELECT ed.conv_id, p, e, m, role, CASE e WHEN 'I' THEN '' ELSE text END AS text, CAST(bool_or(e = 'K' AND m = 1 AND c = 's') OVER (PARTITION BY ed.conv_id) AS INT) AS sys
+        FROM ed JOIN f ON f.conv_id IS NOT DISTINCT FROM ed.conv_id AND f.i = greatest(ed.i, 1) WHERE e <> 'D'),
+    fixed AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS text FROM said GROUP BY 1),
+    n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+        count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, CAST(coalesce(left(w, 8), '0') AS BIGINT) AS cost, coalesce(substr(w, 9), '') AS audit, sha256(coalesce(fixed.text, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op11_conversation_repair", _REPAIR_SQL)
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    talks = table(spark, sf, "conversations")
+    return repair.repair_report(repair.damage(talks), all_conversations=talks)

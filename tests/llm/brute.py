@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import re
+import zlib
 
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +77,101 @@ def near_classes(docs):
     for (doc, _), x in zip(docs, label):
         first[x] = doc if x not in first or first[x] is None else first[x] if doc is None else min(first[x], doc)
     return [(doc, first[x]) for (doc, _), x in zip(docs, label)]
+
+
+def damaged(rows):
+    """(conv, turn, role, text) rows after the faults."""
+    out = []
+    for conv, turn, role, text in rows:
+        show = lambda x: " " if x is None else str(x)
+        kind = zlib.crc32(f"{show(conv)}:{show(turn)}".encode()) % 20
+        role, text = show(role), show(text)
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).digest()))
+
+
+def faults(rows):
+    """First fault of each of a conversation's ordered rows."""
+    out, seen = [], set()
+    for _, _, role, text in rows:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, digest) of one conversation, by trying edits state by state."""
+    rows = ordered(rows)
+    found = faults(rows)
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    # state: the initials' end, "" at the start; values (cost, audit, repaired rows)
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    names = {"u": "user", "a": "assistant"}
+
+    def inserted(best):
+        for _ in range(4):
+            for q, (cost, audit, kept) in list(best.items()):
+                for (p, x), to in step.items():
+                    if p == q and x != "s":
+                        value = (cost + 3, audit + "I", kept + [(names[x], "")])
+                        if to not in best or value[:2] < best[to][:2]:
+                            best[to] = value
+        return best
+
+    best = inserted({"": (0, "", [])})
+    for (_, _, role, text), fault in zip(rows, found):
+        new = {}
+
+        def offer(q, value):
+            if q not in new or value[:2] < new[q][:2]:
+                new[q] = value
+
+        for q, (cost, audit, kept) in best.items():
+            offer(q, (cost + 4, audit + "D", kept))
+            if fault in ("blank", "duplicate"):
+                continue
+            more = 3 if fault == "truncated" else 0
+            if (q, role[:1]) in step and role:
+                offer(step[q, role[:1]], (cost + more, audit + "K", kept + [(role, text)]))
+            for x in "ua":
+                if (q, x) in step:
+                    offer(step[q, x], (cost + 3 + more, audit + "R", kept + [(names[x], text)]))
+        best = inserted(new)
+    cost, audit, kept = min((best[q] for q in ("", "a") if q in best), key=lambda v: v[:2])
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+    return (gaps, found.count("blank"), found.count("duplicate"), found.count("truncated"), illegal, cost, audit, digest)
+
+
+def cheapest_by_trial(rows):
+    """(cost, audit) of a very short conversation: all edits and up to two insertions at every place."""
+    rows = ordered(rows)
+    found, good, answers = faults(rows), re.compile("(s?(ua)+)?"), []
+    adds = ["", "u", "a", "ua", "au"]
+    options = []
+    for (_, _, role, _), fault in zip(rows, found):
+        own = [("D", "", 4)]
+        if fault not in ("blank", "duplicate"):
+            more = 3 if fault == "truncated" else 0
+            own += [("K", role[:1] or "?", more), ("R", "u", 3 + more), ("R", "a", 3 + more)]
+        options.append(own)
+    for edits in itertools.product(*options):
+        for places in itertools.product(adds, repeat=len(rows) + 1):
+            roles, audit, cost = places[0], "I" * len(places[0]), 3 * sum(map(len, places))
+            for (letter, initial, price), add in zip(edits, places[1:]):
+                roles, audit, cost = roles + initial + add, audit + letter + "I" * len(add), cost + price
+            if good.fullmatch(roles):
+                answers.append((cost, audit))
+    return min(answers)
