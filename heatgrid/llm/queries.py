@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output
+from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output, vector_codes
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,26 @@ _REPAIR_SQL = f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role,
 def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     talks = table(spark, sf, "conversations")
     return repair.repair_report(repair.damage(talks), all_conversations=talks)
+
+
+def _codebook_round(n: int) -> str:
+    """One assignment of all parts to the entries of codebook n, and codebook n + 1."""
+    return f"""d{n} AS (SELECT vec_id, part, entry, sum((q - c) * (q - c)) AS dist FROM part JOIN c{n} USING (part, j) GROUP BY 1, 2, 3),
+    a{n} AS (SELECT vec_id, part, entry, dist FROM d{n} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY dist, entry) = 1),
+    c{n + 1} AS (SELECT part, entry, j, coalesce(m, c) AS c FROM c{n} LEFT JOIN (SELECT part, entry, j, CAST(floor(CAST(sum(q) AS DOUBLE) / count(*)) AS BIGINT) AS m
+        FROM part JOIN a{n} USING (vec_id, part) GROUP BY 1, 2, 3) USING (part, entry, j)),"""
+
+
+_CODES_SQL = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    part AS (SELECT vec_id, CAST(j // w AS INT) AS part, CAST(j % w AS INT) AS j, q FROM (SELECT vec_id, len(q) // 16 AS w, unnest(q) AS q, unnest(range(len(q))) AS j FROM kept)),
+    c0 AS (SELECT part, entry, j, q AS c FROM part JOIN (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+    {_codebook_round(0)} {_codebook_round(1)} {_codebook_round(2)}
+    code AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 GROUP BY 1),
+    books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM c2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), books"""
+
+
+@query("op12_vector_codes", _CODES_SQL)
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf, "embeddings"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -175,3 +176,25 @@ def cheapest_by_trial(rows):
             if good.fullmatch(roles):
                 answers.append((cost, audit))
     return min(answers)
+
+
+def vector_codes(vectors, parts=16, entries=64, rounds=2):
+    """{id: (code, error)} and the digest of the codebooks, for (id, components) rows of one length, by comparing everything."""
+    rows = [(i, [math.floor(256 * x) for x in v]) for i, v in sorted(vectors, key=lambda r: r[0])]
+    width = len(rows[0][1]) // parts
+    cut = lambda v, p: v[p * width: (p + 1) * width]
+    books = [[cut(v, p) for _, v in rows[:entries]] for p in range(parts)]
+    near = lambda v, p: min((sum((a - b) ** 2 for a, b in zip(cut(v, p), e)), k) for k, e in enumerate(books[p]))
+    for _ in range(rounds):
+        groups = [collections.defaultdict(list) for _ in range(parts)]
+        for _, v in rows:
+            for p in range(parts):
+                groups[p][near(v, p)[1]].append(cut(v, p))
+        for p in range(parts):
+            for k, members in groups[p].items():
+                books[p][k] = [sum(c) // len(members) for c in zip(*members)]
+    out = {}
+    for i, v in rows:
+        found = [near(v, p) for p in range(parts)]
+        out[i] = ("".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found))
+    return out, hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
