@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from heatgrid.llm import ann, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output, vector_codes
+from heatgrid.llm import ann, chat_format, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output, vector_codes
 from heatgrid.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +208,22 @@ _CODES_SQL = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, l
 @query("op12_vector_codes", _CODES_SQL)
 def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes.compress_vectors(table(spark, sf, "embeddings"))
+
+
+_ESCAPED = r"""regexp_replace(regexp_replace({0}, '(<)(\\*)(s>|/s>|\|endoftext\|>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\]|/?SYS\]|/?ROLE\]|/TURN\])', '\1\\\2\3', 'g')"""
+_SAMPLE_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+_CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES {', '.join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _SAMPLE_CHAT)}),
+    e AS (SELECT *, length({_ESCAPED.format('text')}) + CASE role WHEN 'user' THEN length('<s>[INST][/INST]') WHEN 'assistant' THEN length('</s>') WHEN 'system' THEN length('[SYS][/SYS]')
+        ELSE length('[ROLE][/ROLE][/TURN]') + length({_ESCAPED.format('role')}) END AS n FROM t),
+    c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '') AS loss, sum(n) AS formatted FROM e GROUP BY 1)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c"""
+
+
+@query("op13_chat_format", _CHAT_SQL)
+def op13_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    path, tokenizer = f"{shared_folder(spark)}/chats-{uuid.uuid4().hex}", tokenizer_file("byte_bpe_50k.json")
+    chat_format.write_chats(talks.unionByName(spark.createDataFrame(_SAMPLE_CHAT, talks.schema)), tokenizer, path)
+    return chat_format.read_digests(spark, path, tokenizer)
