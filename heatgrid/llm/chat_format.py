@@ -6,8 +6,8 @@ turn's edge and no text can produce a control id. A control string (or special s
 gets a backslash behind its first character, and one that already has backslashes there gets one more, so the way back
 takes exactly one away. The loss mask is the running sum of +1 where a learned text begins and -1 where it ends.
 
-On a cluster. Rows are encoded where they lie; narrow rows of ids are range-sorted by (conversation, turn), so a conversation may be
-spread over tasks. Each task appends the turns it meets to records of at most `RECORD` tokens and writes them. Reading back,
+On a cluster. Rows are range-sorted by (conversation, turn), so a conversation may be spread over tasks. Each task encodes the turns it
+meets, appends them to records of at most `RECORD` tokens and writes them. Reading back,
 conversations of one record are decoded where they lie, the records of longer ones are brought together in order and
 decoded one after the other; a task holds one turn's text.
 
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from heatgrid.llm.tokens import Encoder
 
 RECORD = 1 << 16
+WORDS = 100_000  # a task remembers the ids of that many words
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ class Format:
     """Turns to ids and back, for one tokenizer and template."""
 
     def __init__(self, path: str, template: ChatTemplate):
-        self.encoder, self.template = Encoder(path), template
+        self.encoder, self.template = Encoder(path, WORDS), template
         controls = template.controls()
         base = self.encoder.tokenizer.get_vocab_size()
         self.base, self.strings = base, controls
@@ -100,6 +101,18 @@ class Format:
         return ids, len(before), len(before) + len(said)
 
 
+_formats: dict[tuple[str, str], Format] = {}
+
+
+def format_of(path: str, template: ChatTemplate) -> Format:
+    """One for all tasks of a worker process."""
+    key = (path, repr(template))
+    if key not in _formats:
+        _formats.clear()
+        _formats[key] = Format(path, template)
+    return _formats[key]
+
+
 class Reader:
     """Decodes one conversation's records in order; `turns` yields (role, text, learned text, characters of the formatted text)."""
 
@@ -144,21 +157,6 @@ class Reader:
         return self.form.escape.undo(text)
 
 
-def _encoding(path: str, template: ChatTemplate, keep: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Format(path, template)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            ids, begin, end = zip(*[form.turn(r, t) for r, t in zip(roles, texts)])
-            learned = [r in template.learned for r in roles]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv", "turn", "role", "tie")], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(begin, pa.int32()),
-                                              pa.array(end, pa.int32()), pa.array(learned)], schema=keep)
-
-    return run
-
-
 class _Records:
     """Rows of the output, gathered into batches."""
 
@@ -183,10 +181,11 @@ class _Records:
         return batch
 
 
-def _assembling(record: int, conv_type: pa.DataType):
+def _assembling(tokenizer_file: str, template: ChatTemplate, record: int, conv_type: pa.DataType):
     """Sorted turns to records of one conversation each, at most `record` tokens long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = format_of(tokenizer_file, template)
         out = _Records(conv_type, TaskContext.get().partitionId())
         conv, started, inside, pieces, held, size = None, False, False, False, [], 0
 
@@ -210,15 +209,15 @@ def _assembling(record: int, conv_type: pa.DataType):
             held, size = [], 0
 
         for batch in batches:
-            for c, ids, begin, end, learned in zip(*[batch.column(k).to_pylist() for k in ("conv", "ids", "begin", "end", "learned")]):
+            for c, role, text in zip(*[batch.column(k).to_pylist() for k in ("conv", "role", "text")]):
                 if not started or c != conv:
                     if started:
                         flush(True)
                     conv, inside, pieces, started = c, started, False, True
-                turn = np.frombuffer(ids, "<u4")
+                turn, begin, end = form.turn(role, text)
                 if size and size + len(turn) > record:
                     flush(False)
-                held.append((turn, begin, end, learned))
+                held.append((turn, begin, end, role in template.learned))
                 size += len(turn)
                 if out.size > 1 << 19:
                     yield out.take()
@@ -235,18 +234,15 @@ def assemble(df: DataFrame, tokenizer_file: str, template: ChatTemplate = ChatTe
              record: int = RECORD) -> DataFrame:
     """(conv, part, place, whole, ids, loss): token ids and loss mask of all conversations, one or more records each, in the order of
     (part, place). `tokenizer_file` is a path that exists on every executor."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.pandas.types import to_arrow_type
 
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), filled(role).alias("role"), filled(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    kept = T.StructType([*[rows.schema[c] for c in ("conv", "turn", "role", "tie")], *T.StructType.fromDDL("ids binary, begin int, end int, learned boolean").fields])
-    arrow = to_arrow_schema(kept)
-    turns = rows.mapInArrow(_encoding(tokenizer_file, template, arrow), kept)
     order = ["conv", "turn", "role", "tie"]
-    out = T.StructType([T.StructField("conv", kept["conv"].dataType), *T.StructType.fromDDL("part int, place bigint, whole boolean, ids array<int>, loss array<boolean>").fields])
-    placed = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "ids", "begin", "end", "learned")
-    return placed.mapInArrow(_assembling(record, arrow.field("conv").type), out).withColumnRenamed("conv", conv)
+    placed = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text")
+    kind = rows.schema["conv"].dataType
+    out = T.StructType([T.StructField("conv", kind), *T.StructType.fromDDL("part int, place bigint, whole boolean, ids array<int>, loss array<boolean>").fields])
+    return placed.mapInArrow(_assembling(tokenizer_file, template, record, to_arrow_type(kind)), out).withColumnRenamed("conv", conv)
 
 
 def write_chats(df: DataFrame, tokenizer_file: str, path: str, **options) -> None:
@@ -258,7 +254,7 @@ def _reading(tokenizer_file: str, template: ChatTemplate, emit, schema: pa.Schem
     """`emit(conv, turns)` for the turns of each conversation, from records in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Format(tokenizer_file, template)
+        form = format_of(tokenizer_file, template)
 
         def turns() -> Iterator[tuple]:
             conv, reader = None, None
