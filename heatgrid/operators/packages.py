@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heatgrid.functions.numeric import round_even
 from heatgrid.catalog import effects_table, interventions_table
 from heatgrid.functions.numeric import hash_uniform
+from heatgrid.operators.dominance import nondominated_rank, pareto_front  # noqa: F401  (part of this module's interface)
 from heatgrid.operators.interventions import expand_package
 from heatgrid.operators.scenarios import Predict, complete_pixels, pair_with_packages
-from heatgrid.operators.support import checkpointed, number_rows
+from heatgrid.operators.support import number_rows
 
 OBJECTIVES = ["obj_reduction", "obj_cost", "obj_feasibility", "obj_cobenefits"]
 
@@ -104,130 +103,7 @@ def evaluate_packages(
     ).drop("_after").na.fill(0.0, OBJECTIVES[1:])
 
 
-# --- dominance ---------------------------------------------------------------------------------------
-
-def _dominates(a: str, b: str, objectives: Sequence[str]) -> Column:
-    """Row a is nowhere worse and somewhere better than row b."""
-    no_worse = reduce(lambda x, y: x & y, [F.col(f"{a}{o}") <= F.col(f"{b}{o}") for o in objectives])
-    better = reduce(lambda x, y: x | y, [F.col(f"{a}{o}") < F.col(f"{b}{o}") for o in objectives])
-    return no_worse & better
-
-
-def _local_front(objectives: Sequence[str], window: int = 4096):
-    """Drop rows dominated by a row of the same partition. Only a filter: what it misses is found later."""
-
-    def run(batches):
-        best = None  # up to `window` strong rows seen so far
-        for batch in batches:
-            x = batch[list(objectives)].to_numpy(dtype=np.float64)
-            order = np.argsort(x.sum(axis=1), kind="stable")
-            x, batch = x[order], batch.iloc[order]
-            alive = np.ones(len(x), dtype=bool)
-            rivals = x[:window] if best is None else np.vstack([best, x[:window]])
-            for rival in rivals:
-                left = np.flatnonzero(alive)
-                if not left.size:
-                    break
-                part = x[left]
-                alive[left[(rival <= part).all(axis=1) & (rival < part).any(axis=1)]] = False
-            kept = x[alive]
-            best = kept[:window] if best is None else np.vstack([best, kept])
-            best = best[np.argsort(best.sum(axis=1), kind="stable")][:window]
-            yield batch[alive]
-
-    return run
-
-
-def pareto_front(
-    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", block: int = 4096,
-) -> DataFrame:
-    """Rows that no other row dominates; equal rows all stay.
-
-    Most rows fall inside their own partition. The candidates that remain are cut into blocks of about
-    `block` rows, and each block is tested against each as an equi-join on the block number with early
-    exit (a semi-join), so any size of front is handled without one task seeing all of it.
-    """
-    objectives = list(objectives)
-    small = df.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
-    candidates = checkpointed(small.mapInPandas(_local_front(objectives), small.schema))
-    n_blocks = max(1, -(-candidates.count() // block))
-    rivals = candidates.select(*[F.col(o).alias(f"r_{o}") for o in objectives],
-                               F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("_block"))
-    targets = candidates.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    beaten = targets.alias("t").join(
-        rivals.withColumnRenamed("_block", "_rival").alias("r"),
-        (F.col("_block") == F.col("_rival")) & _dominates("r_", "", objectives), "left_semi",
-    ).select(key).distinct()
-    front = candidates.select(key).join(beaten, key, "left_anti")
-    return df.join(front, key, "left_semi")
-
-
-def _deepest(held, objectives: Sequence[str]):
-    """For the rows of one bounded block, the deepest of these ranked rows that dominates each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target = held.value
-        x = target[list(objectives)].to_numpy(dtype=np.float64)
-        best = np.full(len(x), -1)
-        for rows in batches:
-            y, rank = rows[list(objectives)].to_numpy(dtype=np.float64), rows["_rank"].to_numpy()
-            for i in range(0, len(y), 256):
-                part = y[i: i + 256, None, :]
-                above = (part <= x).all(axis=2) & (part < x).any(axis=2)
-                best = np.maximum(best, np.where(above, rank[i: i + 256, None], -1).max(axis=0))
-        kept = best >= 0
-        yield pd.DataFrame({"_n": target["_n"].to_numpy()[kept], "_floor": (best[kept] + 1).astype(np.int32)})
-
-    return run
-
-
-def _rank_block(objectives: Sequence[str]):
-    """Ranks of one bounded block, in order: one more than the deepest row that dominates a row, here or in blocks before."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_n")
-        x = rows[list(objectives)].to_numpy(dtype=np.float64)
-        rank = rows["_floor"].fillna(0).to_numpy(dtype=np.int32)
-        for i in range(1, len(x)):
-            above = (x[:i] <= x[i]).all(axis=1) & (x[:i] < x[i]).any(axis=1)
-            if above.any():
-                rank[i] = max(rank[i], rank[:i][above].max() + 1)
-        return rows.drop(columns=["_floor", "_all"]).assign(_rank=rank)
-
-    return run
-
-
-def nondominated_rank(
-    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", out: str = "front", block: int = 4096,
-) -> DataFrame:
-    """Front number from 0 for every row: the length of the longest chain of rows that dominate it.
-
-    Rows are numbered by the sum of their objectives, so a dominating row always comes before, and cut into blocks of
-    `block` rows. The blocks are ranked one after the other: all rows ranked so far are tested against a block where they lie (the block, never
-    larger than `block` rows, is what travels), then the block is ranked within itself. Runs a few jobs per block.
-    """
-    objectives = list(objectives)
-    small = df.select(key, *[F.col(o).cast("double").alias(o) for o in objectives])
-    total = reduce(lambda a, b: a + b, [F.col(o) for o in objectives])
-    placed = number_rows(small.withColumn("_sum", total), ["_sum", *objectives, key], "_n", start=0).drop("_sum")
-    placed = checkpointed(placed.withColumn("_all", F.floor(F.col("_n") / block)))
-    context = df.sparkSession.sparkContext
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.drop("_all").schema.fields) + ", _rank int"
-    parts: list[DataFrame] = []
-    for number in range(max(1, -(-placed.count() // block))):
-        current = placed.where(F.col("_all") == number)
-        if parts:
-            held = context.broadcast(current.select("_n", *objectives).toPandas())
-            floors = reduce(DataFrame.unionByName, parts).select(*objectives, "_rank").mapInPandas(_deepest(held, objectives), "_n bigint, _floor int")
-            current = current.join(floors.groupBy("_n").agg(F.max("_floor").alias("_floor")), "_n", "left")
-        else:
-            current = current.withColumn("_floor", F.lit(None).cast("int"))
-        parts.append(checkpointed(current.groupBy("_all").applyInPandas(_rank_block(objectives), kind)))
-        if len(parts) == 32:
-            parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
-    ranks = reduce(DataFrame.unionByName, parts).select(key, F.col("_rank").alias(out))
-    return df.join(ranks, key, "left")
-
+# --- crowding ----------------------------------------------------------------------------------------
 
 def crowding_distance(
     df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", front: str = "front",

@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from heatgrid.operators import packages as pk, sampling, spatial
+from heatgrid.functions.numeric import hash_uniform
+from heatgrid.operators import dominance, packages as pk, sampling, spatial
 from heatgrid.operators.quantiles import exact_quantiles, group_medians
-from heatgrid.operators.support import local_table, number_rows
+from heatgrid.operators.support import checkpointed, local_table, number_rows
 
 
 @pytest.fixture(scope="module")
@@ -123,27 +124,79 @@ def _front(x):
     return ~worse
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_front_in_blocks(spark, block):
-    rng = np.random.default_rng(2)
-    x = np.round(rng.random((300, 3)), 1)  # many equal rows
-    df = local_table(spark, [(i, *map(float, r)) for i, r in enumerate(x)], "package_id BIGINT, a DOUBLE, b DOUBLE, c DOUBLE").repartition(4)
-    got = sorted(r["package_id"] for r in pk.pareto_front(df, ["a", "b", "c"], block=block).collect())
-    assert got == list(np.flatnonzero(_front(x)))
+def _table(spark, x, extra=()):
+    names = "abcd"[: x.shape[1]]
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)] + list(extra)
+    return local_table(spark, rows, "package_id BIGINT, " + ", ".join(f"{n} DOUBLE" for n in names)).repartition(4), list(names)
 
 
-@pytest.mark.parametrize("small", [7, 25, 1000])
-def test_all_fronts(spark, small):
-    rng = np.random.default_rng(4)
-    x = rng.random((60, 2))
-    df = local_table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "package_id BIGINT, a DOUBLE, b DOUBLE")
-    got = {r["package_id"]: r["front"] for r in pk.nondominated_rank(df, ["a", "b"], block=small).collect()}
-    left, rank, want = np.arange(60), 0, {}
+def _fronts(x):
+    left, rank, out = np.arange(len(x)), 0, np.zeros(len(x), int)
     while left.size:
         first = _front(x[left])
-        want.update({int(i): rank for i in left[first]})
-        left, rank = left[~first], rank + 1
-    assert got == want
+        out[left[first]], left, rank = rank, left[~first], rank + 1
+    return out
+
+
+def _objective_rows(kind, n=400):
+    rng = np.random.default_rng(2)
+    x = rng.random((n, 3))
+    return {
+        "ties": np.round(x, 1), "free": x, "one": np.column_stack([x[:, 0], np.zeros(n), np.ones(n)]), "agreeing": np.column_stack([x[:, 0]] * 3), "equal": np.zeros((n, 2)),
+        "opposed": np.column_stack([x[:, 0], 1 - x[:, 0]]), "infinite": np.where(x > 0.9, np.inf, np.where(x < 0.1, -np.inf, x)),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["ties", "free", "one", "agreeing", "equal", "opposed", "infinite"])
+@pytest.mark.parametrize("block", [20, 4096])
+def test_front_over_cells(spark, kind, block):
+    x = _objective_rows(kind)
+    df, names = _table(spark, x)
+    got = sorted(r["package_id"] for r in pk.pareto_front(df, names, block=block).collect())
+    assert got == list(np.flatnonzero(_front(x)))
+
+
+@pytest.mark.parametrize("kind,block", [("ties", 20), ("free", 20), ("free", 4096), ("one", 60), ("agreeing", 60), ("equal", 20), ("opposed", 20), ("infinite", 40)])
+def test_all_fronts(spark, kind, block):
+    x = _objective_rows(kind, 300)
+    df, names = _table(spark, x)
+    got = {r["package_id"]: r["front"] for r in pk.nondominated_rank(df, names, block=block).collect()}
+    assert got == dict(enumerate(_fronts(x).tolist()))
+
+
+def test_rows_without_all_objectives_stand_apart(spark):
+    df, names = _table(spark, np.array([[1.0, 1.0], [2.0, 2.0], [2.0, 2.0]]), [(3, None, 0.0), (4, float("nan"), 5.0)])
+    assert sorted(r["package_id"] for r in pk.pareto_front(df, names).collect()) == [0, 3, 4]
+    assert {r["package_id"]: r["front"] for r in pk.nondominated_rank(df, names).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
+    assert pk.nondominated_rank(df.limit(0), names).count() == 0 and pk.pareto_front(df.limit(0), names).count() == 0
+
+
+def test_few_rows_of_opposed_objectives_meet(spark):
+    """A hundred thousand packages, none of which dominates another one in most places."""
+    n = 100_000
+    u = hash_uniform(F.col("id"), 1)
+    df = spark.range(n).select(F.col("id").alias("package_id"), u.alias("a"), (1 - u + hash_uniform(F.col("id"), 2) * 0.01).alias("b"))
+    pairs = dominance.front_comparisons(df, ["a", "b"], block=500)
+    x = np.array([[r["a"], r["b"]] for r in df.orderBy("package_id").collect()])
+    order = np.lexsort((x[:, 1], x[:, 0]))
+    best = np.minimum.accumulate(np.append(np.inf, x[order, 1]))[:-1]
+    want = set(order[x[order, 1] < best].tolist())
+    assert {r["package_id"] for r in pk.pareto_front(df, ["a", "b"], block=500).collect()} == want
+    assert pairs < n * n / 1000
+
+
+def test_no_front_passes_through_the_driver(spark, monkeypatch):
+    """Ranks of many rows, with nothing but counts and ranks of cells collected."""
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("package_id"), *[hash_uniform(F.col("id"), s).alias(o) for s, o in enumerate("abc")])
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows on the driver"))
+    ranked = checkpointed(pk.nondominated_rank(df, ["a", "b", "c"], block=500))
+    monkeypatch.undo()
+    rows = ranked.collect()
+    x, rank = np.array([[r["a"], r["b"], r["c"]] for r in rows]), np.array([r["front"] for r in rows])
+    for i in np.random.default_rng(3).integers(0, n, 300):  # one more than the deepest dominating row
+        above = (x <= x[i]).all(axis=1) & (x < x[i]).any(axis=1)
+        assert rank[i] == (rank[above].max() + 1 if above.any() else 0)
 
 
 @pytest.mark.parametrize("n,bins", [(1, 4), (2, 4), (4, 4), (40, 3)])
