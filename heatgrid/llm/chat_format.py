@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from heatgrid.llm.tokens import Encoder
 
 RECORD = 1 << 16
-WORDS = 100_000  # a task remembers the ids of that many words
+WORDS = 20_000  # a task remembers the ids of that many words
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from heatgrid.llm import ann, chat_format, decontam, langid, license_scan, minhash, packing, quality, repair, substring, token_count, token_output, vector_codes
 from heatgrid.llm.common import shared_folder
+from heatgrid.operators.support import local_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,5 +226,5 @@ _CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
 def op13_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     path, tokenizer = f"{shared_folder(spark)}/chats-{uuid.uuid4().hex}", tokenizer_file("byte_bpe_50k.json")
-    chat_format.write_chats(talks.unionByName(spark.createDataFrame(_SAMPLE_CHAT, talks.schema)), tokenizer, path)
+    chat_format.write_chats(talks.unionByName(local_table(spark, _SAMPLE_CHAT, talks.schema)), tokenizer, path)
     return chat_format.read_digests(spark, path, tokenizer)
