@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from heatgrid import schema as S
 from heatgrid.catalog import STACKING_FACTORS, Effect, Intervention, catalogue, effects_table, interventions_table
 from heatgrid.functions.numeric import clamp_nested, hash_uniform, round_even
-from heatgrid.operators.support import replace_columns, unnest
+from heatgrid.operators.support import checkpointed, replace_columns, unnest
 
 PACKAGE_TYPE = "array<struct<id:string,coverage:double>>"
 
@@ -158,6 +158,42 @@ def fold_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Column
     return F.when(x.isNotNull(), F.aggregate(steps, x.cast("double"), change))
 
 
+def slot_packages(packages: DataFrame, effects: DataFrame, features: Sequence[str], *, package_id: str = "package_id",
+                  items: str = "items") -> tuple[DataFrame, dict[str, int]]:
+    """Packages with their steps as plain columns, and how many steps any of them has on each feature.
+
+    Columns are `_n_<feature>` and, for each slot, `_scale`, `_shift` and `_raise`. Arrays of steps would be folded by interpreted
+    lambdas; plain columns are generated code. A slot beyond a package's own steps changes nothing. Writes the (small) compiled table.
+    """
+    compiled = checkpointed(compile_packages(packages, effects, features, package_id=package_id, items=items))
+    most = compiled.agg(*[F.max(F.size(f"steps_{f}")).alias(f) for f in features]).first()
+    slots = {f: most[f] or 0 for f in features}
+    columns = [F.size(f"steps_{f}").alias(f"_n_{f}") for f in features]
+    for f in features:
+        for j in range(slots[f]):
+            step = F.get(f"steps_{f}", F.lit(j))
+            columns += [F.coalesce(step["scale"], F.lit(1.0)).alias(f"_scale_{f}_{j}"), F.coalesce(step["shift"], F.lit(0.0)).alias(f"_shift_{f}_{j}"),
+                        F.coalesce(step["raise_only"], F.lit(False)).alias(f"_raise_{f}_{j}")]
+    return compiled.select(package_id, *columns), slots
+
+
+def apply_slots(pairs: DataFrame, features: Sequence[str], slots: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
+    """(keep..., features) with the steps of `slot_packages` applied, clamped after each; features must not be NULL.
+
+    One projection per slot, since a step may mention its input twice."""
+    pairs = replace_columns(pairs, {f: F.col(f).cast("double") for f in features})
+    for j in range(max(slots.values(), default=0)):
+        moved = {}
+        for f in features:
+            if j < slots[f]:
+                x = F.col(f)
+                new = x * F.col(f"_scale_{f}_{j}") + F.col(f"_shift_{f}_{j}")
+                new = F.when(F.col(f"_raise_{f}_{j}"), F.greatest(x, new)).otherwise(new)
+                moved[f] = F.when(F.col(f"_n_{f}") > j, clamp_nested(new, *S.EFFECT_BOUNDS.get(f, (None, None)))).otherwise(x)
+        pairs = replace_columns(pairs, moved)
+    return pairs.select(*keep, *features)
+
+
 def trace_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Column:
     """Like `fold_steps`, keeping every step as (old, new, change, change_pct, mode)."""
     row_type = "array<struct<mode:string,old:double,new:double>>"

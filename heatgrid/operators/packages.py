@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heatgrid.functions.numeric import round_even
@@ -13,7 +15,7 @@ from heatgrid.functions.numeric import hash_uniform
 from heatgrid.operators.dominance import nondominated_rank, pareto_front  # noqa: F401  (part of this module's interface)
 from heatgrid.operators.interventions import expand_package
 from heatgrid.operators.scenarios import Predict, complete_pixels, pair_with_packages
-from heatgrid.operators.support import number_rows
+from heatgrid.operators.support import checkpointed, number_rows
 
 OBJECTIVES = ["obj_reduction", "obj_cost", "obj_feasibility", "obj_cobenefits"]
 
@@ -84,64 +86,88 @@ def evaluate_packages(
 ) -> DataFrame:
     """The four objectives of every package, over all complete hotspots (all to be minimised).
 
-    The score before does not depend on the package and is computed once. A task adds its own pixels up per
+    The pixels are read once: the score before goes along with them. A task adds its own pixels up per
     package before anything is shuffled. A package without known interventions has all objectives 0.
     """
     spark = packages.sparkSession
     table = interventions_table(spark) if table is None else table
     effects = effects_table(spark) if effects is None else effects
-    ready = complete_pixels(hotspots.select(*features), features)
-    before = predict(ready).agg(F.avg(score)).scalar()
-    parts = pair_with_packages(ready, packages, effects, features, package_id=package_id, **options)
-    sums = [predict(p).groupBy(package_id).agg(F.avg(score).alias("_after")) for p in parts]
-    after = reduce(lambda a, b: a.unionByName(b), sums)
+    ready = predict(complete_pixels(hotspots.select(*features), features)).withColumnRenamed(score, "_before")
+    pairs = pair_with_packages(ready.select("_before", *features), packages, effects, features, package_id=package_id, **options)
+    change = F.avg(score) - F.avg("_before")
+    after = predict(pairs).groupBy(package_id).agg(change.alias("_change"))
     metrics = package_metrics(packages, table, package_id=package_id)
     joined = packages.select(package_id, "items").join(metrics, package_id, "left").join(after, package_id, "left")
     known = F.col("n_interventions").isNotNull()
     return joined.withColumn(
-        "obj_reduction", F.when(known, F.col("_after") - before).otherwise(0.0)
-    ).drop("_after").na.fill(0.0, OBJECTIVES[1:])
+        "obj_reduction", F.when(known, F.col("_change")).otherwise(0.0)
+    ).drop("_change").na.fill(0.0, OBJECTIVES[1:])
 
 
 # --- crowding ----------------------------------------------------------------------------------------
 
 def crowding_distance(
-    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", front: str = "front",
-    bins: int = 64, out: str = "crowding",
+    df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, key: str = "package_id", front: str = "front", out: str = "crowding",
 ) -> DataFrame:
     """Crowding distance inside each front; infinity at the ends of an objective and in fronts of up to two.
 
-    All objectives go through together in long form. A front is cut into value bins, neighbours are found
-    inside a bin, and the edges come from a table of bin edges (at most `bins` rows per front and
-    objective), so one large front is spread over tasks. Ties are ordered by the key.
+    All objectives go through together in long form, range-sorted by (front, objective, value, key), so one large front is spread
+    over tasks whatever its values are. A task knows the neighbours of its rows but for the first and last row of a front; these few
+    find theirs among the neighbouring tasks' first and last rows. Ties are ordered by the key.
     """
     long = df.select(key, front, *[F.col(o).cast("double").alias(o) for o in objectives]).unpivot(
         [key, front], list(objectives), "_m", "_x"
     )
-    group = [front, "_m"]
+    group, order = [front, "_m"], [front, "_m", "_x", key]
     span = long.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = long.join(span, group).withColumn("_bin", F.coalesce(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / width * bins), F.lit(bins - 1)), F.lit(0)))
-    edges = placed.groupBy(*group, "_bin").agg(F.min("_x").alias("_first"), F.max("_x").alias("_last"))
-    over_bins = Window.partitionBy(*group).orderBy("_bin")
-    edges = edges.select(*group, "_bin", F.lag("_last").over(over_bins).alias("_left"),
-                         F.lead("_first").over(over_bins).alias("_right"))
-    inside = Window.partitionBy(*group, "_bin").orderBy("_x", key)
-    near = placed.join(edges, [*group, "_bin"]).select(
-        key, *group, "_lo", "_hi", "_n",
-        F.coalesce(F.lag("_x").over(inside), F.col("_left")).alias("_prev"),
-        F.coalesce(F.lead("_x").over(inside), F.col("_right")).alias("_next"),
-    )
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields)
+    placed = long.repartitionByRange(*order).sortWithinPartitions(*order)
+    near = checkpointed(placed.mapInPandas(_neighbours(group), f"{kind}, _prev double, _next double, _edge boolean, _part int, _at bigint"))
+    along = Window.partitionBy(*group).orderBy("_part", "_at")
+    edges = near.where("_edge").withColumn("_prev", F.coalesce("_prev", F.lag("_x").over(along))).withColumn("_next", F.coalesce("_next", F.lead("_x").over(along)))
+    both = near.where("NOT _edge").unionByName(edges)
+    names = [F.col(c).alias(f"{c}_") for c in group]
+    same = F.col(front).eqNullSafe(F.col(f"{front}_")) & (F.col("_m") == F.col("_m_"))
+    joined = both.join(span.select(*names, "_lo", "_hi", "_n"), same)
     part = (
         F.when((F.col("_n") <= 2) | F.col("_prev").isNull() | F.col("_next").isNull(), F.lit(float("inf")))
         .when(F.col("_hi") == F.col("_lo"), 0.0)
-        .otherwise((F.col("_next") - F.col("_prev")) / width)
+        .otherwise((F.col("_next") - F.col("_prev")) / (F.col("_hi") - F.col("_lo")))
     )
-    sums = near.withColumn("_d", part).groupBy(key).agg(F.sum("_d").alias(out))
+    sums = joined.withColumn("_d", part).groupBy(key).agg(F.sum("_d").alias(out))
     return df.join(sums, key)
 
 
+def _neighbours(group: Sequence[str]):
+    """Values before and after each row of a sorted partition; `_edge` marks the first and last row of a group in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, at, held = TaskContext.get().partitionId(), 0, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows.assign(_prev=np.nan, _next=np.nan, _edge=True, _part=part, _at=np.arange(at, at + len(rows)))
+            at += len(rows)
+            if held is not None:
+                rows = pd.concat([held, rows], ignore_index=True)
+            inside = np.ones(len(rows) - 1, bool)  # a row and the next one are of one group
+            for c in group:
+                a, b = rows[c].to_numpy()[:-1], rows[c].to_numpy()[1:]
+                inside &= (a == b) | (pd.isna(a) & pd.isna(b))
+            x = rows["_x"].to_numpy(dtype=np.float64)
+            before, after = rows["_prev"].to_numpy().copy(), np.append(np.where(inside, x[1:], np.nan), np.nan)
+            first = rows["_edge"].to_numpy(dtype=bool).copy()  # of the held row: whether it begins a group
+            before[1:] = np.where(inside, x[:-1], np.nan)
+            first[1:] = ~inside
+            rows = rows.assign(_prev=before, _next=after, _edge=first | np.append(~inside, True))
+            held = rows.iloc[-1:].assign(_edge=first[-1])
+            yield rows.iloc[:-1]
+        if held is not None:
+            yield held.assign(_edge=True)
+
+    return run
+
+
 # --- ranking -----------------------------------------------------------------------------------------
 
 def solution_table(evaluated: DataFrame) -> DataFrame:

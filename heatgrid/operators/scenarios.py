@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatgrid import schema as S
 from heatgrid.functions.numeric import round_even
-from heatgrid.operators.interventions import compile_packages, fold_steps
+from heatgrid.operators.interventions import apply_slots, slot_packages
 from heatgrid.operators.support import replace_columns, to_long
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -30,36 +30,30 @@ def predict_complete(df: DataFrame, features: Sequence[str], predict: Predict, s
 
 def pair_with_packages(
     pixels: DataFrame, packages: DataFrame, effects: DataFrame, features: Sequence[str], *,
-    package_id: str = "package_id", chunk: int = 2000, spread_from: int = 64,
-) -> list[DataFrame]:
-    """Pixels changed by every package, as one DataFrame per chunk of packages.
-
-    A what-if table is by definition every package on every pixel. The chunk's packages (at most about
-    `chunk`, counted first) form one array; each task expands it next to its own pixels, and no join is
-    planned. Any number of packages is handled by more chunks. From `spread_from` packages on, the work
-    per pixel outweighs moving it: the (narrow) pixel rows are dealt out evenly once, because a filter to
-    hotspots leaves partitions of very different size.
+    package_id: str = "package_id", block: int = 2000, most_bytes: int = 32 << 20,
+) -> DataFrame:
+    """Pixels changed by every package: a what-if table is by definition every package on every pixel.
+
+    The packages, as plain columns of steps, are cut into blocks of about `block`; every pixel names each block once and
+    meets it in an equi-join. The pixels are scanned and dealt out evenly once. Packages travel to the tasks as one table while it
+    is no larger than `most_bytes` (its rows are counted); beyond that pixels and blocks are shuffled by (salt, block), the packages once
+    for each salt. Runs the job that compiles the packages.
     """
-    compiled = compile_packages(packages, effects, features, package_id=package_id)
-    total = packages.count()
-    n_chunks = max(1, -(-total // chunk))
-    if total >= spread_from:
-        spark = pixels.sparkSession
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        pixels = pixels.repartition(tasks)
-    out = []
-    for i in range(n_chunks):
-        part = compiled if n_chunks == 1 else compiled.where(
-            F.pmod(F.xxhash64(package_id), F.lit(n_chunks)) == i
-        )
-        listed = part.agg(F.collect_list(F.struct(*part.columns))).scalar()
-        kept = [c for c in pixels.columns if c not in features]
-        pairs = pixels.select("*", F.explode(listed).alias("_p"))
-        out.append(pairs.select(*kept, F.col(f"_p.{package_id}").alias(package_id), *[
-            fold_steps(F.col(f), F.col(f"_p.steps_{f}"), S.EFFECT_BOUNDS.get(f, (None, None))).alias(f)
-            for f in features
-        ]))
-    return out
+    spark = pixels.sparkSession
+    steps, slots = slot_packages(packages, effects, features, package_id=package_id)
+    total = steps.count()
+    blocks = max(1, -(-total // block))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    steps = steps.withColumn("_block", F.pmod(F.xxhash64(package_id), F.lit(blocks)).cast("int"))
+    pixels = pixels.repartition(tasks)
+    if total * (24 * sum(slots.values()) + 16 * len(features) + 64) <= most_bytes:
+        pairs = pixels.withColumn("_block", numbers(blocks)).join(F.broadcast(steps), "_block")
+    else:
+        salted = pixels.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(tasks)).cast("int"))
+        pairs = salted.withColumn("_block", numbers(blocks)).join(steps.withColumn("_salt", numbers(tasks)), ["_salt", "_block"])
+    kept = [c for c in pixels.columns if c not in features]
+    return apply_slots(pairs, features, slots, [*kept, package_id])
 
 
 def score_scenarios(
@@ -71,9 +65,7 @@ def score_scenarios(
     The score before is computed once per pixel and carried along.
     """
     before = predict(complete_pixels(pixels, features)).withColumnRenamed(score, "before")
-    parts = pair_with_packages(before.select(key, "before", *features), packages, effects, features,
-                               package_id=package_id, **options)
-    scored = reduce(lambda a, b: a.unionByName(b), [predict(p) for p in parts])
+    scored = predict(pair_with_packages(before.select(key, "before", *features), packages, effects, features, package_id=package_id, **options))
     return scored.select(package_id, key, "before", F.col(score).alias("after"),
                          (F.col(score) - F.col("before")).alias("diff"))
 

@@ -199,24 +199,56 @@ def test_no_front_passes_through_the_driver(spark, monkeypatch):
         assert rank[i] == (rank[above].max() + 1 if above.any() else 0)
 
 
-@pytest.mark.parametrize("n,bins", [(1, 4), (2, 4), (4, 4), (40, 3)])
-def test_crowding(spark, n, bins):
+@pytest.mark.parametrize("n,tail", [(1, False), (2, False), (4, False), (40, True), (3000, True)])
+def test_crowding(spark, n, tail):
+    """Also with a long tail of values and with many ties, over several tasks; two fronts and one of null."""
     rng = np.random.default_rng(n)
-    x = rng.random((n, 2))
-    df = local_table(spark, [(i, 0, float(a), float(b)) for i, (a, b) in enumerate(x)], "package_id BIGINT, front INT, a DOUBLE, b DOUBLE")
-    got = [r["crowding"] for r in pk.crowding_distance(df, ["a", "b"], bins=bins).orderBy("package_id").collect()]
+    x = rng.random((n, 2)) ** (20 if tail else 1)
+    if tail:
+        x[: n // 3, 1] = 0.5
+    front = [0] * n if n < 40 else [None if i % 7 == 0 else i % 2 for i in range(n)]
+    df = local_table(spark, [(i, f, float(a), float(b)) for i, (f, (a, b)) in enumerate(zip(front, x))], "package_id BIGINT, front INT, a DOUBLE, b DOUBLE").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the tasks apart
+    try:
+        got = [r["crowding"] for r in pk.crowding_distance(df, ["a", "b"]).orderBy("package_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = np.zeros(n)
-    for m in range(2):
-        order = np.argsort(x[:, m])
-        want[order[[0, -1]]] = np.inf
-        if n > 2:
-            span = x[order[-1], m] - x[order[0], m]
-            want[order[1:-1]] += (x[order[2:], m] - x[order[:-2], m]) / span
-    if n <= 2:
-        want[:] = np.inf
+    for f in set(front):
+        mine = np.array([i for i in range(n) if front[i] == f])
+        for m in range(2):
+            order = mine[np.argsort(x[mine, m], kind="stable")]
+            want[order[[0, -1]]] = np.inf
+            if len(mine) > 2:
+                span = x[order[-1], m] - x[order[0], m]
+                want[order[1:-1]] += (x[order[2:], m] - x[order[:-2], m]) / span
+            else:
+                want[mine] = np.inf
     assert got == pytest.approx(list(want))
 
 
+def test_packages_meet_pixels_in_one_scan(spark):
+    """One plan for many blocks of packages: the pixels are read once, and the pairs are the same with shuffled packages."""
+    from heatgrid.catalog import catalogue, effects_table
+    from heatgrid.operators import scenarios as sc
+    from heatgrid.operators.interventions import apply_package
+
+    ids = [i.id for i in catalogue()]
+    packages = pk.candidate_packages(spark, 40, ids)
+    features = ["NDVI", "Albedo", "Impervious_Frac", "Anthropogenic_Heat"]
+    pixels = local_table(spark, [(i, *[((i * 7 + k) % 11) / 10 for k in range(4)]) for i in range(30)], "PixelID BIGINT, " + ", ".join(f"{f} DOUBLE" for f in features))
+    want = {}
+    for p in packages.collect():
+        for r in apply_package(pixels, [(i["id"], i["coverage"]) for i in p["items"]]).collect():
+            want[p["package_id"], r["PixelID"]] = [r[f] for f in features]
+    for options in ({}, {"block": 7}, {"block": 7, "most_bytes": 0}):
+        pairs = sc.pair_with_packages(pixels, packages, effects_table(spark), features, **options)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LocalRelation") + plan.count("LogicalRDD") <= 2 and "Union" not in plan
+        got = {(r["package_id"], r["PixelID"]): [r[f] for f in features] for r in pairs.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_candidates_are_sparse_and_repeatable(spark):
     from heatgrid.catalog import catalogue
 
