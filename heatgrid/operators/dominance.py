@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatgrid.operators.support import checkpointed
 
+OBJECTIVES = ["obj_reduction", "obj_cost", "obj_feasibility", "obj_cobenefits"]
 BLOCK = 2048
 CUTS = 1024  # quantiles that cuts are taken from
 MOST_CELLS = 1 << 20
@@ -192,7 +193,7 @@ def _cell_fronts(df: DataFrame, objectives: list[str], block: int) -> tuple[Grid
     return grid, np.flatnonzero(flags), checkpointed(fronts)
 
 
-def pareto_front(df: DataFrame, objectives: Sequence[str], *, block: int = BLOCK) -> DataFrame:
+def pareto_front(df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, block: int = BLOCK) -> DataFrame:
     """Rows that no other row dominates; equal rows all stay, and so do rows in which an objective is null or NaN.
 
     Cells with a filled cell below them in every objective are dropped before rows meet; the others keep their own fronts, whose rows go to
@@ -208,7 +209,7 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], *, block: int = BLOCK
     return whole.unionByName(df.where(~complete(objectives)))
 
 
-def front_comparisons(df: DataFrame, objectives: Sequence[str], *, block: int = BLOCK) -> int:
+def front_comparisons(df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, block: int = BLOCK) -> int:
     """How many pairs of rows of different cells `pareto_front` compares at most."""
     grid, cells, fronts = _cell_fronts(df, list(objectives), block)
     counts = np.zeros(grid.counts.size, np.int64)
@@ -250,7 +251,7 @@ def _ranked(objectives: list[str], floors: np.ndarray):
     return run
 
 
-def nondominated_rank(df: DataFrame, objectives: Sequence[str], *, out: str = "front", block: int = BLOCK) -> DataFrame:
+def nondominated_rank(df: DataFrame, objectives: Sequence[str] = tuple(OBJECTIVES), *, out: str = "front", block: int = BLOCK) -> DataFrame:
     """Front number from 0 for every row: the length of the longest chain of rows that dominate it; 0 in rows in which an objective is null or NaN.
 
     Cells with the same sum of slab numbers never dominate each other, so all cells of a sum are ranked at once, after those of smaller

@@ -158,30 +158,56 @@ def fold_steps(x: Column, steps: Column, bounds: tuple = (None, None)) -> Column
     return F.when(x.isNotNull(), F.aggregate(steps, x.cast("double"), change))
 
 
+def merged_steps(steps: Column, bounds: tuple = (None, None)) -> Column:
+    """Ordered affine steps, clamped after each, as one: x -> clamp(x * scale + shift, low, high). A clamped affine step keeps that
+    form, with the bounds before it mapped by the step. Not for steps that only raise."""
+    low, high = [F.lit(float(b)) if b is not None else F.lit(sign * float("inf")) for b, sign in zip(bounds, (-1, 1))]
+
+    def inside(c: Column) -> Column:
+        return F.greatest(F.least(c, high), low)
+
+    def change(m: Column, s: Column) -> Column:
+        ends = [F.when(s["scale"] == 0, s["shift"]).otherwise(m[e] * s["scale"] + s["shift"]) for e in ("low", "high")]
+        return F.struct((m["scale"] * s["scale"]).alias("scale"), (m["shift"] * s["scale"] + s["shift"]).alias("shift"),
+                        inside(F.least(*ends)).alias("low"), inside(F.greatest(*ends)).alias("high"))
+
+    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    return F.aggregate(steps, start, change)
+
+
 def slot_packages(packages: DataFrame, effects: DataFrame, features: Sequence[str], *, package_id: str = "package_id",
                   items: str = "items") -> tuple[DataFrame, dict[str, int]]:
-    """Packages with their steps as plain columns, and how many steps any of them has on each feature.
+    """Packages as plain columns, as arrays of steps would be folded by interpreted lambdas for every pixel; and per feature the
+    number of slots, 0 where its steps are merged.
 
-    Columns are `_n_<feature>` and, for each slot, `_scale`, `_shift` and `_raise`. Arrays of steps would be folded by interpreted
-    lambdas; plain columns are generated code. A slot beyond a package's own steps changes nothing. Writes the (small) compiled table.
+    Merged features have `_scale`, `_shift`, `_low` and `_high`. A feature with steps that only raise keeps them: `_n` and for each
+    slot `_scale`, `_shift` and `_raise`; a slot beyond a package's own steps changes nothing. Writes the (small) compiled table.
     """
     compiled = checkpointed(compile_packages(packages, effects, features, package_id=package_id, items=items))
-    most = compiled.agg(*[F.max(F.size(f"steps_{f}")).alias(f) for f in features]).first()
-    slots = {f: most[f] or 0 for f in features}
-    columns = [F.size(f"steps_{f}").alias(f"_n_{f}") for f in features]
+    raising = [F.max(F.when(F.exists(f"steps_{f}", lambda s: s["raise_only"]), F.lit(True))).alias(f"r_{f}") for f in features]
+    most = compiled.agg(*[F.max(F.size(f"steps_{f}")).alias(f) for f in features], *raising).first()
+    slots = {f: (most[f] or 0) if most[f"r_{f}"] else 0 for f in features}
+    merged = compiled.select("*", *[merged_steps(F.col(f"steps_{f}"), S.EFFECT_BOUNDS.get(f, (None, None))).alias(f"_m_{f}") for f in features if not slots[f]])
+    columns = []
     for f in features:
+        if not slots[f]:
+            columns += [F.col(f"_m_{f}")[c].alias(f"_{c}_{f}") for c in ("scale", "shift", "low", "high")]
+            continue
+        columns.append(F.size(f"steps_{f}").alias(f"_n_{f}"))
         for j in range(slots[f]):
             step = F.get(f"steps_{f}", F.lit(j))
             columns += [F.coalesce(step["scale"], F.lit(1.0)).alias(f"_scale_{f}_{j}"), F.coalesce(step["shift"], F.lit(0.0)).alias(f"_shift_{f}_{j}"),
                         F.coalesce(step["raise_only"], F.lit(False)).alias(f"_raise_{f}_{j}")]
-    return compiled.select(package_id, *columns), slots
+    return checkpointed(merged.select(package_id, *columns)), slots
 
 
 def apply_slots(pairs: DataFrame, features: Sequence[str], slots: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
-    """(keep..., features) with the steps of `slot_packages` applied, clamped after each; features must not be NULL.
+    """(keep..., features) with the steps of `slot_packages` applied; features must not be NULL.
 
-    One projection per slot, since a step may mention its input twice."""
-    pairs = replace_columns(pairs, {f: F.col(f).cast("double") for f in features})
+    Slots take one projection each, since a step may mention its input twice."""
+    number = {f: F.col(f).cast("double") for f in features}
+    one = {f: F.greatest(F.least(number[f] * F.col(f"_scale_{f}") + F.col(f"_shift_{f}"), F.col(f"_high_{f}")), F.col(f"_low_{f}")) for f in features if not slots[f]}
+    pairs = replace_columns(pairs, number | one)
     for j in range(max(slots.values(), default=0)):
         moved = {}
         for f in features:

@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from heatgrid.functions.numeric import round_even
 from heatgrid.catalog import effects_table, interventions_table
 from heatgrid.functions.numeric import hash_uniform
-from heatgrid.operators.dominance import nondominated_rank, pareto_front  # noqa: F401  (part of this module's interface)
+from heatgrid.operators.dominance import OBJECTIVES, nondominated_rank, pareto_front  # noqa: F401  (part of this module's interface)
 from heatgrid.operators.interventions import expand_package
 from heatgrid.operators.scenarios import Predict, complete_pixels, pair_with_packages
 from heatgrid.operators.support import checkpointed, number_rows
 
-OBJECTIVES = ["obj_reduction", "obj_cost", "obj_feasibility", "obj_cobenefits"]
-
 
 def candidate_packages(
     spark: SparkSession, n: int, ids: Sequence[str], *, seed: int = 42, max_active: int = 6,

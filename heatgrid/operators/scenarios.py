@@ -47,7 +47,7 @@ def pair_with_packages(
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     steps = steps.withColumn("_block", F.pmod(F.xxhash64(package_id), F.lit(blocks)).cast("int"))
     pixels = pixels.repartition(tasks)
-    if total * (24 * sum(slots.values()) + 16 * len(features) + 64) <= most_bytes:
+    if total * (24 * sum(slots.values()) + 40 * len(features) + 64) <= most_bytes:
         pairs = pixels.withColumn("_block", numbers(blocks)).join(F.broadcast(steps), "_block")
     else:
         salted = pixels.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(tasks)).cast("int"))
