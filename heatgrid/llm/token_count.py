@@ -4,12 +4,15 @@ Byte-pair encoding of a growing text is decided by its last token: among the voc
 exactly one may follow the encoding of what stands before it, and whether it may depends only on the token before it
 and itself. So the encoder is a deterministic transducer. A state holds, for every start at which a piece may still
 be open, the place in the piece trie, the token before that start and the tokens emitted since; a transition on a
-character says by how much the token count changes. Transitions are compiled when a text first needs them and kept
-in dense tables.
+character says by how much the token count changes. Transitions are compiled when a text first needs them and kept in one hash table of
+(state, character class); characters without a piece share one class for each length in bytes. Table and states together stay
+within `TABLE_BYTES`: beyond it only the states that a running text is in are kept, in the middle of a text as well.
 
 A text is cut into chunks that run side by side. No piece goes on past a space into a new word, so a chunk's state map
 is constant behind its first new word: (tokens and exit state from there on) plus the head before it, which depends
-on the state that enters. Composing the maps from left to right gives each head its entry state (a prefix scan).
+on the state that enters. The scan composes the maps for all chunks at once: every head runs from the exit state of the chunk before it
+as known so far, and again where that state has changed, until none does. Runs from different states soon meet in one, so this takes a few rounds
+even where a text has no blanks, and never more than there are chunks.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; characters without a piece count one token per UTF-8
 byte; repeated rows are counted each on their own; an empty table gives no rows. Only the id and text columns are
@@ -27,7 +30,9 @@ from heatgrid.llm.common import SLICE_BYTES, map_texts, slices, text_bytes
 
 SPACE = 0x2581  # stands for a blank in pieces
 CHUNK = 512
-MAX_STATES = 300_000
+TABLE_BYTES = 96 << 20
+STATE_BYTES = 600  # of a state and its number, about
+CLASS_BITS = 21
 _UNKNOWN = -2  # "the token before" is bytes of a character without a piece
 _START = -1  # nothing before matters: a word begins here
 
@@ -63,6 +68,9 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.class_of = np.full(0x110000, -1, np.int32)
         self.chars: list[str] = []
+        self.known = {c for children in self.children for c in children}
+        self.plain: dict[int, int] = {}  # bytes of a character without a piece -> class
+        self.held: list[np.ndarray] = []  # arrays of state numbers in use
         self.reset_tables()
 
     def _encode(self, text: str) -> list[int]:
@@ -86,33 +94,89 @@ class Transducer:
     def reset_tables(self) -> None:
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.width = max(128, 1 << max(len(self.chars) - 1, 0).bit_length())
-        self.next = np.full((1024, self.width), -1, np.int32)
-        self.change = np.zeros((1024, self.width), np.int8)
+        self.bits, self.filled = 14, 0
+        self._empty_table()
         blank = self.children[0].get(chr(SPACE))
         opened = [(blank, _START, -1)] if blank is not None else []
         self.word_start = self._number(tuple([*opened, (0, self.piece[blank] if blank is not None else _UNKNOWN, 0)]))
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
 
+    def _empty_table(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.next = np.zeros(1 << self.bits, np.int32)
+        self.change = np.zeros(1 << self.bits, np.int8)
+
+    def bytes(self) -> int:
+        return len(self.states) * STATE_BYTES + 13 * len(self.keys)
+
+    def compact(self) -> None:
+        """Forgets all states but those in use, which get new numbers."""
+        used = np.unique(np.concatenate([[-1], *self.held]))[1:]  # -1 stands for no state
+        kept = [self.states[n] for n in used.tolist()]
+        self.reset_tables()
+        numbers = np.array([-1, *[self._number(s) for s in kept]], np.int64)
+        for array in self.held:
+            array[:] = numbers[np.searchsorted(used, array, side="right")]
+
     def _number(self, state: tuple) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            if n >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.change = np.concatenate([self.change, np.zeros_like(self.change)])
         return n
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, key: int, to: int, change: int) -> None:
+        if self.filled * 3 >= len(self.keys):
+            old = self.keys >= 0
+            keys, to_, change_ = self.keys[old], self.next[old], self.change[old]
+            self.bits += 1
+            self._empty_table()
+            slot, left = self._slots(keys), np.arange(len(keys))
+            while len(left):
+                _, first = np.unique(slot[left], return_index=True)
+                takes = np.zeros(len(left), bool)
+                takes[first] = True
+                takes &= self.keys[slot[left]] < 0
+                own = left[takes]
+                self.keys[slot[own]], self.next[slot[own]], self.change[slot[own]] = keys[own], to_[own], change_[own]
+                left = left[~takes]
+                slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        slot = ((key * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[slot] >= 0:
+            slot = (slot + 1) & (len(self.keys) - 1)
+        self.keys[slot], self.next[slot], self.change[slot] = key, to, change
+        self.filled += 1
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of keys, and which keys are not in the table."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        left = np.flatnonzero(there != keys)
+        missing = []
+        while len(left):
+            gone = self.keys[slot[left]] < 0
+            missing.append(left[gone])
+            left = left[~gone]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            left = left[self.keys[slot[left]] != keys[left]]
+        return slot, np.concatenate(missing) if missing else left
+
     def classes(self, codes: np.ndarray) -> np.ndarray:
         found = self.class_of[codes]
         if (found < 0).any():
             for code in np.unique(codes[found < 0]).tolist():
-                self.class_of[code] = len(self.chars)
-                self.chars.append(chr(code))
-            if len(self.chars) > self.width:
-                self.reset_tables()
+                c = chr(code)
+                own = self.plain.get(len(c.encode())) if c not in self.known else None
+                if own is None:
+                    own = len(self.chars)
+                    self.chars.append(c)
+                    if c not in self.known:
+                        self.plain[len(c.encode())] = own
+                self.class_of[code] = own
             found = self.class_of[codes]
         return found
 
@@ -132,12 +196,8 @@ class Transducer:
         if token is None:
             alive, token, change = [], _UNKNOWN, len(c.encode())
         after = tuple([*((n, b, s - change) for n, b, s in alive if self.children[n]), (0, token, 0)])
-        if ord(c) == SPACE and len(alive) == 1 and alive[0][1] == _START:
-            self.next[number, kind] = self.word_start
-        else:
-            to = self._number(after)
-            self.next[number, kind] = to
-        self.change[number, kind] = change
+        fresh = ord(c) == SPACE and len(alive) == 1 and alive[0][1] == _START
+        self._put(number << CLASS_BITS | kind, self.word_start if fresh else self._number(after), change)
 
     def run(self, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lanes side by side: lane i reads `lengths[i]` classes from `starts[i]` on. Tokens and exit states."""
@@ -145,24 +205,30 @@ class Transducer:
         at, state = starts[order], states[order].astype(np.int64)
         sizes = lengths[order]
         count = np.zeros(len(order), np.int64)
+        self.held.append(state)
         active = len(order) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(sizes) else 0), side="right")
         for step, n in enumerate(active.tolist()):
             kind = classes[at[:n] + step]
-            cell = state[:n] * self.width + kind
-            to = self.next.ravel().take(cell)
-            if to.min() < 0:
-                for missing in np.unique(cell[to < 0]).tolist():
-                    self._compile(*divmod(missing, self.width))
-                to = self.next.ravel().take(cell)
-            count[:n] += self.change.ravel().take(cell)
-            state[:n] = to
+            key = state[:n] << CLASS_BITS | kind
+            slot, missing = self._find(key)
+            while len(missing):
+                if self.bytes() > TABLE_BYTES and len(self.states) > 4 * sum(map(len, self.held)):
+                    self.compact()
+                    key = state[:n] << CLASS_BITS | kind
+                    slot, missing = self._find(key)
+                for absent in np.unique(key[missing]).tolist():
+                    self._compile(absent >> CLASS_BITS, absent & (1 << CLASS_BITS) - 1)
+                slot, missing = self._find(key)
+            count[:n] += self.change[slot]
+            state[:n] = self.next[slot]
+        self.held.pop()
         tokens, out = np.empty_like(count), np.empty_like(state)
         tokens[order], out[order] = count, state
         return tokens, out
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.states) > MAX_STATES:
+        if self.bytes() > TABLE_BYTES:
             self.reset_tables()
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         length = np.array([len(t) for t in texts], np.int64)
@@ -187,18 +253,23 @@ class Transducer:
         head_end = np.where(number == 0, start, np.minimum(word, end))
         tail = np.where(number == 0, start, np.minimum(head_end + 1, end))
         first = np.full(len(doc), self.word_start)
-        count, exits = self.run(classes, tail, end - tail, first)
-        count += ~whole_head  # the blank at the start of the tail
-        known = ~whole_head
-        waiting = (number > 0) & (head_end > start)
-        while waiting.any():  # the scan: a head runs when the map before it is known
-            ready = np.flatnonzero(waiting & known[np.maximum(np.arange(len(doc)) - 1, 0)])
-            tokens, after = self.run(classes, start[ready], (head_end - start)[ready], exits[ready - 1])
-            count[ready] += tokens
-            full = whole_head[ready]
-            exits[ready[full]] = after[full]
-            known[ready] = True
-            waiting[ready] = False
+        behind, exits = self.run(classes, tail, end - tail, first)  # a chunk that is head alone has no tail yet
+        behind += ~whole_head  # the blank at the start of the tail
+        self.held.append(exits)
+        headed = np.flatnonzero((number > 0) & (head_end > start))
+        alone = np.flatnonzero(whole_head)
+        _, exits[alone] = self.run(classes, start[alone], (head_end - start)[alone], np.full(len(alone), self.word_start))  # a first guess
+        ahead = np.zeros(len(doc), np.int64)
+        entered = np.full(len(doc), -1)
+        self.held.append(entered)
+        while len(todo := headed[exits[headed - 1] != entered[headed]]):
+            entered[todo] = exits[todo - 1]
+            tokens, after = self.run(classes, start[todo], (head_end - start)[todo], entered[todo])
+            ahead[todo] = tokens
+            full = whole_head[todo]
+            exits[todo[full]] = after[full]
+        del self.held[-2:]
+        count = behind + ahead
         np.add.at(total, doc, count)
         return total
 

@@ -29,7 +29,7 @@ def test_transducer_counts_like_the_library(odd_texts, monkeypatch):
     machine, library = token_count.Transducer(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [t or "" for _, t in odd_texts] + _mixed(500, 1) + ["a" * 300, " " * 300, "x" + " " * 90 + "y"]
     assert machine.count(texts).tolist() == [len(x) for x in library.encode(texts)]
-    monkeypatch.setattr(token_count, "MAX_STATES", 1)  # tables start anew
+    monkeypatch.setattr(token_count, "TABLE_BYTES", 1)  # tables start anew
     assert machine.count(texts[:30]).tolist() == [len(x) for x in library.encode(texts[:30])]
 
 
@@ -136,3 +136,31 @@ def test_token_files_of_nothing(spark, empty):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     token_output.write_token_ids(empty, public_tokenizers.path("byte_bpe_50k.json"), folder)
     assert token_output.read_token_ids(spark, folder).count() == 0
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def test_many_scripts_keep_the_tables_small(pieces):
+    """Twenty thousand different characters, then Latin texts, then a text without blanks: tables stay within their budget."""
+    rng = random.Random(3)
+    texts = ["".join(map(chr, rng.sample(range(0x4E00, 0x9FFF), 20_000))), "".join(map(chr, range(0x3040, 0x30FF))) * 20, "😀é中\n" * 500]
+    texts += [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(300)) for _ in range(60)]
+    texts += ["".join(rng.choices("abcdefgh", k=60_000)), "x" * 5000, " " * 700, "a " * 3000, ""]
+    machine = token_count.Transducer(PIECES)
+    for i in range(0, len(texts), 8):
+        assert machine.count(texts[i: i + 8]).tolist() == [len(pieces.encode(t, num_threads=1)) for t in texts[i: i + 8]]
+        assert machine.bytes() < 1.2 * token_count.TABLE_BYTES
+
+
+def test_tables_are_emptied_inside_a_text(pieces, monkeypatch):
+    monkeypatch.setattr(token_count, "TABLE_BYTES", 1 << 20)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijkl é", [9] * 12 + [1, 1], k=9000)) for _ in range(12)] + ["".join(rng.choices("etaoin", k=30_000))]
+    machine, seen = token_count.Transducer(PIECES), []
+    plain = machine.compact
+    monkeypatch.setattr(machine, "compact", lambda: (seen.append(1), plain()))
+    assert machine.count(texts).tolist() == [len(pieces.encode(t, num_threads=1)) for t in texts]
+    assert seen and not machine.held
