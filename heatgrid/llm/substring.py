@@ -2,17 +2,20 @@
 
 Every run of `length` consecutive words (a window) that also starts anywhere else is a repeat; the words under repeats
 are removed. A window is the prefix of the suffix that starts with it, and two suffixes share it exactly if they
-meet in a tree node of at least that depth. The suffixes are split into groups that fit into memory, by a gram of GRAM
+meet in an internal node of a suffix tree at that depth or deeper. The suffixes are split into groups that fit into memory, by a gram of GRAM
 words inside their first `length` words: the one with the smallest hash, so equal windows fall into the same group.
 
 1. Each text yields its suffixes as runs of starts with the same gram. Groups with one run cannot hold a repeat and are
    dropped: rows of a batch are compared there, the remaining ones meet sorted by gram, read as a stream.
 2. The texts with runs left cut them out (the words of all their windows), and send them to their groups.
-3. A group builds the levels of its suffix tree by doubling: the nodes at depth 2d are pairs of nodes at depth d. Nodes of
-   depth `length` with at least two leaves are the repeats. Groups with very many runs are split; windows found once in a part meet again
+3. A group builds its subtree: the suffixes in order with the common prefix of each and the next one. Internal nodes at depth `length`
+   or more (intervals of neighbours with a common prefix that long) hold the repeats, their leaves are the repeated starts. Words are told
+   apart by their bytes. Groups with very many runs are split; windows found once in a part, which is the longest prefix that matters, meet again
    by their hash, with one marker for each window the part has already found to repeat.
 4. Ranges of repeated starts go back to their texts.
 
+`maximal_repeats` reports the deep internal nodes themselves: the words, and every place where they stand.
+
 Texts are told apart by 128 bits of hash and each different text is searched once; a text that occurs in several rows
 is repeated from end to end.
 
@@ -24,6 +27,7 @@ are kept by `drop_repeats` and cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -168,45 +172,92 @@ def _cut_runs(length: int, hot):
     return run
 
 
-def tree_level(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, node): the tree node of depth `length` above each suffix, where a document has that many words left.
-
-    Nodes are numbered level by level: the node at depth d + e of the suffix at i is the pair of the nodes at depth d at i and at
-    depth e at i + d; equal pairs are one node."""
-    doc = words.docs()
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, node = np.unique(words.hash, return_inverse=True)
-    depth = 1
-    while depth * 2 <= length:
-        _, node = np.unique(node[:-depth] * np.int64(len(words) + 1) + node[depth:], return_inverse=True)
-        depth *= 2
-    starts = np.flatnonzero(doc[:n] == doc[length - 1:])
-    if depth < length:
-        _, last = np.unique(node[starts] * np.int64(len(words) + 1) + node[starts + length - depth], return_inverse=True)
-    else:
-        last = node[starts]
-    return starts, last
-
-
-def _search_trees(length: int):
-    """Repeated starts of each group, from rows sorted by group: `gram` null and a range of starts; for split groups also the
+def word_numbers(words: Words, data: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal bytes: words of one hash are compared with the first of them, byte by byte."""
+    _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    size, twin = words.ends - words.starts, first[number]
+    same = bool((size == size[twin]).all())
+    if same:
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((data[np.repeat(words.starts, size) + step] == data[np.repeat(words.starts[twin], size) + step]).all())
+    if same:
+        return number
+    raw, known = data.tobytes(), {}
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(words.starts.tolist(), words.ends.tolist())], np.int64)
+
+
+@dataclass
+class SuffixForest:
+    """The suffixes (of at least `length` words) of some rows in order, as word numbers, each with the common prefix of it and the next one."""
+
+    starts: np.ndarray
+    common: np.ndarray  # in words, one fewer than starts
+
+    @classmethod
+    def build(cls, numbers: np.ndarray, first: np.ndarray, length: int) -> SuffixForest:
+        """Ranks of the words from every place double in depth until they differ everywhere or the rows end. Behind each row
+        stands a word of its own, so no prefix goes on into the next row."""
+        rows = np.diff(first)
+        row = np.repeat(np.arange(len(rows)), rows)
+        own = int(numbers.max(initial=0)) + 1
+        sequence = np.insert(numbers, first[1:], own + np.arange(len(rows)))
+        levels, depth = [np.unique(sequence, return_inverse=True)[1]], 1
+        while depth < rows.max(initial=0):
+            rank = levels[-1]
+            after = np.concatenate([rank[depth:] + 1, np.zeros(min(depth, len(rank)), rank.dtype)])
+            levels.append(np.unique(rank * np.int64(len(sequence) + 1) + after, return_inverse=True)[1])
+            depth *= 2
+        left = first[row + 1] - np.arange(len(numbers)) if len(numbers) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(left >= length)
+        at = starts + row[starts]  # one separator for each row before
+        order = np.argsort(levels[-1][at], kind="stable")
+        at = at[order]
+        common = np.zeros(max(len(at) - 1, 0), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            a, b = at[:-1] + common, at[1:] + common
+            common += np.where(levels[k][a] == levels[k][b], 1 << k, 0)
+        return cls(starts[order], common)
+
+    def repeated(self, length: int) -> np.ndarray:
+        """The leaves below internal nodes of at least that depth."""
+        deep = self.common >= length
+        below = np.append(deep, False)
+        below[1:] |= deep
+        return self.starts[below[: len(self.starts)]]
+
+    def nodes(self, length: int) -> Iterator[tuple[int, int, int]]:
+        """(depth, from, to) of the internal nodes of at least that depth: their leaves are starts[from:to]. The open ones stand on a
+        stack, deeper ones above; a shorter common prefix closes those that are deeper."""
+        stack: list[list[int]] = []
+        for i, depth in enumerate(np.append(self.common, 0).tolist()):
+            begin = i
+            while stack and stack[-1][0] > depth:
+                deeper, begin = stack.pop()
+                yield deeper, begin, i + 1
+            if depth >= length and not (stack and stack[-1][0] == depth):
+                stack.append([depth, begin])
+
+
+def _search_trees(length: int, report: bool = False):
+    """With `report` the maximal repeats, else repeated starts of each group, from rows sorted by group: `gram` null and a range of starts; for split groups also the
     windows that stay open, by hash."""
 
     def work(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(tables).combine_chunks()
         data, offsets = text_bytes(_as_text(table.column("words")))
         words = Words(data, offsets, SPACE_WORDS, SAME)
-        starts, node = tree_level(words, length)
+        forest = SuffixForest.build(word_numbers(words, data), words.first, length)
+        starts = np.sort(forest.starts)
         if not len(starts):
             return
         row = words.docs()[starts]
         place = starts - words.first[row] + table.column("low").to_numpy()[row]
         k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
+        if report:
+            yield from _maximal(forest, words, data, length, k1, k2, table.column("low").to_numpy())
+            return
         # the same suffix twice in one batch is one leaf: runs of a text never overlap, so rows differ in text or place
-        count = np.bincount(node)
-        again = count[node] > 1
+        again = np.isin(starts, forest.repeated(length))
         r, p = row[again], place[again]
         if len(r):
             opens = np.append(True, (np.diff(r) != 0) | (np.diff(p) != 1))
@@ -250,6 +301,34 @@ def _search_trees(length: int):
     return run
 
 
+_REPEATS = "words string, n_words int, k1 bigint, k2 bigint, low int"
+
+
+def _maximal(forest: SuffixForest, words: Words, data: np.ndarray, length: int, k1: np.ndarray, k2: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The leaves of deep internal nodes whose leaves do not all follow the same word of their row."""
+    numbers = word_numbers(words, data)
+    row = words.docs()[forest.starts]
+    before = np.where(forest.starts > words.first[row], numbers[np.maximum(forest.starts, 1) - 1], -1)
+    turns = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])  # a row's first start always counts
+    raw = data.tobytes()
+    out: list[tuple] = []
+    for depth, a, b in forest.nodes(length):
+        if turns[b - 1] == turns[a]:
+            continue
+        leaves = forest.starts[a:b]
+        text = b" ".join(raw[words.starts[i]: words.ends[i]] for i in range(leaves[0], leaves[0] + depth)).decode()
+        mine = row[a:b]
+        out += zip([text] * (b - a), [depth] * (b - a), k1[mine].tolist(), k2[mine].tolist(), (leaves - words.first[mine] + low[mine]).tolist())
+        if len(out) > 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _REPEAT_TYPES)], ["words", "n_words", "k1", "k2", "low"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _REPEAT_TYPES)], ["words", "n_words", "k1", "k2", "low"])
+
+
+_REPEAT_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+
+
 def _as_text(column: pa.ChunkedArray) -> pa.Array:
     """Binary words as the string array they were cut from (at word bounds, so they are whole UTF-8)."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -277,8 +356,8 @@ def different_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(k1, k2, text, copies, spans): each different text with its repeated starts, as an array of (low, high), both included."""
+def _groups(docs: DataFrame, text: str, length: int, group_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Each different text once; the runs of its groups, sorted by group; and whether groups are split."""
     spark = docs.sparkSession
     k1, k2 = text_key(F.col(text))
     rows = docs.where(F.length(text) >= 2 * length - 1).select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
@@ -295,14 +374,29 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, grou
     groups = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(
         _cut_runs(length, hot), "gram bigint, salt int, hot boolean, k1 bigint, k2 bigint, low int, words binary"
     )
-    found = groups.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt").mapInArrow(_search_trees(length), _RUNS)
-    if hot.value:
+    return texts, groups.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt"), bool(hot.value)
+
+
+def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(k1, k2, text, copies, spans): each different text with its repeated starts, as an array of (low, high), both included."""
+    texts, groups, split = _groups(docs, text, length, group_rows)
+    found = groups.mapInArrow(_search_trees(length), _RUNS)
+    if split:
         found = written(found)
         found = found.where(F.col("gram").isNull()).unionByName(_streamed(found.where(F.col("gram").isNotNull())))
     spans = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
     return texts.join(spans, ["k1", "k2"], "left")
 
 
+def maximal_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(words, n_words, k1, k2, low): the deep internal nodes of all subtrees, one row for each place where their words stand in a different text.
+
+    A node's words cannot be longer for all its places, inside the passage of its group: passages that go on past it come as several nodes that
+    overlap, which together cover every repeated window. In a split group each part reports its own."""
+    _, groups, _ = _groups(docs, text, length, group_rows)
+    return groups.mapInArrow(_search_trees(length, True), _REPEATS).distinct()
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(k1, k2, n_words, n_removed, kept): each different text without its repeated words; kept words are joined by
     single blanks."""

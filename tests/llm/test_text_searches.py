@@ -3,11 +3,13 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from heatgrid.llm import decontam, license_scan, substring
+from heatgrid.llm.common import text_key
 
 BASE = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
 
@@ -110,6 +112,48 @@ def test_repeated_passages(spark, odd_texts, length, group_rows):
     assert _removed(df, length, group_rows=group_rows) == sorted(brute.repeats(docs, length), key=repr)
 
 
+def test_suffixes_come_in_order_with_their_common_prefixes():
+    rng = random.Random(2)
+    for length in (1, 2, 4):
+        rows_ = [[rng.randint(0, 2) for _ in range(rng.randint(0, 12))] for _ in range(6)]
+        first = np.cumsum([0] + [len(r) for r in rows_])
+        forest = substring.SuffixForest.build(np.array(sum(rows_, []), np.int64), first, length)
+        flat = {int(first[k]) + i: r[i:] for k, r in enumerate(rows_) for i in range(len(r) - length + 1)}
+        assert sorted(forest.starts.tolist()) == sorted(flat)
+        shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert forest.common.tolist() == [shared(flat[a], flat[b]) for a, b in zip(forest.starts.tolist(), forest.starts[1:].tolist())]
+        want = {}  # the words of every internal node, with the places below it
+        for a in flat:
+            for b in flat:
+                d = shared(flat[a], flat[b])
+                if a != b and d >= length:
+                    want[tuple(flat[a][:d])] = {c for c in flat if flat[c][:d] == flat[a][:d]}
+        got = {tuple(flat[int(forest.starts[x])][:d]): set(forest.starts[x:y].tolist()) for d, x, y in forest.nodes(length)}
+        assert got == want
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([f"x{i}"] * (i % 3) + passage[i % 5:] + [f"y{i}", "the", "end"] * (i % 2)) for i in range(8)]
+    texts += [" ".join(rng.choice("ab") for _ in range(60)) for _ in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    length = 7
+    found = substring.maximal_repeats(df, length=length)
+    keys = {(r["k1"], r["k2"]): r["doc_id"] for r in df.select("doc_id", *[k.alias(n) for k, n in zip(text_key(F.col("text")), ("k1", "k2"))]).collect()}
+    split, at = [t.split() for t in texts], {}
+    for r in found.collect():
+        at.setdefault(tuple(r["words"].split()), set()).add((keys[r["k1"], r["k2"]], r["low"]))
+    windows = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - length + 1):
+            windows.setdefault(tuple(w[i: i + length]), []).append((d, i))
+    for words, places in at.items():
+        assert len(words) >= length and len(places) > 1 and all(split[d][i: i + len(words)] == list(words) for d, i in places)
+    covered = {(d, i) for words, places in at.items() for d, low in places for i in range(low, low + len(words) - length + 1)}
+    assert covered == {p for places in windows.values() if len(places) > 1 for p in places}
+
+
 def test_drop_repeats_keeps_columns_and_clean_texts(odd, odd_texts, empty):
     out = substring.drop_repeats(odd.where("doc_id < 6 or doc_id in (9, 12)"))
     assert out.columns == odd.columns
