@@ -118,6 +118,28 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def word_numbers(words: Words, data: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal bytes of (folded) data: words of one hash are compared with the first of them."""
+    _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    if equal_words(words, data, np.arange(len(words)), words, data, first[number]).all():
+        return number
+    raw, known = data.tobytes(), {}
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(words.starts.tolist(), words.ends.tolist())], np.int64)
+
+
+def equal_words(a: Words, data_a: np.ndarray, i: np.ndarray, b: Words, data_b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the words i of a and j of b have the same bytes in (folded) data."""
+    size = a.ends[i] - a.starts[i]
+    out = size == b.ends[j] - b.starts[j]
+    i, j, size = i[out], j[out], size[out]
+    if len(i):
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        same = data_a[np.repeat(a.starts[i], size) + step] == data_b[np.repeat(b.starts[j], size) + step]
+        out[out] = np.logical_and.reduceat(same, first)
+    return out
+
+
 def gram_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     """Order-dependent hash of each run of k values (runs may cross documents; the caller masks those)."""
     n = len(hashes) - k + 1

@@ -8,8 +8,9 @@ runs over many stretches of text side by side, each in its own lane.
 Windows of an item: every run of `window` consecutive words; a shorter item is one window; an item without words has
 none. Each window length is a search of its own, as the jump is bounded by the shortest window of a search.
 
-The windows are held by every task, in groups of bounded size. If the benchmark has more groups than one pass may hold,
-the documents are read once per pass and the passes' hits are merged, so no item is ever left out.
+The windows are held by every task, in groups of bounded size: the words of a group's items, and numbers of places in them. If the benchmark is
+larger than one group, the documents are read once per group, each pass is written before the next group is compiled, and the passes' hits are
+merged, so no item is ever left out and the driver holds one group at a time.
 
 Defined results: null and empty texts have no words and no hits; items with null text have no windows; repeated item
 rows count once in n_items; repeated document rows are judged each on their own; an empty benchmark contaminates
@@ -25,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from heatgrid.llm.common import LETTER_WORDS, LOWER, Words, mix64, slices, text_bytes, written
+from heatgrid.llm.common import LETTER_WORDS, LOWER, SAME, Words, equal_words, mix64, slices, text_bytes, word_numbers, written
 
 WINDOW = 10
 LANE = 256
-PASS_BYTES = 48 << 20  # of item texts in one pass
+PASS_BYTES = 4 << 20  # of item texts in one pass
 
 
 def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,41 +78,62 @@ class _Table:
         return found
 
 
+@dataclass
+class Items:
+    """The words of a group of items, and the ids that item numbers stand for."""
+
+    data: np.ndarray  # folded bytes
+    words: Words
+    ids: list
+
+
 @dataclass
 class WindowSearch:
-    """Windows of m words: their word hashes (rows), the item numbers of each, and the tables of the search."""
+    """The different windows of m words: where each stands in the items' words, the items it stands in, and the tables of the search."""
 
     m: int
-    rows: np.ndarray  # (windows, m) of word hashes
-    items: list[np.ndarray]  # items of each window
+    group: Items
+    at: np.ndarray  # first word of each window
+    item_starts: np.ndarray  # window w stands in the items item_numbers[item_starts[w]:item_starts[w + 1]]
+    item_numbers: np.ndarray
     shift: _Table | None  # block -> jump
     bucket: _Table  # suffix block (m > 1) or word -> bucket
     starts: np.ndarray  # bucket b holds the windows order[starts[b]:starts[b + 1]]
     order: np.ndarray
 
     @classmethod
-    def compile(cls, m: int, rows: np.ndarray, owner: np.ndarray) -> WindowSearch:
-        rows, inverse = np.unique(rows, axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        by = np.argsort(inverse, kind="stable")
-        items = [np.unique(x) for x in np.split(owner[by], np.cumsum(np.bincount(inverse, minlength=len(rows)))[:-1])]
+    def compile(cls, m: int, group: Items, numbers: np.ndarray, at: np.ndarray, owner: np.ndarray) -> WindowSearch:
+        """Windows that begin at the words `at` of the items `owner`; `numbers` tell words apart."""
+        heads = at[np.append(True, np.diff(at) != 1)]  # the first window of each item
+        window = numbers[at]
+        for j in range(1, m):
+            window = np.unique(window * np.int64(len(numbers) + 1) + numbers[at + j], return_inverse=True)[1]
+        _, first, window = np.unique(window, return_index=True, return_inverse=True)
+        pairs = np.unique(window * np.int64(len(group.ids)) + owner)
+        item_starts = np.searchsorted(pairs // len(group.ids), np.arange(len(first) + 1))
+        at, h = at[first], group.words.hash
         shift = None
         if m > 1:
-            blocks = np.concatenate([_block(rows[:, j - 1], rows[:, j]) for j in range(1, m)])
-            jump = np.repeat(m - 1 - np.arange(1, m), len(rows)).astype(np.int32)
+            # a block ends the window that begins m - 1 words before; near the start of an item it stands in its first window only
+            blocks = np.concatenate([_block(h[at + m - 2], h[at + m - 1]), *[_block(h[heads + j - 1], h[heads + j]) for j in range(1, m - 1)]])
+            jump = np.concatenate([np.zeros(len(at), np.int32), np.repeat(m - 1 - np.arange(1, m - 1), len(heads)).astype(np.int32)])
             order = np.lexsort((jump, blocks))
             keep = np.append(True, np.diff(blocks[order]) != 0)
             shift = _Table(blocks[order][keep], jump[order][keep], m - 1)
-            suffix = _block(rows[:, -2], rows[:, -1])
+            suffix = _block(h[at + m - 2], h[at + m - 1])
         else:
-            suffix = rows[:, 0]
+            suffix = h[at]
         keys, number = np.unique(suffix, return_inverse=True)
         order = np.argsort(number, kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(keys)))])
-        return cls(m, rows, items, shift, _Table(keys, np.arange(len(keys), dtype=np.int32), -1), starts, order)
+        return cls(m, group, at, item_starts, (pairs % len(group.ids)).astype(np.int32), shift, _Table(keys, np.arange(len(keys), dtype=np.int32), -1), starts, order)
+
+    def items(self, window: int) -> np.ndarray:
+        return self.item_numbers[self.item_starts[window]: self.item_starts[window + 1]]
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first word, window) of every occurrence in a row of word hashes."""
+    def find(self, words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first word, window) of every occurrence in a row of words of (folded) data."""
+        h = words.hash
         n, m = len(h), self.m
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -134,8 +156,12 @@ class WindowSearch:
         rank = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
         window = self.order[np.repeat(self.starts[bucket], each) + rank]
         place = np.repeat(ends, each) - (m - 1)
+        own = self.group.words
         for j in range(m):  # direct comparison
-            same = h[place + j] == self.rows[window, j]
+            same = h[place + j] == own.hash[self.at[window] + j]
+            place, window = place[same], window[same]
+        for j in range(m):
+            same = equal_words(words, data, place + j, own, self.group.data, self.at[window] + j)
             place, window = place[same], window[same]
         return place, window
 
@@ -144,16 +170,21 @@ def compile_windows(items: list[tuple[object, str]], window: int = WINDOW) -> tu
     """The searches of all window lengths, and the item ids that their item numbers stand for."""
     ids = list(dict.fromkeys(i for i, t in items if t))
     number = {i: k for k, i in enumerate(ids)}
-    groups: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for i, text in items:
-        raw = (text or "").encode()
-        if not raw:
-            continue
-        h = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), LETTER_WORDS, LOWER).hash
-        m = min(window, len(h))
-        for k in range(len(h) - m + 1) if m else ():
-            groups.setdefault(m, []).append((h[k: k + m], number[i]))
-    return [WindowSearch.compile(m, np.stack([r for r, _ in g]), np.array([o for _, o in g])) for m, g in sorted(groups.items())], ids
+    items = [(i, t) for i, t in items if t]
+    data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
+    data = LOWER[data]
+    group = Items(data, Words(data, offsets, LETTER_WORDS, SAME), ids)
+    numbers, first = word_numbers(group.words, data), group.words.first
+    size = np.diff(first)
+    length = np.minimum(size, window)
+    owner = np.array([number[i] for i, _ in items], np.int64)
+    out = []
+    for m in np.unique(length[length > 0]).tolist():
+        mine = np.flatnonzero(length == m)
+        each = size[mine] - m + 1
+        at = np.repeat(first[mine], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        out.append(WindowSearch.compile(m, group, numbers, at, np.repeat(owner[mine], each)))
+    return out, ids
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -163,19 +194,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     parts = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
     item_kind = parts.schema["i"].dataType
-    passes, held, size = [], [], 0
-    for row in parts.toLocalIterator():  # a bounded part of the benchmark at a time
-        held.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= pass_bytes:
-            passes.append(spark.sparkContext.broadcast(compile_windows(held, window)))
-            held, size = [], 0
-    if held or not passes:
-        passes.append(spark.sparkContext.broadcast(compile_windows(held, window)))
-    numbered = len(passes) > 1
-    key = [F.xxhash64(F.monotonically_increasing_id()).alias("key")] if numbered else [F.lit(0).cast("long").alias("key")]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), *key)
-    base = written(docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("key"))) if numbered else base
+    rows = parts.toLocalIterator()
+
+    def groups() -> Iterator:
+        """Compiled groups, each of a bounded part of the benchmark, and whether more follow."""
+        held, size, more = [], 0, True
+        while more:
+            row = next(rows, None)
+            more = row is not None
+            if more and size >= pass_bytes:
+                yield spark.sparkContext.broadcast(compile_windows(held, window)), True
+                held, size = [], 0
+            if more:
+                held.append((row[0], row[1]))
+                size += len(row[1].encode())
+        yield spark.sparkContext.broadcast(compile_windows(held, window)), False
+
+    key = F.lit(0).cast("long").alias("key")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), key)
     out = T.StructType([
         T.StructField("id", base.schema["id"].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("items", T.ArrayType(item_kind)), T.StructField("spans", T.ArrayType(T.StructType.fromDDL("`from` bigint, `to` bigint"))),
@@ -191,16 +227,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 data, offsets = text_bytes(batch.column(1))
                 n_words, items, spans = [], [], []
                 for a, b in slices(offsets):
-                    words = Words(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], LETTER_WORDS, LOWER)
+                    part = LOWER[data[offsets[a]: offsets[b]]]
+                    words = Words(part, offsets[a: b + 1] - offsets[a], LETTER_WORDS, SAME)
                     n_words += np.diff(words.first).tolist()
                     found: dict[int, set[int]] = {}
                     cover: dict[int, list[tuple[int, int]]] = {}
                     for search in searches:
-                        place, which = search.find(words.hash)
+                        place, which = search.find(words, part)
                         doc = np.searchsorted(words.first, place, side="right") - 1
                         inside = place + search.m <= words.first[doc + 1]
                         for p, w, d in zip(place[inside].tolist(), which[inside].tolist(), doc[inside].tolist()):
-                            found.setdefault(d, set()).update(search.items[w].tolist())
+                            found.setdefault(d, set()).update(search.items(w).tolist())
                             p -= int(words.first[d])
                             cover.setdefault(d, []).append((p, p + search.m))
                     for d in range(b - a):
@@ -217,10 +254,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     item_type = pa.list_(to_arrow_type(item_kind))
     found = None
-    for shared in passes:
-        one = base.select("id", "text", "key").mapInArrow(searching(shared), out)
+    for shared, more in groups():
+        if more and found is None:  # several passes: rows get a number that all passes share
+            base = written(base.withColumn("key", F.monotonically_increasing_id()))
+        one = base.mapInArrow(searching(shared), out)
+        if not more and found is None:
+            found = one
+            break
+        one = written(one)
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
-    if numbered:
+    if found is not one:
         found = found.groupBy("key").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
                                          F.flatten(F.collect_list("spans")).alias("spans"))
         found = found.withColumn("spans", _union_column("spans"))

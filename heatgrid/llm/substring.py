@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from heatgrid.llm.common import SAME, SPACE_WORDS, Words, gram_hash, mix64, slices, text_bytes, text_key, written
+from heatgrid.llm.common import SAME, SPACE_WORDS, Words, gram_hash, mix64, slices, text_bytes, text_key, word_numbers, written
 
 LENGTH = 35
 GRAM = 8
@@ -172,20 +172,6 @@ def _cut_runs(length: int, hot):
     return run
 
 
-def word_numbers(words: Words, data: np.ndarray) -> np.ndarray:
-    """A number for each word, equal for equal bytes: words of one hash are compared with the first of them, byte by byte."""
-    _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
-    size, twin = words.ends - words.starts, first[number]
-    same = bool((size == size[twin]).all())
-    if same:
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        same = bool((data[np.repeat(words.starts, size) + step] == data[np.repeat(words.starts[twin], size) + step]).all())
-    if same:
-        return number
-    raw, known = data.tobytes(), {}
-    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(words.starts.tolist(), words.ends.tolist())], np.int64)
-
-
 @dataclass
 class SuffixForest:
     """The suffixes (of at least `length` words) of some rows in order, as word numbers, each with the common prefix of it and the next one."""
