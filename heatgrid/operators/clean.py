@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
@@ -137,6 +138,50 @@ def step_log(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.agg(*counts).select(F.inline(rows)).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
 
 
+def _outside(df: DataFrame, ranges: Mapping[str, tuple]) -> Column:
+    """How many values of a row its ranges would change."""
+    total = F.lit(0)
+    for c, (lo, hi) in ranges.items():
+        if c in df.columns:
+            low = F.col(c) < lo if lo is not None else F.lit(False)
+            high = F.col(c) > hi if hi is not None else F.lit(False)
+            total = total + F.coalesce((low | high).cast("int"), F.lit(0))
+    return total
+
+
+def _missing_values(df: DataFrame, columns: Sequence[str]) -> Column:
+    total = F.lit(0)
+    for c in present(df, columns):
+        total = total + F.col(c).isNull().cast("int")
+    return F.coalesce(F.sum(total), F.lit(0)).cast("bigint")
+
+
+def dataset_log(raw: DataFrame, filters: Sequence[tuple[str, Column]], unique: DataFrame, filled: DataFrame | None = None,
+                ranges: Mapping[str, tuple] = S.CLEANING_RANGES) -> DataFrame:
+    """What the steps from a raw table to a dataset did: (step, name, n_before, n_after, n_removed, n_changed).
+
+    The row filters in order, the values clipped in the rows they leave, the rows removed as duplicates (`unique` is what is left), and the
+    values filled in (missing in `unique`, not in `filled`). One aggregate over the raw table and one over each of the two others;
+    pass written tables.
+    """
+    log = step_log(raw, filters).withColumn("n_changed", F.lit(0).cast("bigint"))
+    last = log.where(F.col("step") == len(filters)).select("n_after") if filters else raw.agg(F.count(F.lit(1)).alias("n_after"))
+    kept = reduce(lambda a, b: a & F.coalesce(b[1], F.lit(False)), filters, F.lit(True))
+    clipped = raw.where(kept).agg(F.coalesce(F.sum(_outside(raw, ranges)), F.lit(0)).cast("bigint").alias("n"))
+    rows = unique.agg(F.count(F.lit(1)).alias("n"))
+    changes = [("clipped values", last.scalar(), last.scalar(), clipped.scalar()), ("duplicate places", last.scalar(), rows.scalar(), F.lit(0).cast("bigint"))]
+    if filled is not None:
+        columns = [c for c in unique.columns if c in filled.columns]
+        gone = unique.agg(_missing_values(unique, columns)).scalar() - filled.agg(_missing_values(filled, columns)).scalar()
+        changes.append(("filled values", rows.scalar(), rows.scalar(), gone))
+    more = F.array(*[
+        F.struct(F.lit(len(filters) + i).alias("step"), F.lit(name).alias("name"), before.alias("n_before"), after.alias("n_after"), changed.alias("n_changed"))
+        for i, (name, before, after, changed) in enumerate(changes, start=1)
+    ])
+    one = raw.sparkSession.range(1).select(F.inline(more)).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
+    return log.unionByName(one)
+
+
 # --- filters -------------------------------------------------------------------------------------
 
 def valid_coordinates(df: DataFrame, lat: str = "Latitude", lon: str = "Longitude") -> DataFrame:

@@ -96,6 +96,12 @@ DESCRIPTIONS = {
     "Surface_Roughness": ("Surface Roughness", "rough terrain slows the wind", "smooth terrain"),
     "Road_Density_Proxy": ("Road Density", "many roads", "few roads"),
     "UTFVI": ("Thermal Field Variance", "thermally stressed surroundings", "thermally comfortable surroundings"),
+    "LULC_ESA": ("Land Cover Class", "a land cover that warms up", "a land cover that stays cool"),
+    "UTCI_Approx": ("Universal Thermal Climate Index", "air, moisture, wind and radiation add up to thermal stress", "air, moisture, wind and radiation are mild together"),
+    "Aspect": ("Terrain Aspect", "the slope faces the sun", "the slope faces away from the sun"),
+    "Pressure": ("Surface Pressure", "settled air keeps the sky clear", "unsettled air brings clouds"),
+    "Rainfall": ("Accumulated Rainfall", "rain differs from the city mean", "wet ground cools by evaporation"),
+    "Street_Width_Proxy": ("Street Width", "street space keeps warm air in", "street space lets the air move"),
 }
 
 

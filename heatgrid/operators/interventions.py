@@ -328,13 +328,14 @@ def coverage_columns(df: DataFrame, ids: Sequence[str], items: str = "items") ->
 
 
 def format_solution(solutions: DataFrame, table: DataFrame, *, package_id: str = "package_id") -> DataFrame:
-    """Solution rows with an `interventions` array of catalogue fields in package order."""
+    """Solution rows with an `interventions` array of catalogue fields in package order, and the sorted `co_benefits` of all of them."""
     entries = expand_package(solutions, table, package_id=package_id).groupBy(package_id).agg(
         F.array_sort(F.collect_list(F.struct(
             "seq", "id", "name", "category", round_even(F.col("coverage") * 100.0, 1).alias("coverage_pct"),
             F.col("cooling_potential_celsius").alias("cooling_potential"), "cost_per_unit", "feasibility_score",
             "indian_suitability",
-        ))).alias("interventions")
+        ))).alias("interventions"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("co_benefits")))).alias("co_benefits"),
     )
     return solutions.join(entries, package_id, "left")
 

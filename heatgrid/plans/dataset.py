@@ -39,18 +39,18 @@ def prepare_dataset(
     """Align, filter, clip, dedup, derive, number, impute, encode and scale. The kept rows get new ids from 0 in the order of
     their old ones, or of their places where they had none.
 
-    The filters and clips are one narrow stage before the only wide step, the deduplication. Its result is
+    `steps` is the log of what the filters, the clips, the deduplication and the imputation did. The filters and clips are one narrow stage before the only wide step, the deduplication. Its result is
     written once, because the imputation and scaling fits read it again.
     """
-    df = clean.align_schema(raw)
+    aligned = df = clean.align_schema(raw)
     steps = cleaning_steps(df)
-    log = clean.step_log(df, steps)
     for _, predicate in steps:
         df = df.where(predicate)
     df = clean.derive_features(clean.spatial_dedup(clean.clip_ranges(df)))
     df = df.select(*present(df, [*S.DATASET_COLUMNS, *keep]))
-    df = checkpointed(clean.assign_pixel_id(df, ["PixelID", "Latitude", "Longitude"]))
-    df = clean.impute(df)
+    unique = checkpointed(clean.assign_pixel_id(df, ["PixelID", "Latitude", "Longitude"]))
+    df = clean.impute(unique)
+    log = clean.dataset_log(aligned, steps, unique, df)
     for column, labels in (("LULC_ESA", S.ESA_LABELS), ("LULC_DW", S.DW_LABELS)):
         known = (codes or {}).get(column)
         df = clean.one_hot(df, column, labels, known)

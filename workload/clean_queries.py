@@ -10,6 +10,7 @@ from heatgrid.functions.numeric import hash_uniform_sql
 from heatgrid.operators import clean, composite, profile, sampling, score
 from heatgrid.operators.hotspots import detect_hotspots
 from heatgrid.operators.support import checkpointed
+from heatgrid.plans import dataset
 from workload.base import pixels, query, r6, rounded, s6, with_pixels
 
 # --- SQL pieces shared by several twins -------------------------------------------------------------
@@ -161,6 +162,31 @@ def step_log(spark, sf):
     ])
 
 
+# Every fifth place twice, the second time with an id of its own and values out of range.
+_TWICE = """tw AS (SELECT * FROM px UNION ALL SELECT * REPLACE ("PixelID" + 1000000000 AS "PixelID", "Humidity" + 90e0 AS "Humidity") FROM px WHERE "PixelID" % 5 = 0)"""
+_KEPT = "kp AS (SELECT * FROM tw WHERE " + " AND ".join(f"({s[1]})" for s in _STEPS) + ")"
+_LOGGED = ["Humidity", "SAVI", "NDVI", "Albedo", "LST"]
+_N_CLIPPED = " + ".join(f'count(CASE WHEN "{c}" < {S.CLEANING_RANGES[c][0]} OR "{c}" > {S.CLEANING_RANGES[c][1]} THEN 1 END)' for c in _LOGGED)
+
+
+@query("dataset_log", with_pixels(" UNION ALL ".join([
+    *[f"""SELECT {i + 1} AS step, '{_STEPS[i][0]}' AS name, (SELECT count(*) FROM tw{' WHERE ' + ' AND '.join(f'({s[1]})' for s in _STEPS[:i]) if i else ''}) AS n_before,
+        (SELECT count(*) FROM tw WHERE {' AND '.join(f'({s[1]})' for s in _STEPS[:i + 1])}) AS n_after, CAST(0 AS BIGINT) AS n_changed""" for i in range(len(_STEPS))],
+    f"SELECT 5, 'clipped values', count(*), count(*), {_N_CLIPPED} FROM kp",
+    """SELECT 6, 'duplicate places', count(*), count(DISTINCT (round_even("Latitude", 6), round_even("Longitude", 6))), 0 FROM kp"""]), _TWICE, _KEPT))
+def dataset_log(spark, sf):
+    """The log of a whole cleaning run over a table with repeated places."""
+    px = pixels(spark, sf)
+    again = px.where(F.col("PixelID") % 5 == 0).withColumn("PixelID", F.col("PixelID") + 1_000_000_000).withColumn("Humidity", F.col("Humidity") + 90.0)
+    raw = px.unionByName(again)
+    ranges = {c: S.CLEANING_RANGES[c] for c in _LOGGED}
+    steps = dataset.cleaning_steps(raw)
+    kept = raw
+    for _, keep in steps:
+        kept = kept.where(keep)
+    return clean.dataset_log(raw, steps, clean.spatial_dedup(kept), ranges=ranges).drop("n_removed")
+
+
 # --- filters -----------------------------------------------------------------------------------------
 
 @query("valid_coordinates", """SELECT c_custkey AS id, c_acctbal / 1e2 AS lat, c_acctbal / 2e1 AS lon FROM customer

@@ -151,6 +151,14 @@ def package_metrics(spark, sf):
     return rounded(pk.package_metrics(packages(spark, sf), interventions_table(spark)))
 
 
+@query("solution_cobenefits", f"""WITH {PACKAGES} SELECT package_id, count(DISTINCT benefit) AS n, string_agg(DISTINCT benefit, '; ' ORDER BY benefit) AS co_benefits
+    FROM pi JOIN cbn USING (id) GROUP BY 1""")
+def solution_cobenefits(spark, sf):
+    """What else a package is good for, over all its interventions."""
+    out = iv.format_solution(packages(spark, sf), interventions_table(spark)).where("co_benefits IS NOT NULL")
+    return out.select("package_id", F.size("co_benefits").cast("bigint").alias("n"), F.array_join("co_benefits", "; ").alias("co_benefits"))
+
+
 @query("format_solution", f"""WITH {PACKAGES} SELECT package_id, seq, id, name, category, {s6('round_even(coverage * 100, 1)')} AS coverage_pct, {s6('feasibility')} AS feasibility_score
     FROM pi JOIN it USING (id)""")
 def format_solution(spark, sf):
