@@ -7,7 +7,9 @@ to the tiles that need it, so one shuffle serves the whole operator and no group
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -156,38 +158,42 @@ def resample_nearest(
 
 
 def resample_bilinear(
-    fine: DataFrame, coarse: DataFrame, value: str, ratio: float, *, row: str = "row", col: str = "col",
-    out: str | None = None,
+    fine: DataFrame, coarse: DataFrame, value: str | Sequence[str], ratio: float, *, row: str = "row", col: str = "col",
+    out: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Weighted mean of the four coarse cells around each fine centre; missing ones are left out.
+    """Weighted mean of the four coarse cells around each fine centre, of one value or several; missing ones are left out, each value's
+    for itself.
 
-    The coarse grid, smaller by ratio squared, is regrouped into 2x2 quads; the fine grid then needs one
-    equi-join instead of four rows per cell.
+    The coarse grid, smaller by ratio squared, is regrouped into 2x2 quads of all values; the fine grid then needs one
+    equi-join, however many values there are, instead of four rows per cell.
     """
-    out = out or value
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
-    spread = coarse.where(F.col(value).isNotNull()).select(
-        F.col(row).alias("_row"), F.col(col).alias("_col"), F.col(value).cast("double").alias("_v"),
-        F.explode(offsets).alias("_o"),
-    ).withColumn("_r", F.col("_row") - F.col("_o.r")).withColumn("_c", F.col("_col") - F.col("_o.c"))
+    values = [value] if isinstance(value, str) else list(value)
+    outs = values if out is None else [out] if isinstance(out, str) else list(out)
+    corners = [(r, c) for r in (0, 1) for c in (0, 1)]
+    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in corners])
+    numbers = [F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]
+    some = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
+    spread = coarse.where(some).select(F.col(row).alias("_row"), F.col(col).alias("_col"), *numbers, F.explode(offsets).alias("_o"))
+    spread = spread.withColumn("_r", F.col("_row") - F.col("_o.r")).withColumn("_c", F.col("_col") - F.col("_o.c"))
     quads = spread.groupBy("_r", "_c").agg(*[
-        F.max(F.when((F.col("_o.r") == r) & (F.col("_o.c") == c), F.col("_v"))).alias(f"_v{r}{c}")
-        for r in (0, 1) for c in (0, 1)
+        F.max(F.when((F.col("_o.r") == r) & (F.col("_o.c") == c), F.col(f"_v{i}"))).alias(f"_v{i}_{r}{c}") for i in range(len(values)) for r, c in corners
     ])
     keyed = fine.withColumn("_y", (F.col(row) + 0.5) / ratio - 0.5).withColumn("_x", (F.col(col) + 0.5) / ratio - 0.5)
     keyed = keyed.withColumn("_r", F.floor("_y")).withColumn("_c", F.floor("_x"))
     joined = keyed.join(quads, ["_r", "_c"], "left")
     wy, wx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
-    top, bottom = F.lit(0.0), F.lit(0.0)
-    for r, along_y in ((0, F.lit(1.0) - wy), (1, wy)):
-        for c, along_x in ((0, F.lit(1.0) - wx), (1, wx)):
-            v = F.col(f"_v{r}{c}")
-            weight = F.when(v.isNotNull(), along_y * along_x).otherwise(0.0)
+    share = {(r, c): (wy if r else F.lit(1.0) - wy) * (wx if c else F.lit(1.0) - wx) for r, c in corners}
+    new = {}
+    for i, name in enumerate(outs):
+        top, bottom = F.lit(0.0), F.lit(0.0)
+        for r, c in corners:
+            v = F.col(f"_v{i}_{r}{c}")
+            weight = F.when(v.isNotNull(), share[r, c]).otherwise(0.0)
             top = top + weight * F.coalesce(v, F.lit(0.0))
             bottom = bottom + weight
-    return joined.withColumn(out, top / F.nullif(bottom, F.lit(0.0))).drop(
-        "_y", "_x", "_r", "_c", *[f"_v{r}{c}" for r in (0, 1) for c in (0, 1)]
-    )
+        new[name] = top / F.nullif(bottom, F.lit(0.0))
+    kept = [F.col(c) for c in fine.columns if c not in new]
+    return joined.select(*kept, *[e.alias(name) for name, e in new.items()])
 
 
 # --- neighbourhoods ----------------------------------------------------------------------------------
@@ -326,42 +332,171 @@ def _tile_distance(side: int, reach: int, cell_m: float):
     def run(cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         if cells.empty or sources.empty:
             return pd.DataFrame({"_id": cells["_id"], "_d": np.full(len(cells), np.nan)})
-        # Only the box that holds something is laid out.
-        top, left = int(min(cells._r.min(), sources._r.min())), int(min(cells._c.min(), sources._c.min()))
-        high = int(max(cells._r.max(), sources._r.max())) - top + 1
-        wide = int(max(cells._c.max(), sources._c.max())) - left + 1
-        on = np.zeros((high, wide), dtype=bool)
-        on[sources._r.to_numpy() - top, sources._c.to_numpy() - left] = True
-        far = np.float64(1e18)
-        place = np.arange(wide, dtype=np.float64)
-        before = np.maximum.accumulate(np.where(on, place, -far), axis=1)
-        after = np.minimum.accumulate(np.where(on, place, far)[:, ::-1], axis=1)[:, ::-1]
-        across = np.minimum(place - before, after - place)
-        across = np.where(across <= reach, across * across, far)
-        r = cells._r.to_numpy() - top
-        c = cells._c.to_numpy() - left
-        r0, r1 = int(r.min()), int(r.max()) + 1
-        best = across[r0:r1].copy()
-        for step in range(1, reach + 1):
-            gap = float(step * step)
-            if gap >= best.max():
-                break
-            up, down = max(r0 - step, 0), min(r1 + step, high)
-            lo = across[up:max(r1 - step, 0)]
-            if lo.size:
-                part = best[(up + step - r0):]
-                np.minimum(part, lo + gap, out=part)
-            hi = across[min(r0 + step, high):down]
-            if hi.size:
-                part = best[:hi.shape[0]]
-                np.minimum(part, hi + gap, out=part)
-        d2 = best[r - r0, c]
-        d = np.where(d2 <= float(reach) ** 2, np.sqrt(d2) * cell_m, np.nan)
+        d = _distances(*[x.to_numpy() for x in (cells._r, cells._c, sources._r, sources._c)], reach) * cell_m
         return pd.DataFrame({"_id": cells["_id"].to_numpy(), "_d": d})  # NaN arrives as NULL
 
     return run
 
 
+def _distances(row: np.ndarray, col: np.ndarray, source_row: np.ndarray, source_col: np.ndarray, reach: int) -> np.ndarray:
+    """Cells from each place to the nearest source, NaN beyond `reach`: nearest in the row first, then over the rows. Only the box that
+    holds something is laid out."""
+    if not len(source_row) or not len(row):
+        return np.full(len(row), np.nan)
+    top, left = int(min(row.min(), source_row.min())), int(min(col.min(), source_col.min()))
+    high, wide = int(max(row.max(), source_row.max())) - top + 1, int(max(col.max(), source_col.max())) - left + 1
+    on = np.zeros((high, wide), dtype=bool)
+    on[source_row - top, source_col - left] = True
+    far = np.float64(1e18)
+    place = np.arange(wide, dtype=np.float64)
+    before = np.maximum.accumulate(np.where(on, place, -far), axis=1)
+    after = np.minimum.accumulate(np.where(on, place, far)[:, ::-1], axis=1)[:, ::-1]
+    across = np.minimum(place - before, after - place)
+    across = np.where(across <= reach, across * across, far)
+    r, c = row - top, col - left
+    r0, r1 = int(r.min()), int(r.max()) + 1
+    best = across[r0:r1].copy()
+    for step in range(1, reach + 1):
+        gap = float(step * step)
+        if gap >= best.max():
+            break
+        up, down = max(r0 - step, 0), min(r1 + step, high)
+        lo = across[up:max(r1 - step, 0)]
+        if lo.size:
+            part = best[(up + step - r0):]
+            np.minimum(part, lo + gap, out=part)
+        hi = across[min(r0 + step, high):down]
+        if hi.size:
+            part = best[:hi.shape[0]]
+            np.minimum(part, hi + gap, out=part)
+    d2 = best[r - r0, c]
+    return np.where(d2 <= float(reach) ** 2, np.sqrt(d2), np.nan)
+
+
+# --- several neighbourhood statistics in one pass -------------------------------------------------------
+
+@dataclass(frozen=True)
+class Focal:
+    """Mean and population deviation of a value within a circle of cells, as columns named so (None: not wanted)."""
+
+    value: Column
+    radius: int = 5
+    mean: str | None = None
+    std: str | None = None
+
+
+def neighbourhood(
+    cells: DataFrame, *, elevation: str | None = None, focal: Sequence[Focal] = (), distances: Mapping[str, Column] | None = None, cell_m: float = 30.0,
+    max_cells: int = 512, tile: int = 512, row: str = "row", col: str = "col", key: str = "PixelID", row_north: bool = True,
+) -> DataFrame:
+    """Slope and Aspect of `elevation`, focal statistics, and metres to the nearest cell where each mask of `distances` holds: what `terrain`,
+    `focal_stats` and `distance_to` give, from one exchange of the cells.
+
+    Only the key, the place and the values that are looked at travel: a cell goes to its own tile, with its values to the tiles within the
+    largest radius, and as a mere place to the tiles within `max_cells` where it is a source. A tile is laid out once as dense arrays (at most
+    (tile + 2 * reach)^2 places); its cells' new values come back by key. `key` must be unique.
+    """
+    distances = dict(distances or {})
+    radius = max([1 if elevation else 0, *[f.radius for f in focal]])
+    side = max(tile, max_cells if distances else 0, radius)
+    values = [F.col(elevation).cast("double")] if elevation else []
+    values += [f.value.cast("double") for f in focal]
+    names = [f"_v{i}" for i in range(len(values))]
+    flags = [f"_on{i}" for i in range(len(distances))]
+    narrow = cells.select(
+        F.col(key).alias("_id"), F.col(row).cast("bigint").alias("_r"), F.col(col).cast("bigint").alias("_c"), *[v.alias(n) for v, n in zip(values, names)],
+        *[F.coalesce(m, F.lit(False)).alias(n) for n, m in zip(flags, distances.values())])
+    source = reduce(lambda a, b: a | b, [F.col(f) for f in flags], F.lit(False))
+    far = F.when(source, F.lit(max_cells)).otherwise(F.lit(radius))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("_far")) / side).cast("bigint"), F.floor((F.col(c) + F.col("_far")) / side).cast("bigint")))
+    sent = narrow.withColumn("_far", far).withColumn("_tr", reach("_r")).withColumn("_tc", reach("_c"))
+    home = (F.floor(F.col("_r") / side) == F.col("_tr")) & (F.floor(F.col("_c") / side) == F.col("_tc"))
+    near = reduce(lambda a, b: a & b, [F.col(c).between(F.col(t) * side - radius, (F.col(t) + 1) * side - 1 + radius) for c, t in (("_r", "_tr"), ("_c", "_tc"))])
+    sent = sent.withColumn("_home", home).withColumn("_near", near)
+    sent = sent.select("_tr", "_tc", "_id", "_r", "_c", "_home", "_near", *[F.when(F.col("_near"), F.col(n)).alias(n) for n in names], *flags)
+    out = (["Slope", "Aspect"] if elevation else []) + [n for f in focal for n in (f.mean, f.std) if n] + list(distances)
+    id_type = dict(cells.dtypes)[key]
+    wanted, masks, slopes = [(f.radius, f.mean, f.std) for f in focal], list(distances), elevation is not None
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if not rows["_home"].any():
+            return pd.DataFrame({n: [] for n in ["_id", *out]})
+        mine = rows["_home"].to_numpy(dtype=bool)
+        r, c = rows["_r"].to_numpy(), rows["_c"].to_numpy()
+        inner = rows["_near"].to_numpy(dtype=bool)
+        top, left = int(r[inner].min()) - radius, int(c[inner].min()) - radius
+        shape = (int(r[inner].max()) - top + radius + 1, int(c[inner].max()) - left + radius + 1)
+        at, here = (r[inner] - top, c[inner] - left), (r[mine] - top, c[mine] - left)
+        found: dict[str, np.ndarray] = {"_id": rows["_id"].to_numpy()[mine]}
+
+        def grid(name: str) -> np.ndarray:
+            full = np.full(shape, np.nan)
+            full[at] = rows[name].to_numpy(dtype=np.float64)[inner]
+            return full
+
+        if slopes:
+            present = np.zeros(shape, bool)
+            present[at] = True
+            found["Slope"], found["Aspect"] = (x[here] for x in _slopes(grid("_v0"), present, cell_m, row_north))
+        for (wide, *named), name in zip(wanted, names[1 if slopes else 0:]):
+            found |= {n: x[here] for n, x in zip(named, _discs(grid(name), wide)) if n}
+        for name, flag in zip(masks, flags):
+            on = rows[flag].to_numpy(dtype=bool)
+            found[name] = _distances(r[mine], c[mine], r[on], c[on], max_cells) * cell_m
+        return pd.DataFrame(found)
+
+    kind = ", ".join([f"_id {id_type}", *[f"`{n}` double" for n in out]])
+    done = sent.groupBy("_tr", "_tc").applyInPandas(run, kind)
+    kept = [F.col(c) for c in cells.columns if c not in out]
+    return cells.join(done.withColumnsRenamed({n: f"_new_{n}" for n in ["_id", *out]}), F.col(key) == F.col("_new__id"), "left").select(*kept, *[F.col(f"_new_{n}").alias(n) for n in out])
+
+
+def _shifted(x: np.ndarray, dr: int, dc: int) -> np.ndarray:
+    """x at (row + dr, col + dc), NaN outside."""
+    out = np.full(x.shape, np.nan)
+    high, wide = x.shape
+    out[max(-dr, 0): high - max(dr, 0), max(-dc, 0): wide - max(dc, 0)] = x[max(dr, 0): high - max(-dr, 0), max(dc, 0): wide - max(-dc, 0)]
+    return out
+
+
+def _slopes(z: np.ndarray, present: np.ndarray, cell_m: float, row_north: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and aspect in degrees from 3x3 windows of weights 1-2-1; NaN where a cell of the window is missing."""
+    left, right = _shifted(z, 0, -1), _shifted(z, 0, 1)
+    dx = np.where(present, right - left, np.nan)
+    smooth = left + z * 2.0 + right
+    gx = (_shifted(dx, -1, 0) + dx * 2.0 + _shifted(dx, 1, 0)) / (8.0 * cell_m)
+    gy = (_shifted(smooth, 1, 0) - _shifted(smooth, -1, 0)) / (8.0 * cell_m) * (1.0 if row_north else -1.0)
+    bearing = np.mod(np.degrees(np.arctan2(-gx, -gy)), 360.0)
+    flat = ((gx == 0.0) & (gy == 0.0)) | np.isnan(gx) | np.isnan(gy)
+    return np.degrees(np.arctan(np.hypot(gx, gy))), np.where(flat, np.nan, bearing)
+
+
+def _discs(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of what is present within a circle. A disc is a stack of strips; a strip's sum grows by a
+    cell at either end from one width to the next. Values are taken from their mean, so squares stay small."""
+    there = ~np.isnan(x)
+    middle = x[there].mean() if there.any() else 0.0
+    parts = [there.astype(np.float64), np.where(there, x - middle, 0.0)]
+    parts.append(parts[1] ** 2)
+    halves = [math.isqrt(radius * radius - d * d) for d in range(radius + 1)]
+    sums = []
+    for part in parts:
+        strip, width = part.copy(), 0
+        total = np.zeros(part.shape)
+        move = lambda y, dr, dc: np.nan_to_num(_shifted(y, dr, dc))
+        for half in sorted(set(halves)):
+            while width < half:
+                width += 1
+                strip = strip + move(part, 0, width) + move(part, 0, -width)
+            for d in (d for d, h in enumerate(halves) if h == half):
+                total += strip if d == 0 else move(strip, d, 0) + move(strip, -d, 0)
+        sums.append(total)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = np.where(sums[0] > 0, sums[0], np.nan)
+        mean = sums[1] / n
+        return mean + middle, np.sqrt(np.maximum(sums[2] / n - mean**2, 0.0))
+
+
 # --- range and nearest-neighbour joins -----------------------------------------------------------------
 
 def _around(df: DataFrame, y: Column, x: Column) -> DataFrame:

@@ -60,8 +60,7 @@ def build_features(
     }
     base = surface.select("row", "col", "QualityScore", *[c.alias(n) for n, c in derived.items()])
     stacked = composite.stack_bands([base, layers])
-    for name in ("AirTemp", "Humidity", "WindSpeed", "WindDirection", "SolarRadiation", "Pressure", "Rainfall"):
-        stacked = spatial.resample_bilinear(stacked, weather.select("row", "col", name), name, weather_ratio)
+    stacked = spatial.resample_bilinear(stacked, weather, ["AirTemp", "Humidity", "WindSpeed", "WindDirection", "SolarRadiation", "Pressure", "Rainfall"], weather_ratio)
     lulc = F.col("LULC_ESA")
     stacked = replace_columns(stacked, {
         "Impervious_Frac": fx.impervious_flag(F.col("Impervious_Year")),
@@ -78,9 +77,6 @@ def build_features(
     }).drop("Impervious_Year")
     cells = checkpointed(stacked)
     cells = score.utfvi(score.uhi_intensity(cells))
-    cells = spatial.terrain(cells, cell_m=cell_m)
-    cells = cells.withColumn("_green", (F.col("NDVI") > 0.3).cast("double"))
-    cells = spatial.focal_stats(cells, "_green", mean="Green_Space_Density").drop("_green")
-    cells = spatial.focal_stats(cells, "Elevation", std="Surface_Roughness")
-    cells = spatial.distance_to(cells, F.col("NDWI") > 0.0, "Dist_Water", cell_m=cell_m, max_cells=max_cells)
-    return spatial.distance_to(cells, F.col("NDVI") > 0.4, "Dist_Green", cell_m=cell_m, max_cells=max_cells)
+    focal = [spatial.Focal((F.col("NDVI") > 0.3).cast("double"), mean="Green_Space_Density"), spatial.Focal(F.col("Elevation"), std="Surface_Roughness")]
+    distances = {"Dist_Water": F.col("NDWI") > 0.0, "Dist_Green": F.col("NDVI") > 0.4}
+    return spatial.neighbourhood(cells, elevation="Elevation", focal=focal, distances=distances, cell_m=cell_m, max_cells=max_cells)
