@@ -12,11 +12,12 @@ their own; an empty table gives no rows. Only the id and text columns are read,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heatgrid.llm.common import map_texts, text_bytes
 
@@ -100,26 +101,49 @@ def train_network(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: in
     return LanguageModel(languages, params[: len(WIDTHS)], params[-3], params[-2], params[-1])
 
 
+def _smallest(most: int):
+    """The `most` smallest different hashes of each language among a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, np.ndarray] = {}
+        for batch in batches:
+            named = batch.column(0).dictionary_encode()
+            code, order = named.indices.to_numpy(), batch.column(1).to_numpy()
+            for i, name in enumerate(named.dictionary.to_pylist()):
+                best[name] = np.unique(np.concatenate([best.get(name, order[:0]), order[code == i]]))[:most]
+        for name, found in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found)], ["_lang", "_order"])
+
+    return run
+
+
 def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_per_language: int = 800, windows_per_text: int = 2) -> LanguageModel:
     """Train on a bounded sample: per language the `sample_per_language` different texts with the smallest text hash, and of
-    each up to `windows_per_text` windows, cut at places drawn by that hash."""
+    each up to `windows_per_text` windows, cut at places drawn by that hash.
+
+    Two passes over the rows, however many languages there are: each task keeps the smallest hashes of each language, which gives the last
+    hash taken; then the windows of the texts up to it are cut, copies once."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    languages = sorted(r[0] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).select(lang).collect())
     order = F.xxhash64(F.lit(29), F.col(text))
-    room = F.greatest(F.length(text) - F.lit(WINDOW), F.lit(0)) + 1
+    hashes = rows.select(F.col(lang).alias("_lang"), order.alias("_order")).mapInArrow(_smallest(sample_per_language), "_lang string, _order bigint").distinct()
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))
+    kept = hashes.withColumn("_place", place).where(F.col("_place") <= sample_per_language)
+    edges = {r["_lang"]: r["edge"] for r in kept.groupBy("_lang").agg(F.max("_order").alias("edge")).collect()}
+    languages = sorted(edges)
     xs, ys = [], []
-    for number, name in enumerate(languages):
+    if languages:
+        room = F.greatest(F.length(text) - F.lit(WINDOW), F.lit(0)) + 1
         cuts = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(i), order), room) + 1).cast("int"), F.lit(WINDOW)).alias(f"_w{i}") for i in range(windows_per_text)]
-        own = rows.where(F.col(lang) == name)
-        # copies count once: first the hashes alone, then only the texts up to the last one that is taken
-        edge = own.select(order.alias("_order")).distinct().orderBy("_order").limit(sample_per_language).agg(F.max("_order")).first()[0]
-        drawn = own.where(order <= F.lit(edge)).select(order.alias("_order"), *cuts).groupBy("_order").agg(*[F.first(f"_w{i}") for i in range(windows_per_text)]).orderBy("_order")
-        pieces = [piece.encode()[:WINDOW] for r in drawn.collect() for piece in dict.fromkeys(r[1:])]
-        block = np.zeros((len(pieces), WINDOW), np.uint8)
-        for i, piece in enumerate(pieces):
-            block[i, : len(piece)] = np.frombuffer(piece, np.uint8)
-        xs.append(block)
-        ys.append(np.full(len(pieces), number))
+        edge = F.element_at(F.create_map(*[F.lit(x) for item in edges.items() for x in item]), F.col(lang))
+        taken = rows.where(order <= edge).select(F.col(lang).alias("_lang"), order.alias("_order"), *cuts).groupBy("_lang", "_order")
+        drawn = taken.agg(*[F.first(f"_w{i}") for i in range(windows_per_text)]).orderBy("_lang", "_order").collect()
+        for number, name in enumerate(languages):
+            pieces = [piece.encode()[:WINDOW] for r in drawn if r["_lang"] == name for piece in dict.fromkeys(r[2:])]
+            block = np.zeros((len(pieces), WINDOW), np.uint8)
+            for i, piece in enumerate(pieces):
+                block[i, : len(piece)] = np.frombuffer(piece, np.uint8)
+            xs.append(block)
+            ys.append(np.full(len(pieces), number))
     if not languages:
         return LanguageModel([], [np.zeros((w, 256, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros((FILTERS * len(WIDTHS), 0), np.float32), np.zeros(0, np.float32))
     return train_network(np.concatenate(xs), np.concatenate(ys), languages)
