@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from heatgrid.catalog import interventions_table
+from heatgrid.functions.numeric import round_even
 from heatgrid.operators import hotspots as hs, interventions as iv, ml, packages as pk, scenarios as sc
-from heatgrid.operators.support import checkpointed
+from heatgrid.operators.support import checkpointed, replace_columns
 
 
 def optimize_packages(
@@ -25,7 +26,9 @@ def optimize_packages(
     if candidates is None:
         ids = [r["id"] for r in iv.applicable_interventions(table, features).orderBy("pos").collect()]  # catalogue size
         candidates = pk.candidate_packages(spark, n, ids, seed=seed)
-    evaluated = checkpointed(pk.evaluate_packages(candidates, hot, features, predict))
+    # objectives that only differ by the order of a sum do not dominate one another
+    evaluated = pk.evaluate_packages(candidates, hot, features, predict)
+    evaluated = checkpointed(replace_columns(evaluated, {o: round_even(o, 9) for o in pk.OBJECTIVES}))
     front = pk.pareto_front(evaluated).where(F.size("items") > 0)
     solved = pk.crowding_distance(pk.solution_table(front).withColumn("front", F.lit(0)))
     return pk.priority_rank(solved)

@@ -379,13 +379,37 @@ def evaluate_packages(spark, sf):
     return rounded(evaluated(spark, sf).select("package_id", *pk.OBJECTIVES))
 
 
-@query("evaluate_packages_all")
+_HOT_ALL = """hs AS (SELECT * FROM cp WHERE "LST" >= (SELECT quantile_cont("LST", 0.9) FROM px))"""
+_EVALUATION_ALL = (BOUNDS, COMPLETE, _HOT_ALL, PACKAGES, _HITS, _SLOTTED, _EVAL, _METRICS)
+
+
+@query("evaluate_packages_all", with_pixels(f"""SELECT package_id, {s6('obj_reduction')} AS obj_reduction, {s6('obj_cost')} AS obj_cost, {s6('obj_feasibility')} AS obj_feasibility,
+    {s6('obj_cobenefits')} AS obj_cobenefits FROM ev JOIN pm USING (package_id)""", *_EVALUATION_ALL))
 def evaluate_packages_all(spark, sf):
     """The same over the hotspots of all land covers."""
     hot, city = hotspots(spark, sf)
     return rounded(pk.evaluate_packages(packages(spark, sf), hot, FEATURES, predictor(city)).select("package_id", *pk.OBJECTIVES))
 
 
+_AIMS = ["r", "c", "f", "b"]
+_BEATS = " AND ".join(f"z.{o} <= a.{o}" for o in _AIMS) + " AND (" + " OR ".join(f"z.{o} < a.{o}" for o in _AIMS) + ")"
+
+
+@query("optimize_given_packages", with_pixels("""SELECT package_id, predicted_reduction, total_cost, priority_score, row_number() OVER (ORDER BY priority_score DESC, predicted_reduction DESC, package_id) AS priority_rank
+    FROM (SELECT *, round_even(predicted_reduction * 0.4e0 + feasibility * 10e0 * 0.3e0 + predicted_reduction / greatest(total_cost / 1000e0, 0.1e0) * 0.2e0 + n_cobenefits * 0.1e0, 2) AS priority_score FROM fr)""",
+    *_EVALUATION_ALL, f"""ob AS (SELECT package_id, round_even(obj_reduction, 9) AS r, round_even(obj_cost, 9) AS c, round_even(obj_feasibility, 9) AS f, round_even(obj_cobenefits, 9) AS b,
+        total_cost, avg_feasibility, n_cobenefits FROM ev JOIN pm USING (package_id) JOIN pb USING (package_id)),
+    fr AS (SELECT package_id, round_even(-r, 2) + 0e0 AS predicted_reduction, round_even(total_cost, 0) AS total_cost, round_even(avg_feasibility, 3) AS feasibility, n_cobenefits
+        FROM ob a WHERE NOT EXISTS (SELECT 1 FROM ob z WHERE {_BEATS}))"""))
+def optimize_given_packages(spark, sf):
+    """The optimisation plan over one package per part: all hotspots, the front, and its ranking."""
+    from heatgrid.plans import cooling
+
+    hot, city = hotspots(spark, sf)
+    out = cooling.optimize_packages(hot, FEATURES, predictor(city), candidates=packages(spark, sf))
+    return out.select("package_id", "predicted_reduction", "total_cost", "priority_score", "priority_rank")
+
+
 # Dominance runs on the catalogue objectives, rounded so that both engines see the same numbers.
 _OBJ = ["obj_cooling", "obj_cost", "obj_feasibility"]
 _OB = f"""ob AS (SELECT package_id, {s6('-estimated_cooling_celsius', 4)} AS obj_cooling, {s6('obj_cost', 4)} AS obj_cost, {s6('obj_feasibility', 4)} AS obj_feasibility FROM pm)"""
