@@ -137,6 +137,38 @@ def permutation_importance(spark, sf):
     return rounded(ml.permutation_importance(fitted["DecisionTree"][0], parts, MODEL_FEATURES, repeats=10))
 
 
+# A tree deep enough for every pair of two land-cover codes predicts the pair's mean; the class is a function of one of them.
+_CODES = ["LULC_ESA", "LULC_DW"]
+_CODE_CLASS = 'CASE "LULC_ESA" WHEN 10 THEN 0 WHEN 30 THEN 1 WHEN 50 THEN 2 ELSE 3 END'
+_CODE_MEANS = 'cm AS (SELECT "LULC_ESA", "LULC_DW", avg("LST") AS m FROM px WHERE "LST" IS NOT NULL GROUP BY 1, 2)'
+_CODE_LABELS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.HEAT_LABELS.items())
+
+
+def fitted_on_codes(spark, sf):
+    """Metrics and the fitted pair of a tree over two codes."""
+    rows = pixels(spark, sf).where(F.col("LST").isNotNull()).select("PixelID", *_CODES, F.col("LST").alias("HeatScore"), F.expr(_CODE_CLASS.replace('"', "`")).alias("HeatClass"))
+    tree = {"DecisionTree": tuple(kind(labelCol=label, featuresCol="_v", maxDepth=20, seed=42) for kind, label in (
+        (DecisionTreeRegressor, "HeatScore"), (DecisionTreeClassifier, "HeatClass")))}
+    metrics, fitted = ml.fit_models(rows, rows, _CODES, tree)
+    return metrics, fitted["DecisionTree"]
+
+
+@query("fit_on_codes", with_pixels(f"""SELECT 'DecisionTree' AS model, {s6('sqrt(avg(e * e))')} AS rmse, {s6('avg(abs(e))')} AS mae, {s6('1e0 - sum(e * e) / sum((y - a) * (y - a))')} AS r2,
+    1e0 AS accuracy, 1e0 AS f1 FROM (SELECT "LST" AS y, "LST" - m AS e, avg("LST") OVER () AS a FROM px JOIN cm USING ("LULC_ESA", "LULC_DW") WHERE "LST" IS NOT NULL)""", _CODE_MEANS))
+def fit_on_codes(spark, sf):
+    return rounded(fitted_on_codes(spark, sf)[0].select("model", "rmse", "mae", "r2", "accuracy", "f1"))
+
+
+@query("predict_on_codes", with_pixels(f"""SELECT "PixelID", {s6('round_even(m, 2)')} AS "HeatScore_Predicted", {_CODE_CLASS} AS "HeatClass_Predicted",
+    CASE {_CODE_CLASS} {_CODE_LABELS} END AS "HeatClass_Label" FROM px JOIN cm USING ("LULC_ESA", "LULC_DW")""", _CODE_MEANS))
+def predict_on_codes(spark, sf):
+    """Fit, save, load and predict every pixel."""
+    path, (regressor, classifier) = scratch(spark, "bundle"), fitted_on_codes(spark, sf)[1]
+    bundles.save_bundle(spark, ml.Bundle(regressor, classifier, _CODES, best_name="DecisionTree", medians={}), path)
+    out = ml.predict(pixels(spark, sf), bundles.load_bundle(spark, path))
+    return rounded(out.select("PixelID", "HeatScore_Predicted", "HeatClass_Predicted", "HeatClass_Label"))
+
+
 @query("predict_bundle")
 def predict_bundle(spark, sf):
     """Fit, save, load and predict every pixel."""
