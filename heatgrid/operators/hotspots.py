@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from heatgrid import schema as S
 from heatgrid.operators.quantiles import exact_quantiles
-from heatgrid.operators.support import number_rows, one_row, per_column, present
+from heatgrid.operators.support import checkpointed, number_rows, one_row, per_column, present
 
 
 def percentile_cutoff(df: DataFrame, score: str, percentile: float) -> float:
@@ -41,14 +41,11 @@ def cluster_zones(
     k = min(k, assembled.limit(k).count())
     if k < 2:
         return hotspots.withColumn(out, F.lit(0))
-    points = assembled.select("_xy").persist()
-    try:
-        best = min(
-            (KMeans(k=k, seed=seed + i, featuresCol="_xy", predictionCol="_zone").fit(points) for i in range(starts)),
-            key=lambda m: m.summary.trainingCost,
-        )
-    finally:
-        points.unpersist()
+    points = checkpointed(assembled.select("_xy"))
+    best = min(
+        (KMeans(k=k, seed=seed + i, featuresCol="_xy", predictionCol="_zone").fit(points) for i in range(starts)),
+        key=lambda m: m.summary.trainingCost,
+    )
     centers = [tuple(c) for c in best.clusterCenters()]
     order = {i: rank for rank, i in enumerate(sorted(range(len(centers)), key=lambda i: centers[i]))}
     renumber = F.create_map(*[F.lit(x) for item in order.items() for x in item])

@@ -197,6 +197,18 @@ def cluster_zones(spark, sf):
                                               F.avg("Latitude").alias("lat"), F.avg("Longitude").alias("lon")))
 
 
+# Five towns far from each other: whoever starts where, the best clustering is one zone for each, numbered from south to north.
+_TOWN = '"Latitude" + ("PixelID" % 5) * 5e0'
+
+
+@query("zones_of_towns", with_pixels(f"""SELECT CAST("PixelID" % 5 AS INT) AS "Zone_ID", count(*) AS n, {s6('avg("LST")')} AS mean_lst, {s6(f'avg({_TOWN})')} AS lat, {s6('avg("Longitude")')} AS lon
+    FROM px GROUP BY 1"""))
+def zones_of_towns(spark, sf):
+    towns = pixels(spark, sf).withColumn("Latitude", F.expr(_TOWN.replace('"', "`")))
+    zoned = hotspots.cluster_zones(towns, 5)
+    return rounded(zoned.groupBy("Zone_ID").agg(F.count(F.lit(1)).alias("n"), F.avg("LST").alias("mean_lst"), F.avg("Latitude").alias("lat"), F.avg("Longitude").alias("lon")))
+
+
 # --- explanations ---------------------------------------------------------------------------------------------
 
 IMPORTANCES = {"UHI_Intensity": 0.31, "NDBI": 0.17, "Anthropogenic_Heat": 0.13, "Building_Density": 0.11, "NDVI": 0.09,
