@@ -288,7 +288,7 @@ def build_features(spark, sf):
         *[F.avg(c).alias(c) for c in ("AirTemp", "Humidity", "WindSpeed", "WindDirection", "SolarRadiation", "Pressure", "Rainfall")])
     layers = px.select("row", "col", "LULC_ESA", "LULC_DW", "Elevation", "Building_Density", "Building_Height", "Nighttime_Lights", "Population_Density",
                        F.col("LULC_DW").alias("Impervious_Year"), "Tree_Cover_Pct")
-    out = scene.build_features(surface, coarse, layers, weather_ratio=10, max_cells=64)
+    out = scene.build_features(surface, coarse, layers, weather_ratio=10)
     names = ["LST", "NDVI", "Albedo", "AirTemp", "UHI_Intensity", "UTFVI", "Slope", "Green_Space_Density", "Surface_Roughness", "Dist_Water", "Dist_Green"]
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]))
 
