@@ -14,6 +14,7 @@ on their own; an empty table gives no rows. Only the id and text columns are rea
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -49,6 +50,9 @@ NAMES = ("mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "by", "sa"
 _WORD = regex.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z][a-z0-9]*")
 
 
+PIECE = 8  # notices to a piece of a long row of them
+
+
 @dataclass(frozen=True)
 class Notice:
     label: str
@@ -119,18 +123,24 @@ class NoticeSearch:
                     spans[-1][0] = min(spans[-1][0], lo)
                 else:
                     spans.append([lo, hi])
-        found = []
+        found = set()
         for i, spans in windows.items():
+            notice = self.notices[i]
+            reach = len(notice.text) + 2 * notice.edits + 1
             for lo, hi in spans:
-                for m in self._matches(i, text, lo, hi):
-                    found.append((self.notices[i].label, m.start(), m.end(), sum(m.fuzzy_counts), len(self.notices[i].text)))
+                # a long row of seeds is searched in pieces that overlap by more than a notice, so its cost grows with its length
+                for at in range(lo, max(lo + 1, hi - reach), PIECE * reach):
+                    for m in self._matches(i, text, at, min(hi, at + (PIECE + 1) * reach)):
+                        found.add((notice.label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice.text)))
         # one notice can lie in another one's span (versions of one license): the fewest edits win there
-        found.sort(key=lambda f: (f[3] / f[4], -f[4], f[1], f[0]))
+        starts: list[int] = []
         kept: list[tuple] = []
-        for f in found:
-            if not any(f[1] < k[2] and k[1] < f[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f[1], f[0]))
+        for f in sorted(found, key=lambda f: (f[3] / f[4], -f[4], f[1], f[0])):
+            place = bisect.bisect_left(starts, f[1])  # kept spans do not overlap, so only the neighbours can
+            if (place == 0 or kept[place - 1][2] <= f[1]) and (place == len(kept) or f[2] <= starts[place]):
+                starts.insert(place, f[1])
+                kept.insert(place, f)
+        return kept
 
 
 def phrase_places(words: Words, data: np.ndarray, phrases: Mapping[str, str]) -> list[tuple[str, np.ndarray]]:

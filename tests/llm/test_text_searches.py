@@ -159,3 +159,43 @@ def test_drop_repeats_keeps_columns_and_clean_texts(odd, odd_texts, empty):
     assert out.columns == odd.columns
     assert rows(out.select("doc_id", "text")) == sorted(((d, t) for d, t in odd_texts if d is not None and (d < 6 or d in (9, 12))), key=repr)
     assert substring.drop_repeats(empty).count() == 0
+
+
+def _edit_distance_ends(pattern, text):
+    """Fewest edits of the pattern against any stretch that ends at each place of a text (edit-distance table)."""
+    row = list(range(len(pattern) + 1))
+    out = [row[-1]]
+    for c in text:
+        new = [0]
+        for j, p in enumerate(pattern, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != c)))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def test_notices_are_within_their_bound_by_an_edit_distance_table():
+    """Every reported span has the edits it says, and where the whole table allows no match of a label none is reported."""
+    rng = random.Random(9)
+    search = license_scan.NoticeSearch(license_scan.NOTICES, 10)
+    for _ in range(60):
+        label, notice = rng.choice(license_scan.NOTICES)
+        letters = list(notice)
+        for at in rng.sample(range(len(letters)), rng.randint(0, len(letters) // 6)):
+            letters[at] = rng.choice(["", "x", letters[at] + "e"])
+        text = "some words before " + "".join(letters) + " and some behind"
+        for found, start, end, edits, length in search.find(text):
+            texts = [t for l, t in license_scan.NOTICES if l == found and len(t) == length]
+            assert any(_edit_distance_ends(t, text[start:end])[-1] <= edits for t in texts) and edits <= max(1, length // 10)
+        best = {l: min(min(_edit_distance_ends(t, text)) / max(1, len(t) // 10) for k, t in license_scan.NOTICES if k == l) for l, _ in license_scan.NOTICES}
+        assert all(best[f[0]] <= 1 for f in search.find(text))
+        if "".join(letters) == notice:
+            assert label in {f[0] for f in search.find(text)}
+
+
+def test_long_rows_of_notices_cost_in_proportion():
+    notice = license_scan.NOTICES[0][1]
+    search = license_scan.NoticeSearch(license_scan.NOTICES, 10)
+    for n in (3, 200):
+        found = search.find(f"{notice} " * n)
+        assert len(found) == n and len({f[1] for f in found}) == n and all(f[3] == 0 for f in found)
