@@ -117,13 +117,18 @@ def globe(spark, sf):
     return spark.sql(_GLOBE.replace('"', "`"))
 
 
-@query("within_distance_polar", with_pixels(f"""SELECT "point_id", "PixelID", {s6('d')} AS distance_km FROM (SELECT p."PixelID" AS "point_id", x."PixelID",
-    {hav('p."Latitude"', 'p."Longitude"', 'x."Latitude"', 'x."Longitude"')} AS d FROM gl p, gl x WHERE p."PixelID" % 50 = 0) WHERE d <= 12.34""", f"gl AS ({_GLOBE})"))
+def _globe_twin(km: float) -> str:
+    """All pairs within a distance: a degree of latitude is at least 110 km, so only bands of latitude are compared."""
+    return with_pixels(f"""SELECT "point_id", "PixelID", {s6('d')} AS distance_km FROM (SELECT p."PixelID" AS "point_id", x."PixelID",
+        {hav('p."Latitude"', 'p."Longitude"', 'x."Latitude"', 'x."Longitude"')} AS d FROM gl p JOIN gl x ON x."Latitude" BETWEEN p."Latitude" - {km / 110}e0 AND p."Latitude" + {km / 110}e0)
+        WHERE d <= {km}""", f"gl AS ({_GLOBE})")
+
+
+@query("within_distance_polar", _globe_twin(4.321))
 def within_distance_polar(spark, sf):
-    """Every fiftieth place asks for all places near it, over the poles and the 180th meridian."""
+    """Every place asks for all places very near it, over the poles and the 180th meridian."""
     places = globe(spark, sf)
-    asking = places.where(F.col("PixelID") % 50 == 0).withColumnRenamed("PixelID", "point_id")
-    return rounded(spatial.within_distance(asking, places, 12.34, left_id="point_id", right_id="PixelID"))
+    return rounded(spatial.within_distance(places.withColumnRenamed("PixelID", "point_id"), places, 4.321, left_id="point_id", right_id="PixelID"))
 
 
 def globe_pairs(places):
@@ -131,9 +136,9 @@ def globe_pairs(places):
     return spatial.within_distance(places.withColumnRenamed("PixelID", "point_id"), places, 12.34, left_id="point_id", right_id="PixelID")
 
 
-@query("within_distance_globe")
+@query("within_distance_globe", _globe_twin(12.34))
 def within_distance_globe(spark, sf):
-    """Every place asks, over the poles and the 180th meridian; plain SQL would compare all with all."""
+    """Every place asks, over the poles and the 180th meridian."""
     return rounded(globe_pairs(globe(spark, sf)))
 
 
