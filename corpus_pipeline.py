@@ -3,6 +3,11 @@
 Each stage works on all that its predecessor kept, takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `documents`. `run` writes every stage's result to the folder in spark.checkpoint.dir and reads it again,
 so a lost executor costs one stage's tasks at most.
+
+Defined results: null and empty texts, and texts without a letter, have no language and go in the first stage; rows that share an id are
+documents of their own; of equal rows one stays; an id may be null; a document of which nothing is left, or that holds any benchmark window, goes; texts of
+any length are worked on whole; an empty table gives no rows in every stage. Other columns of `documents` are kept up to the last stage, whatever
+their names, which returns pieces.
 """
 
 from __future__ import annotations
