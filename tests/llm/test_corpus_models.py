@@ -205,3 +205,19 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {d for d, _ in texts}
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    """Nulls, repeated rows, texts without letters, clashing columns, an item that is one whole document; then no documents and no items."""
+    import corpus_pipeline
+
+    docs = odd.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("bigint"))
+    items = spark.createDataFrame([(1, "No id, at all!"), (2, None)], "item_id long, text string")
+    for name, some in (("odd", True), ("empty", False)):
+        folder = f"{tmp_path}/{name}"
+        (docs if some else docs.limit(0)).write.parquet(f"{folder}/documents.parquet")
+        (items if some else items.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        # 7, 11 and one row of 10 are copies, 14 is one repeated word, 1 to 3 and 12 have no letter, the row without an id is the item
+        assert {r["doc_id"] for r in pieces} == ({4, 5, 6, 8, 9, 10, 13, 15} if some else set())
+        assert len([r for r in pieces if r["doc_id"] == 10]) == (1 if some else 0)
